@@ -166,7 +166,7 @@ def absence_rows(s: Shapes) -> DataFrame:
 
 @query(
     "ag_absence_rollup",
-    "team:l day:d expected_minutes:f4 missing_minutes:f4 missing_usage:f4 n_missing:l star_out:i availability:f6",
+    "team:l day:d expected_minutes:f8 missing_minutes:f8 missing_usage:f8 n_missing:l star_out:i availability:f8",
     """SELECT team, day, sum(min_roll5) AS expected_minutes, coalesce(sum(min_roll5) FILTER (WHERE was_absent = 1), 0) AS missing_minutes,
     coalesce(sum(usage) FILTER (WHERE was_absent = 1), 0) AS missing_usage, count(*) FILTER (WHERE was_absent = 1) AS n_missing,
     CAST(count(*) FILTER (WHERE was_absent = 1 AND usage >= 0.25) > 0 AS INT) AS star_out,

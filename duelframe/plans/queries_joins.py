@@ -124,7 +124,7 @@ def asof_backward(s: Shapes) -> DataFrame:
 
 @query(
     "jn_interval_validity",
-    "team:l day:d player:l since:d min_roll5:f4",
+    "team:l day:d player:l since:d min_roll5:f8",
     "SELECT * FROM expected",
 )
 def interval_validity(s: Shapes) -> DataFrame:

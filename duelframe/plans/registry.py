@@ -63,5 +63,5 @@ def _spark_column(name: str, kind: str):
 
 def _sql_column(name: str, kind: str) -> str:
     if kind[0] == "f":
-        return f"round(CAST({name} AS DOUBLE), {kind[1:]}) + 0.0 AS {name}"
-    return f"CAST({name} AS {_SQL_TYPES[kind]}) AS {name}"
+        return f'round(CAST("{name}" AS DOUBLE), {kind[1:]}) + 0.0 AS "{name}"'
+    return f'CAST("{name}" AS {_SQL_TYPES[kind]}) AS "{name}"'
