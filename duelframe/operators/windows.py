@@ -137,12 +137,21 @@ def days_since(log: EntityLog, date: str, name: str = "days_rest", first: int =
 def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequence[str], days: Sequence[int], prefix: str = "rows_last_", slice_rows: int | None = None) -> DataFrame:
     """Earlier rows with a date in the last ``N`` calendar days, same-day rows included.
 
-    The calendar part runs on one row per (entity, day); the rows of a day get
-    their position within the day, which is exact for any number of rows a day.
+    Rows of earlier days are counted by a range frame, rows of the same day by
+    the position within the day. Where an entity is too large for one task, the
+    frame runs on one row per (entity, day) and is joined back.
     """
-    day = F.date_diff(F.col(date), F.lit("1970-01-01").cast("date"))
+    names = {n: f"{prefix}{n}_days" for n in days}
+    number = F.date_diff(F.col(date), F.lit("1970-01-01").cast("date"))
+    log = entity_log(df, entity, [date, *order], slice_rows)
+    if not log.is_cut:
+        by_day = Window.partitionBy(*entity).orderBy(number)
+        today = F.row_number().over(Window.partitionBy(*entity, date).orderBy(*order)) - 1
+        return df.withColumns({
+            name: F.count(F.lit(1)).over(by_day.rangeBetween(-(n - 1), -1)) + today for n, name in names.items()
+        })
     daily = df.groupBy(*entity, date).agg(F.count(F.lit(1)).alias("__rows"))
-    w = Window.partitionBy(*entity).orderBy(day)
+    w = Window.partitionBy(*entity).orderBy(number)
     earlier = daily.select(
         *entity,
         date,
@@ -151,7 +160,7 @@ def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequ
     placed = entity_log(df, [*entity, date], order, slice_rows).numbered("__today", start=0)
     return (
         placed.join(earlier, [*entity, date])
-        .withColumns({f"{prefix}{n}_days": F.col(f"__d{n}") + F.col("__today") for n in days})
+        .withColumns({name: F.col(f"__d{n}") + F.col("__today") for n, name in names.items()})
         .drop("__today", *[f"__d{n}" for n in days])
     )
 
@@ -292,3 +301,33 @@ def rank_then_and_now(log: DataFrame, entity: str, order: Sequence[str], score:
         position("score_before").alias("rank_before"),
         F.when(change > steady, "up").when(change < -steady, "down").otherwise("same").alias("trend"),
     ).withColumn("rank_change", F.col("rank_before") - F.col("rank_now"))
+
+
+def games_behind(df: DataFrame, group: Sequence[str], entity: str, wins: str, losses: str, season_games: Column, direct: int = 6, play_in: int = 10) -> DataFrame:
+    """Position, games behind the leader, and what each entity of a group has clinched.
+
+    ``z`` first place, ``x`` a direct seat, ``pi`` a play-in seat, ``e`` out of the
+    play-in, ``o`` out of the direct seats. One row per entity goes in.
+    """
+    table = Window.partitionBy(*group).orderBy(F.col(wins).desc(), F.col(losses), F.col(entity))
+    whole = table.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.col(wins) + F.col("remaining")
+    ranked = df.withColumn("remaining", season_games - F.col(wins) - F.col(losses)).withColumns({
+        "position": F.row_number().over(table),
+        "__size": F.count(F.lit(1)).over(whole),
+        "games_behind": ((F.first(wins).over(whole) - F.col(wins)) + (F.col(losses) - F.first(losses).over(whole))) / 2,
+        "__chasers": F.max(best).over(table.rowsBetween(1, Window.unboundedFollowing)),
+        "__next_direct": F.nth_value(best, direct + 1).over(whole),
+        "__next_play_in": F.nth_value(best, play_in + 1).over(whole),
+        "__last_direct": F.nth_value(wins, direct).over(whole),
+        "__last_play_in": F.nth_value(wins, play_in).over(whole),
+    })
+    place, won = F.col("position"), F.col(wins)
+    letter = (
+        F.when((place == 1) & (won > F.col("__chasers")), "z")
+        .when((place <= direct) & (won > F.col("__next_direct")), "x")
+        .when((place <= play_in) & (won > F.col("__next_play_in")), "pi")
+        .when((place > play_in) & (best < F.col("__last_play_in")), "e")
+        .when((place > direct) & (place <= play_in) & (best < F.col("__last_direct")), "o")
+    )
+    return ranked.withColumn("clinch", letter).drop(*[c for c in ranked.columns if c.startswith("__")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.plans import queries_aggregates, queries_joins, queries_ledger, queries_sources, queries_scalars, queries_windows  # noqa: F401
+from duelframe.plans import queries_aggregates, queries_features, queries_joins, queries_ledger, queries_sources, queries_scalars, queries_windows  # noqa: F401
 from duelframe.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -241,7 +241,7 @@ def flatten_games(s: Shapes) -> DataFrame:
     return nested.games(nested.parse(payload, "payload", nested.GAME))
 
 
-_STATUS = "CASE c_custkey % 4 WHEN 0 THEN 'Out' WHEN 1 THEN 'Questionable' WHEN 2 THEN 'Available' ELSE ' Doubtful ' END"
+_STATUS = "CASE c_custkey % 4 WHEN 0 THEN 'Out' WHEN 1 THEN 'Questionable' WHEN 2 THEN 'Available' ELSE ' Day-To-Day ' END"
 
 
 @query(

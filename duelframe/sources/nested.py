@@ -34,9 +34,9 @@ STATS = {
 }
 STATUSES = {
     "Out": "out",
-    "Doubtful": "doubtful",
     "Questionable": "questionable",
     "Probable": "probable",
+    "Day-To-Day": "day-to-day",
 }
 
 
