@@ -42,9 +42,14 @@ class EntityLog:
     def is_cut(self) -> bool:
         return self.block_rows is not None
 
-    def window(self) -> WindowSpec:
-        keys = [*self.entity, _BLOCK] if self.is_cut else list(self.entity)
-        return Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in self.order])
+    @property
+    def keys(self) -> list[str]:
+        """What a window has to be partitioned by."""
+        return [*self.entity, _BLOCK] if self.is_cut else list(self.entity)
+
+    def window(self, *within: str) -> WindowSpec:
+        """The window of an entity, or of a part of it given by further columns."""
+        return Window.partitionBy(*self.keys, *within).orderBy(*[F.col(c).asc_nulls_last() for c in self.order])
 
     def lagged(self, lookback: int, columns: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
         """Add window columns that look back at most ``lookback`` rows."""
@@ -120,6 +125,12 @@ class EntityLog:
         """Apply a row-wise change (added columns) without losing the cut."""
         return self._with(change(self.df))
 
+    def regroup(self, entity: Sequence[str], order: Sequence[str], sized_by: DataFrame | None = None, slice_rows: int | None = None) -> EntityLog:
+        """The same rows under another key. A finer key of a log that was not cut needs no new size check."""
+        if not self.is_cut and set(self.entity) <= set(entity):
+            return EntityLog(self.df, tuple(entity), tuple(order))
+        return entity_log(self.result, entity, order, slice_rows, sized_by)
+
     def _with(self, df: DataFrame) -> EntityLog:
         return EntityLog(df, self.entity, self.order, self.block_rows)
 
@@ -130,14 +141,16 @@ class EntityLog:
 
 
 def entity_log(
-    df: DataFrame, entity: Sequence[str], order: Sequence[str], slice_rows: int | None = None
+    df: DataFrame, entity: Sequence[str], order: Sequence[str], slice_rows: int | None = None, sized_by: DataFrame | None = None
 ) -> EntityLog:
     """Wrap ``df``; cut its entities into blocks if one is larger than ``slice_rows``.
 
-    The size check is one partial aggregate over the key columns only.
+    The size check is one partial aggregate over the key columns only. Where
+    ``df`` is derived, ``sized_by`` names a cheaper table with the same keys and
+    at least as many rows, such as the log that ``df`` adds columns to.
     """
     slice_rows = slice_rows or SLICE_ROWS
-    sizes = df.groupBy(*entity).count()
+    sizes = (df if sized_by is None else sized_by).groupBy(*entity).count()
     total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
     if largest is None or largest <= slice_rows:
         return EntityLog(df, tuple(entity), tuple(order))

@@ -7,9 +7,9 @@ shares one partitioning and one sort.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from duelframe.functions.geo import great_circle_miles
@@ -17,25 +17,43 @@ from duelframe.operators.ordered import EntityLog, entity_log
 from duelframe.operators.topk import first_rows
 
 
-def lag_mean(log: EntityLog, columns: Sequence[str], windows: Sequence[int], min_rows: int = 1) -> EntityLog:
-    """Mean of the previous ``w`` rows as ``<column>_roll<w>``; NULL below ``min_rows`` values."""
+def means(w: WindowSpec, columns: Sequence[str], windows: Sequence[int], min_rows: int = 1) -> dict[str, Column]:
+    """Mean of the previous ``n`` rows as ``<column>_roll<n>``; NULL below ``min_rows`` values."""
+    return {f"{c}_roll{n}": _guarded(F.avg, c, w.rowsBetween(-n, -1), min_rows) for n in windows for c in columns}
 
-    def build(w):
-        return {
-            f"{c}_roll{n}": _guarded(F.avg, c, w.rowsBetween(-n, -1), min_rows) for n in windows for c in columns
-        }
 
-    return log.lagged_log(max(windows), build)
+def deviation(w: WindowSpec, column: str, window: int = 10, min_rows: int = 2, fill: float | None = 0.0) -> Column:
+    """Sample standard deviation of the previous rows, ``fill`` below ``min_rows`` values."""
+    value = _guarded(F.stddev_samp, column, w.rowsBetween(-window, -1), min_rows)
+    return value if fill is None else F.coalesce(value, F.lit(fill))
 
 
-def lag_std(log: EntityLog, column: str, name: str, window: int = 10, min_rows: int = 2, fill: float | None = 0.0) -> EntityLog:
-    """Sample standard deviation of the previous rows, ``fill`` below ``min_rows`` values."""
+def fitted_slope(w: WindowSpec, column: str, number: str, window: int = 5) -> Column:
+    """Least-squares slope of the previous rows over their ``number``, 0 with fewer than two."""
+    frame = w.rowsBetween(-window, -1)
+    slope = F.regr_slope(F.col(column), F.col(number)).over(frame)
+    return F.when(F.count(F.lit(1)).over(frame) >= 2, slope).otherwise(0.0)
+
+
+def gap_days(w: WindowSpec, date: str, first: int = 7, cap: int = 14) -> Column:
+    """Days since the previous row, ``first`` at the start, at most ``cap``."""
+    return F.least(F.coalesce(F.date_diff(F.col(date), F.lag(date).over(w)), F.lit(first)), F.lit(cap))
+
+
+def before(w: WindowSpec, condition: Column) -> Column:
+    """1 if the previous row met ``condition``."""
+    return F.coalesce(F.lag(condition.cast("int")).over(w), F.lit(0))
+
 
-    def build(w):
-        value = _guarded(F.stddev_samp, column, w.rowsBetween(-window, -1), min_rows)
-        return {name: value if fill is None else F.coalesce(value, F.lit(fill))}
+def moved_miles(w: WindowSpec, lat: str, lon: str) -> Column:
+    """Miles from the previous location, 0 at the start."""
+    miles = great_circle_miles(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))
+    return F.coalesce(miles, F.lit(0.0))
 
-    return log.lagged_log(window, build)
+
+def zone_change(w: WindowSpec, zone: str) -> Column:
+    """1 if the zone differs from the previous row's."""
+    return F.coalesce((F.lag(zone).over(w) != F.col(zone)).cast("int"), F.lit(0))
 
 
 def _guarded(function, column: str, frame, min_rows: int) -> Column:
@@ -43,6 +61,16 @@ def _guarded(function, column: str, frame, min_rows: int) -> Column:
     return value if min_rows <= 1 else F.when(F.count(column).over(frame) >= min_rows, value)
 
 
+def lag_mean(log: EntityLog, columns: Sequence[str], windows: Sequence[int], min_rows: int = 1) -> EntityLog:
+    """Add the mean of the previous rows, see ``means``."""
+    return log.lagged_log(max(windows), lambda w: means(w, columns, windows, min_rows))
+
+
+def lag_std(log: EntityLog, column: str, name: str, window: int = 10, min_rows: int = 2, fill: float | None = 0.0) -> EntityLog:
+    """Add the standard deviation of the previous rows, see ``deviation``."""
+    return log.lagged_log(window, lambda w: {name: deviation(w, column, window, min_rows, fill)})
+
+
 def ewma_rows(span: int, epsilon: float = 1e-16) -> int:
     """Rows after which the weight of an exponential mean falls below ``epsilon``."""
     return math.ceil(math.log(epsilon) / math.log(1 - 2 / (span + 1)))
@@ -52,38 +80,56 @@ def ewma(log: EntityLog, columns: Sequence[str], spans: Sequence[int]) -> Entity
     """Exponentially weighted mean of prior rows as ``<column>_ewma<span>``.
 
     Weight ``(1 - a) ** i`` with ``a = 2 / (span + 1)`` and ``i`` the row
-    distance; a NULL takes up a position but adds nothing.
+    distance; a NULL takes up a position but adds nothing. The rows of an entity
+    are taken in chunks long enough for a weight to vanish: a row needs the sums
+    of its own chunk so far and of the chunk before, so the cost per row does not
+    depend on the span and no weight overflows.
     """
-    lookback = max(ewma_rows(s) for s in spans)
+    size = max(ewma_rows(s) for s in spans)
+    # The largest factor is keep ** -size of the shortest span; keep it far from overflow.
+    if max(-size * math.log(1 - 2 / (s + 1)) for s in spans) > 600:
+        shortest, *others = sorted(spans)
+        return ewma(ewma(log, columns, [shortest]), columns, others)
+    position = F.col("__n") % size
+    chunked = log.numbered_log("__n", start=0).map(lambda df: df.withColumn("__chunk", F.floor(F.col("__n") / size)))
 
-    def build(w):
-        return {f"{c}_ewma{s}": _decayed_mean(c, s, w) for s in spans for c in columns}
+    def build(_):
+        own = log.window("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy(*log.keys).orderBy("__chunk").rangeBetween(-1, -1)
 
-    return log.lagged_log(lookback, build)
+        def mean(c: str, span: int) -> Column:
+            keep = F.lit(1 - 2 / (span + 1))
+            grow = F.pow(keep, -position)
 
+            def decayed(value: Column) -> Column:
+                here = F.coalesce(F.sum(value).over(own), F.lit(0.0)) * F.pow(keep, position - 1)
+                there = F.coalesce(F.sum(value).over(earlier), F.lit(0.0)) * F.pow(keep, position + (size - 1))
+                return here + there
 
-def _decayed_mean(column: str, span: int, w) -> Column:
-    keep = 1 - 2 / (span + 1)
-    values = F.collect_list(F.struct(F.col(column).cast("double").alias("x"))).over(w.rowsBetween(-ewma_rows(span), -1))
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
-    return F.aggregate(
-        values,
-        start,
-        lambda acc, item: F.struct(
-            (acc["total"] * keep + F.coalesce(item["x"], F.lit(0.0))).alias("total"),
-            (acc["weight"] * keep + F.when(item["x"].isNotNull(), 1.0).otherwise(0.0)).alias("weight"),
-        ),
-        lambda acc: F.try_divide(acc["total"], acc["weight"]),
-    )
+            return F.try_divide(decayed(F.col(c) * grow), decayed(F.when(F.col(c).isNotNull(), grow)))
+
+        return {f"{c}_ewma{s}": mean(c, s) for s in spans for c in columns}
+
+    return chunked.lagged_log(2 * size, build).map(lambda df: df.drop("__n", "__chunk"))
+
+
+def expanding_means(log: EntityLog, columns: Mapping[str, Column], fill: float | None = None) -> EntityLog:
+    """Add means of all prior non-null values, in one pass."""
+    parts = {}
+    for name, column in columns.items():
+        parts[f"__sum_{name}"] = ("sum", column.cast("double"))
+        parts[f"__n_{name}"] = ("count", column)
+
+    def mean(name: str) -> Column:
+        value = F.try_divide(F.col(f"__sum_{name}"), F.col(f"__n_{name}"))
+        return value if fill is None else F.coalesce(value, F.lit(fill))
+
+    return log.running_log(parts).map(lambda df: df.withColumns({n: mean(n) for n in columns}).drop(*parts))
 
 
 def expanding_mean(log: EntityLog, column: Column, name: str, fill: float | None = None) -> EntityLog:
-    """Mean of all prior non-null values."""
-    sums = log.running_log({"__sum": ("sum", column.cast("double")), "__n": ("count", column)})
-    mean = F.try_divide(F.col("__sum"), F.col("__n"))
-    return sums.map(
-        lambda df: df.withColumn(name, mean if fill is None else F.coalesce(mean, F.lit(fill))).drop("__sum", "__n")
-    )
+    """Add the mean of all prior non-null values."""
+    return expanding_means(log, {name: column}, fill)
 
 
 def cumulative_record(log: EntityLog, flag: str, wins: str = "cum_wins", losses: str = "cum_losses", rate: str = "cum_win_pct", empty: float = 0.5) -> EntityLog:
@@ -94,14 +140,9 @@ def cumulative_record(log: EntityLog, flag: str, wins: str = "cum_wins", losses:
 
 
 def slope(log: EntityLog, column: str, name: str, window: int = 5) -> EntityLog:
-    """Least-squares slope of the previous rows, 0 with fewer than two."""
-
-    def build(w):
-        frame = w.rowsBetween(-window, -1)
-        fitted = F.regr_slope(F.col(column), F.col("__n")).over(frame)
-        return {name: F.when(F.count(F.lit(1)).over(frame) >= 2, fitted).otherwise(0.0)}
-
-    return log.numbered_log("__n").lagged_log(window, build).map(lambda df: df.drop("__n"))
+    """Add the least-squares slope of the previous rows, see ``fitted_slope``."""
+    numbered = log.numbered_log("__n")
+    return numbered.lagged_log(window, lambda w: {name: fitted_slope(w, column, "__n", window)}).map(lambda df: df.drop("__n"))
 
 
 def run_lengths(log: EntityLog, flag: str, name: str) -> EntityLog:
@@ -127,29 +168,37 @@ def streak(log: EntityLog, flag: str, name: str = "streak") -> EntityLog:
 
 
 def days_since(log: EntityLog, date: str, name: str = "days_rest", first: int = 7, cap: int = 14) -> EntityLog:
-    """Days since the previous row, ``first`` at the start, at most ``cap``; and a flag for 0 or 1 day."""
-    gap = lambda w: F.least(F.coalesce(F.date_diff(F.col(date), F.lag(date).over(w)), F.lit(first)), F.lit(cap))
-    return log.lagged_log(1, lambda w: {name: gap(w)}).map(
+    """Add the days since the previous row and a flag for 0 or 1 day, see ``gap_days``."""
+    return log.lagged_log(1, lambda w: {name: gap_days(w, date, first, cap)}).map(
         lambda df: df.withColumn("is_back_to_back", (F.col(name) <= 1).cast("int"))
     )
 
 
-def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequence[str], days: Sequence[int], prefix: str = "rows_last_", slice_rows: int | None = None) -> DataFrame:
+def _day_number(date: str) -> Column:
+    return F.date_diff(F.col(date), F.lit("1970-01-01").cast("date"))
+
+
+def calendar_counts_within(df: DataFrame, entity: Sequence[str], date: str, order: Sequence[str], days: Sequence[int], prefix: str = "rows_last_") -> DataFrame:
+    """``calendar_counts`` for entities that fit into one task each."""
+    by_day = Window.partitionBy(*entity).orderBy(_day_number(date))
+    today = F.row_number().over(Window.partitionBy(*entity, date).orderBy(*order)) - 1
+    return df.withColumns({
+        f"{prefix}{n}_days": F.count(F.lit(1)).over(by_day.rangeBetween(-(n - 1), -1)) + today for n in days
+    })
+
+
+def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequence[str], days: Sequence[int], prefix: str = "rows_last_", slice_rows: int | None = None, sized_by: DataFrame | None = None) -> DataFrame:
     """Earlier rows with a date in the last ``N`` calendar days, same-day rows included.
 
     Rows of earlier days are counted by a range frame, rows of the same day by
     the position within the day. Where an entity is too large for one task, the
     frame runs on one row per (entity, day) and is joined back.
     """
-    names = {n: f"{prefix}{n}_days" for n in days}
-    number = F.date_diff(F.col(date), F.lit("1970-01-01").cast("date"))
-    log = entity_log(df, entity, [date, *order], slice_rows)
+    log = entity_log(df, entity, [date, *order], slice_rows, sized_by)
     if not log.is_cut:
-        by_day = Window.partitionBy(*entity).orderBy(number)
-        today = F.row_number().over(Window.partitionBy(*entity, date).orderBy(*order)) - 1
-        return df.withColumns({
-            name: F.count(F.lit(1)).over(by_day.rangeBetween(-(n - 1), -1)) + today for n, name in names.items()
-        })
+        return calendar_counts_within(df, entity, date, order, days, prefix)
+    names = {n: f"{prefix}{n}_days" for n in days}
+    number = _day_number(date)
     daily = df.groupBy(*entity, date).agg(F.count(F.lit(1)).alias("__rows"))
     w = Window.partitionBy(*entity).orderBy(number)
     earlier = daily.select(
@@ -157,7 +206,7 @@ def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequ
         date,
         *[F.coalesce(F.sum("__rows").over(w.rangeBetween(-(n - 1), -1)), F.lit(0)).alias(f"__d{n}") for n in days],
     )
-    placed = entity_log(df, [*entity, date], order, slice_rows).numbered("__today", start=0)
+    placed = entity_log(df, [*entity, date], order, slice_rows, sized_by).numbered("__today", start=0)
     return (
         placed.join(earlier, [*entity, date])
         .withColumns({name: F.col(f"__d{n}") + F.col("__today") for n, name in names.items()})
@@ -166,20 +215,13 @@ def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequ
 
 
 def travel(log: EntityLog, lat: str, lon: str, zone: str) -> EntityLog:
-    """Miles from the previous location and a flag for a changed zone, 0 at the start."""
-    moved = log.lagged_log(1, lambda w: {f"__{c}": F.lag(c).over(w) for c in (lat, lon, zone)})
-    miles = great_circle_miles(F.col(f"__{lat}"), F.col(f"__{lon}"), F.col(lat), F.col(lon))
-    changed = F.coalesce((F.col(f"__{zone}") != F.col(zone)).cast("int"), F.lit(0))
-    return moved.map(
-        lambda df: df.withColumns({"travel_miles": F.coalesce(miles, F.lit(0.0)), "zone_changed": changed}).drop(
-            *[f"__{c}" for c in (lat, lon, zone)]
-        )
-    )
+    """Add miles from the previous location and a flag for a changed zone."""
+    return log.lagged_log(1, lambda w: {"travel_miles": moved_miles(w, lat, lon), "zone_changed": zone_change(w, zone)})
 
 
 def previous_flag(log: EntityLog, condition: Column, name: str) -> EntityLog:
-    """1 if the previous row met ``condition``."""
-    return log.lagged_log(1, lambda w: {name: F.coalesce(F.lag(condition.cast("int")).over(w), F.lit(0))})
+    """Add 1 if the previous row met ``condition``."""
+    return log.lagged_log(1, lambda w: {name: before(w, condition)})
 
 
 def run_at_end(log: EntityLog, flag: str) -> DataFrame:

@@ -36,35 +36,47 @@ def team_features(log: DataFrame, places: DataFrame, slice_rows: int | None = No
         "place": F.when(F.col("is_home") == 1, F.col("team")).otherwise(F.col("opp")),
     })
     located = rated.join(places, "place", "left")
-    games = _career(entity_log(located, ["team"], ["game_date", "game"], slice_rows)).result
-    counted = wn.calendar_counts(games, ["team"], "game_date", ["game"], [5, 7], "games_last_", slice_rows)
-    season = _season(entity_log(counted, ["team", "season"], ["game_date", "game"], slice_rows)).result
-    met = entity_log(season, ["team", "opp"], ["game_date", "game"], slice_rows)
-    done = wn.previous_flag(met, F.col("win") == 0, "revenge_game").result
+    order = ["game_date", "game"]
+    career = _career(entity_log(located, ["team"], order, slice_rows, sized_by=log))
+    if career.is_cut:
+        counted = wn.calendar_counts(career.result, ["team"], "game_date", ["game"], [5, 7], "games_last_", slice_rows, log)
+        season = entity_log(counted, ["team", "season"], order, slice_rows, sized_by=log)
+    else:
+        counted = career.map(lambda df: wn.calendar_counts_within(df, ["team"], "game_date", ["game"], [5, 7], "games_last_"))
+        season = counted.regroup(["team", "season"], order)
+    met = _season(season).result
+    pairs = entity_log(met, ["team", "opp"], order, slice_rows, sized_by=log) if career.is_cut else EntityLog(met, ("team", "opp"), tuple(order))
+    done = wn.previous_flag(pairs, F.col("win") == 0, "revenge_game").result
     return done.withColumn("era", joins.era_of(F.col("season")))
 
 
 def _career(log: EntityLog) -> EntityLog:
-    """Windows over all seasons of a team."""
-    log = wn.travel(log, "lat", "lon", "zone")
-    log = wn.days_since(log, "game_date")
-    log = wn.lag_mean(log, ROLLED, ROLL_WINDOWS)
-    log = wn.lag_mean(log, SHORT_ROLLED, [3])
-    log = wn.ewma(log, ["plus_minus", "win"], EWMA_SPANS)
-    for column, name in (("plus_minus", "net_trend_5"), ("pts", "off_trend_5"), ("opp_pts", "def_trend_5")):
-        log = wn.slope(log, column, name)
-    log = wn.lag_std(log, "plus_minus", "net_std_10")
-    return wn.previous_flag(log, F.col("plus_minus") <= -20, "blowout_loss_last_game")
+    """Windows over all seasons of a team, in one window operator but for the exponential means."""
+
+    def columns(w) -> dict[str, Column]:
+        return {
+            **wn.means(w, ROLLED, ROLL_WINDOWS),
+            **wn.means(w, SHORT_ROLLED, [3]),
+            "travel_miles": wn.moved_miles(w, "lat", "lon"),
+            "zone_changed": wn.zone_change(w, "zone"),
+            "days_rest": wn.gap_days(w, "game_date"),
+            "is_back_to_back": (wn.gap_days(w, "game_date") <= 1).cast("int"),
+            "net_trend_5": wn.fitted_slope(w, "plus_minus", "__nth"),
+            "off_trend_5": wn.fitted_slope(w, "pts", "__nth"),
+            "def_trend_5": wn.fitted_slope(w, "opp_pts", "__nth"),
+            "net_std_10": wn.deviation(w, "plus_minus"),
+            "blowout_loss_last_game": wn.before(w, F.col("plus_minus") <= -20),
+        }
+
+    rolled = log.numbered_log("__nth").lagged_log(max(ROLL_WINDOWS), columns).map(lambda df: df.drop("__nth"))
+    return wn.ewma(rolled, ["plus_minus", "win"], EWMA_SPANS)
 
 
 def _season(log: EntityLog) -> EntityLog:
     """Windows within a season."""
     at = lambda flag: F.when(F.col("is_home") == flag, F.col("plus_minus"))
-    log = wn.cumulative_record(log, "win")
-    log = wn.streak(log, "win")
-    log = log.numbered_log("season_game_num", start=0)
-    log = wn.expanding_mean(log, at(1), "home_net_season", fill=0.0)
-    return wn.expanding_mean(log, at(0), "away_net_season", fill=0.0)
+    log = wn.streak(wn.cumulative_record(log, "win"), "win").numbered_log("season_game_num", start=0)
+    return wn.expanding_means(log, {"home_net_season": at(1), "away_net_season": at(0)}, fill=0.0)
 
 
 TEAM_FEATURES = (
@@ -123,14 +135,16 @@ def player_features(log: DataFrame, context: DataFrame, min_games: int = 5, slic
 
     ``context`` is by (game, team): ``pts_allowed_roll20 net_roll20 days_rest``.
     """
-    log = log.join(log.groupBy("player").agg(F.count(F.lit(1)).alias("__games")), "player").filter(F.col("__games") >= min_games)
-    career = entity_log(log.drop("__games"), ["player"], ["game_date", "game"], slice_rows)
-    career = wn.days_since(wn.lag_mean(career, PLAYER_ROLLED, ROLL_WINDOWS), "game_date")
-    for c in PLAYER_FORM:
-        for w in ROLL_WINDOWS:
-            career = wn.lag_std(career, c, f"{c}_std{w}", window=w, fill=None)
-        career = wn.expanding_mean(career, F.col(c), f"{c}_mean")
-    numbered = entity_log(career.result, ["player", "season"], ["game_date", "game"], slice_rows).numbered("season_game_num")
+    kept = log.join(log.groupBy("player").agg(F.count(F.lit(1)).alias("__games")), "player").filter(F.col("__games") >= min_games)
+    career = entity_log(kept.drop("__games"), ["player"], ["game_date", "game"], slice_rows, sized_by=log)
+    career = career.lagged_log(max(ROLL_WINDOWS), lambda w: {
+        **wn.means(w, PLAYER_ROLLED, ROLL_WINDOWS),
+        **{f"{c}_std{n}": wn.deviation(w, c, n, fill=None) for c in PLAYER_FORM for n in ROLL_WINDOWS},
+        "days_rest": wn.gap_days(w, "game_date"),
+        "is_back_to_back": (wn.gap_days(w, "game_date") <= 1).cast("int"),
+    })
+    career = wn.expanding_means(career, {f"{c}_mean": F.col(c) for c in PLAYER_FORM})
+    numbered = career.regroup(["player", "season"], ["game_date", "game"], log, slice_rows).numbered("season_game_num")
     form = {f"{c}_form": F.col(f"{c}_roll5") - F.col(f"{c}_roll20") for c in PLAYER_FORM}
     pace = {f"{c}_per_min": measures.ratio(F.col(f"{c}_roll10"), F.col("minutes_roll10")) for c in ("pts", "reb", "ast")}
     shaped = numbered.withColumns(form | pace)
@@ -150,22 +164,23 @@ def prop_features(log: DataFrame, span: int = 10, slice_rows: int | None = None)
     played = log.withColumn("minutes", F.coalesce("minutes", F.lit(0.0)))
     rate = lambda c: F.coalesce(measures.per_unit(F.col(c), F.col("minutes"), 36), F.lit(0.0))
     rated = played.withColumns({f"{c}_per36": rate(c) for c in ("pts", "reb", "ast", "fg3m")} | {"usage": rate("fga")})
-    career = entity_log(rated, ["player"], ["game_date", "game"], slice_rows)
+    career = entity_log(rated, ["player"], ["game_date", "game"], slice_rows, sized_by=log)
     career = wn.ewma(career, list(PROP_EWMA.values()), [span])
     career = career.lagged_log(1, lambda w: {
         "is_b2b": F.coalesce((F.date_diff(F.col("game_date"), F.lag("game_date").over(w)) <= 1).cast("int"), F.lit(0))
     })
-    renamed = career.result.withColumnsRenamed({f"{c}_ewma{span}": f"{n}_ewma" for n, c in PROP_EWMA.items()})
-    return entity_log(renamed, ["player", "season"], ["game_date", "game"], slice_rows).numbered("season_game_num")
+    renamed = career.map(lambda df: df.withColumnsRenamed({f"{c}_ewma{span}": f"{n}_ewma" for n, c in PROP_EWMA.items()}))
+    return renamed.regroup(["player", "season"], ["game_date", "game"], log, slice_rows).numbered("season_game_num")
 
 
-def cover_features(contests: DataFrame, odds: DataFrame, slice_rows: int | None = None) -> DataFrame:
+def cover_features(contests: DataFrame, odds: DataFrame, slice_rows: int | None = None, sized_by: DataFrame | None = None) -> DataFrame:
     """Contests with odds and the features of the cover market.
 
     ``contests`` has ``game game_date home away home_covers home_days_rest
     away_days_rest home_cum_win_pct``; ``odds`` the quotes by date and teams. The
     cover record of a side is the mean of the home side's cover flag over its
-    previous games in that role.
+    previous games in that role. ``sized_by`` is a plain table of the contests,
+    for the size check.
     """
     from duelframe.functions.market import no_vig
 
@@ -173,7 +188,7 @@ def cover_features(contests: DataFrame, odds: DataFrame, slice_rows: int | None
     p_home, p_away = no_vig(F.col("home_ml"), F.col("away_ml"))
     rows = joined.withColumns({"home_implied": p_home, "away_implied": p_away})
     for side in ("home", "away"):
-        log = entity_log(rows, [side], ["game_date", "game"], slice_rows)
+        log = entity_log(rows, [side], ["game_date", "game"], slice_rows, sized_by)
         rolled = wn.lag_mean(wn.lag_mean(log, ["home_covers"], [5], min_rows=2), ["home_covers"], [10], min_rows=2)
         rows = rolled.result.withColumnsRenamed({f"home_covers_roll{w}": f"{side}_ats_{w}" for w in (5, 10)})
     dog = (F.col("home_implied") < 0.5).cast("double")

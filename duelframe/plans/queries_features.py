@@ -187,7 +187,7 @@ SHARED_SQL["cover_rows"] = """SELECT c.game, c.game_date, c.season, c.home, c.aw
     JOIN (SELECT game, home_days_rest, away_days_rest, home_cum_win_pct FROM contest_features) USING (game)""",
 )
 def rp_cover_features(s: Shapes) -> DataFrame:
-    return ft.cover_features(cover_contests(s), s.odds())
+    return ft.cover_features(cover_contests(s), s.odds(), sized_by=s.contest())
 
 
 @query(

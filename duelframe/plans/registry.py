@@ -56,8 +56,10 @@ def query(name: str, out: str = "", sql: str | None = None):
 
 def _spark_column(name: str, kind: str):
     if kind[0] == "f":
-        # Adding zero turns a negative zero into a plain one.
-        return (F.round(F.col(name).cast("double"), int(kind[1:])) + F.lit(0.0)).alias(name)
+        # Rounding on doubles, half away from zero; adding zero turns a negative zero into a plain one.
+        value, scale = F.col(name).cast("double"), 10.0 ** int(kind[1:])
+        rounded = F.signum(value) * F.floor(F.abs(value) * scale + 0.5) / scale
+        return (rounded + F.lit(0.0)).alias(name)
     return F.col(name).cast(_SPARK_TYPES[kind]).alias(name)
 
 
