@@ -80,7 +80,7 @@ def summary(s: Shapes, trained: ml.Trained, held: DataFrame) -> DataFrame:
 @query("ml_outcome_classifier", "candidate:s validation:f6 chosen:i n:l accuracy:f6 brier:f6 threshold:f2")
 def outcome_classifier(s: Shapes) -> DataFrame:
     df = contest_table(s)
-    trained = ml.train_outcome(df, FEATURES, "label", "season")
+    trained = ml.train_outcome(df, FEATURES, "label", "season", candidates=ml.classifiers("label", trees=8))
     test = ml.scored(trained.model, df.filter(F.col("season") == trained.test_season))
     held = test.agg(*ml.metric_columns("p", "label", trained.threshold)).withColumn("threshold", F.lit(trained.threshold))
     return summary(s, trained, held)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from duelframe.plans.shapes import Shapes, with_shapes
 
 # Output types: l long, i int, s string, d date, t timestamp, f<n> double with n decimals.
-_SPARK_TYPES = {"l": "bigint", "i": "int", "s": "string", "d": "date", "t": "timestamp"}
+_SPARK_TYPES = {"l": "bigint", "i": "int", "s": "string", "d": "date", "t": "timestamp_ntz"}
 _SQL_TYPES = {"l": "BIGINT", "i": "INTEGER", "s": "VARCHAR", "d": "DATE", "t": "TIMESTAMP"}
 
 

@@ -96,7 +96,7 @@ _PREDICTION = {
 _LOG = {
     "entity": "user_id",
     "event": "event_id",
-    "ts": "ts",
+    "ts": "CAST(ts AS TIMESTAMP)",
     "day": "CAST(ts AS DATE)",
     "kind": "event_type",
     "value": "value",
