@@ -310,18 +310,21 @@ def bootstrap_roi(df: DataFrame, profit: str, replicates: int = 10_000, decimals
     per_replicate = draws.withColumn("k", drawn).groupBy("replicate").agg(
         F.try_divide(F.sum(F.col("k") * F.col("profit")), F.sum(F.col("k") * F.abs("profit"))).alias("roi")
     )
-    summary = per_replicate.agg(
-        F.percentile("roi", F.lit(0.025)).alias("ci_lower"),
-        F.percentile("roi", F.lit(0.975)).alias("ci_upper"),
-        F.avg((F.col("roi") <= 0).cast("int")).alias("p_value"),
-        F.count(F.lit(1)).alias("replicates"),
-    )
+    # Replicate 0 is the data itself.
     actual = groups.agg(
-        F.try_divide(F.sum(F.col("c") * F.col("profit")), F.sum(F.col("c") * F.abs("profit"))).alias("mean_roi"),
+        F.try_divide(F.sum(F.col("c") * F.col("profit")), F.sum(F.col("c") * F.abs("profit"))).alias("roi"),
         F.sum("c").alias("n_bets"),
+    ).withColumn("replicate", F.lit(0))
+    everything = per_replicate.unionByName(actual, allowMissingColumns=True)
+    drawn_roi = F.when(F.col("replicate") > 0, F.col("roi"))
+    return everything.agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("roi"))).alias("mean_roi"),
+        F.percentile(drawn_roi, F.lit(0.025)).alias("ci_lower"),
+        F.percentile(drawn_roi, F.lit(0.975)).alias("ci_upper"),
+        F.avg((drawn_roi <= 0).cast("int")).alias("p_value"),
+        F.max("n_bets").alias("n_bets"),
+        F.count(drawn_roi).alias("replicates"),
     )
-    # Two tables of one row each.
-    return actual.join(F.broadcast(summary), F.lit(True))
 
 
 def weight_grid(df: DataFrame, p: str, margin: str, y: str, scales: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 25.0, 30.0), steps: int = 20) -> DataFrame:
@@ -362,6 +365,12 @@ def threshold_accuracy(df: DataFrame, p: str, y: str, first: int = 35, last: int
     ).withColumn("threshold", F.col("cut") / 100)
 
 
+def best_threshold(accuracies: DataFrame) -> DataFrame:
+    """Mark the cut-off with the best accuracy, the first one on a tie. The table has one row per cut-off."""
+    order = Window.orderBy(F.col("accuracy").desc(), "cut")
+    return accuracies.withColumn("best", (F.row_number().over(order) == 1).cast("int"))
+
+
 def walk_forward(df: DataFrame, season: str, order: list[str], p: str, market: str, y: str, train_seasons: int = 3, threshold: float = 0.03, vig: float = 0.0455, kelly_fraction: float | None = None, slice_rows: int | None = None) -> DataFrame:
     """Betting results per test season: stakes, return, win rate, mean edge, deepest drawdown."""
     from duelframe.operators.ordered import entity_log

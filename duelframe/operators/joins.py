@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.operators.ordered import entity_log
@@ -95,7 +95,7 @@ def as_of_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return seen.filter(F.col("__side") == 1).select("__left.*", *[F.col(f"__match.{c}").alias(c) for c in columns])
 
 
-def valid_on(status: DataFrame, dates: DataFrame, entity: Sequence[str], group: Sequence[str], since: str, date: str, max_days: int = 25, where: Column | None = None) -> DataFrame:
+def valid_on(status: DataFrame, dates: DataFrame, entity: Sequence[str], group: Sequence[str], since: str, date: str, max_days: int = 25, where: Column | None = None, slice_rows: int | None = None) -> DataFrame:
     """Status rows that are valid on the dates of their group.
 
     A status holds from the day after ``since`` until the entity's next status,
@@ -104,8 +104,11 @@ def valid_on(status: DataFrame, dates: DataFrame, entity: Sequence[str], group:
     ``max_days`` that it touches, which gives the join a second equi key: a large
     group is spread over its date ranges.
     """
-    following = Window.partitionBy(*entity).orderBy(since)
-    ending = status.withColumn("__until", F.lead(since).over(following))
+    # Newest first, the next status is the row before.
+    newest = status.withColumn("__ago", -F.unix_date(since))
+    ending = entity_log(newest, entity, ["__ago"], slice_rows).lagged(
+        1, lambda w: {"__until": F.lag(since).over(w)}
+    ).drop("__ago")
     if where is not None:
         ending = ending.filter(where)
     number = lambda c: F.floor(F.date_diff(c, F.lit("1970-01-01").cast("date")) / max_days)
@@ -190,9 +193,23 @@ def era_of(code: Column, unknown: str = "Unknown") -> Column:
     return chain.otherwise(unknown)
 
 
+MAX_BROADCAST_INTERVALS = 10_000
+
+
 def in_interval(df: DataFrame, point: str, intervals: DataFrame, start: str, end: str) -> DataFrame:
-    """Left range join with a table of a fixed, small number of closed intervals."""
-    return df.join(F.broadcast(intervals), F.col(point).between(F.col(start), F.col(end)), "left")
+    """Left join with a table of disjoint closed intervals.
+
+    A small table, by count, is broadcast. For any other the last interval that
+    starts at or before a point is found as of it, and its end is checked.
+    """
+    if intervals.limit(MAX_BROADCAST_INTERVALS + 1).count() <= MAX_BROADCAST_INTERVALS:
+        return df.join(F.broadcast(intervals), F.col(point).between(F.col(start), F.col(end)), "left")
+    left = df.withColumns({"__whole": F.lit(0), "__tie": F.col(point)})
+    right = intervals.withColumns({"__whole": F.lit(0), "__tie": F.col(start)})
+    names = intervals.columns
+    found = as_of_backward(left, right, ["__whole"], point, start, "__tie", names)
+    inside = F.col(point) <= F.col(end)
+    return found.select(*df.columns, *[F.when(inside, F.col(c)).alias(c) for c in names])
 
 
 def forbid_columns(df: DataFrame, forbidden: Sequence[str]) -> DataFrame:

@@ -157,6 +157,14 @@ def entity_log(
     return EntityLog(_cut(df, entity, order, slice_rows, total), tuple(entity), tuple(order), slice_rows)
 
 
+def ranked(df: DataFrame, scores: Sequence[Column], ties: Sequence[str], name: str, slice_rows: int | None = None) -> DataFrame:
+    """Position of each row over the whole table, largest ``scores`` first and NULL last."""
+    keys = [f"__score{i}" for i in range(len(scores))]
+    keyed = df.withColumns({k: -c for k, c in zip(keys, scores)}).withColumn("__whole", F.lit(0))
+    log = entity_log(keyed, ["__whole"], [*keys, *ties], slice_rows)
+    return log.numbered(name).drop("__whole", *keys)
+
+
 def _cut(df: DataFrame, entity: Sequence[str], order: Sequence[str], slice_rows: int, total: int) -> DataFrame:
     ranges = math.ceil(total / slice_rows) + 1
     keys = [*[F.col(c).asc_nulls_last() for c in entity], *[F.col(c).asc_nulls_last() for c in order]]

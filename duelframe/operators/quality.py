@@ -81,9 +81,16 @@ def guard_null_rates(df: DataFrame, columns: Sequence[str], limit: float = 0.95)
     return df
 
 
+def _two_counts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row with the sizes of two tables as ``n`` and ``m``."""
+    n = first.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(0).cast("long").alias("m"))
+    m = second.agg(F.count(F.lit(1)).alias("m")).select(F.lit(0).cast("long").alias("n"), "m")
+    return n.unionByName(m).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
 def row_ratio(contests: DataFrame, log: DataFrame, name: str, tolerance: float = 0.05) -> DataFrame:
     """Contest rows against half the log rows."""
-    sides = contests.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(log.agg(F.count(F.lit(1)).alias("m"))), F.lit(True))
+    sides = _two_counts(contests, log)
     ratio = F.coalesce(F.try_divide(F.col("n"), F.col("m") / 2), F.lit(0.0))
     return _result(sides, f"ratio:{name}", ratio, F.abs(ratio - 1) > tolerance)
 
@@ -159,6 +166,6 @@ def run_stage(stage: str, checks: Mapping[str, Callable[[], DataFrame]], strict:
 
 def join_cardinality(before: DataFrame, after: DataFrame, name: str, most_lost: float = 0.1) -> DataFrame:
     """Warn when a join multiplied rows or dropped more than ``most_lost`` of them."""
-    counts = before.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(after.agg(F.count(F.lit(1)).alias("m"))), F.lit(True))
+    counts = _two_counts(before, after)
     ratio = F.coalesce(F.try_divide(F.col("m"), F.col("n")), F.lit(1.0))
     return _result(counts, f"join:{name}", ratio, F.lit(False), (ratio > 1) | (ratio < 1 - most_lost))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.ordered import entity_log
+
 
 def _columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
@@ -60,6 +62,21 @@ def latest_array(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     return kept.groupBy(*keys).agg(bare.alias(name))
 
 
+PAGE_ROWS = 10_000
+
+
+def paged_array(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], name: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """All rows of a key as arrays of structs in order, at most ``page_rows`` to an array.
+
+    A key of any size becomes as many ``page`` rows as it needs; nothing is dropped.
+    """
+    numbered = entity_log(df, keys, order).numbered("__n", start=0)
+    item = F.struct("__n", *columns)
+    bare = F.transform(F.array_sort(F.collect_list(item)), lambda i: F.struct(*[i[c].alias(c) for c in columns]))
+    paged = numbered.withColumn("page", F.floor(F.col("__n") / page_rows))
+    return paged.groupBy(*keys, "page").agg(bare.alias(name))
+
+
 def heaviest(df: DataFrame, keys: Sequence[str], weight: str, ties: Sequence[str], minimum: float = 0) -> DataFrame:
     """The row with the largest weight per key, if it reaches ``minimum``."""
     return first_row(df, keys, [F.col(weight).desc(), *ties]).filter(F.col(weight) >= minimum)

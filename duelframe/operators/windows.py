@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from duelframe.functions.geo import great_circle_miles
-from duelframe.operators.ordered import EntityLog, entity_log
+from duelframe.operators.ordered import EntityLog, entity_log, ranked
 from duelframe.operators.topk import first_rows
 
 
@@ -330,19 +330,11 @@ def rank_then_and_now(log: DataFrame, entity: str, order: Sequence[str], score:
         F.max(F.when(F.col("__n") == 1, F.col("__score"))).alias("score_now"),
         F.max(F.when(F.col("__n") == back + 1, F.col("__score"))).alias("score_before"),
     )
-    # One row per entity remains, so these two windows see the entities only.
-    def position(c):
-        return F.row_number().over(Window.orderBy(F.col(c).desc_nulls_last(), entity))
-
     change = F.col("score_now") - F.col("score_before")
-    return pair.select(
-        entity,
-        "score_now",
-        "score_before",
-        position("score_now").alias("rank_now"),
-        position("score_before").alias("rank_before"),
-        F.when(change > steady, "up").when(change < -steady, "down").otherwise("same").alias("trend"),
-    ).withColumn("rank_change", F.col("rank_before") - F.col("rank_now"))
+    trend = F.when(change > steady, "up").when(change < -steady, "down").otherwise("same")
+    now = ranked(pair.withColumn("trend", trend), [F.col("score_now")], [entity], "rank_now")
+    both = ranked(now, [F.col("score_before")], [entity], "rank_before")
+    return both.withColumn("rank_change", F.col("rank_before") - F.col("rank_now"))
 
 
 def games_behind(df: DataFrame, group: Sequence[str], entity: str, wins: str, losses: str, season_games: Column, direct: int = 6, play_in: int = 10) -> DataFrame:

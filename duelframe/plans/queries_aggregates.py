@@ -25,7 +25,7 @@ def right():
 @query(
     "ag_conditional_split",
     "team:i season:i wins:l losses:l pct:f6 home_wins:l home_losses:l home_pct:f6 away_wins:l away_losses:l away_pct:f6 record:s",
-    """SELECT team, season, sum(win) AS wins, sum(1 - win) AS losses, avg(win) AS pct, sum(win) FILTER (WHERE is_home = 1) AS home_wins,
+    """SELECT team, season, sum(win) AS wins, sum(1 - win) AS losses, avg(win) AS pct, coalesce(sum(win) FILTER (WHERE is_home = 1), 0) AS home_wins,
     coalesce(sum(1 - win) FILTER (WHERE is_home = 1), 0) AS home_losses, avg(win) FILTER (WHERE is_home = 1) AS home_pct,
     coalesce(sum(win) FILTER (WHERE is_home = 0), 0) AS away_wins, coalesce(sum(1 - win) FILTER (WHERE is_home = 0), 0) AS away_losses,
     avg(win) FILTER (WHERE is_home = 0) AS away_pct, concat(CAST(sum(win) AS VARCHAR), '-', CAST(sum(1 - win) AS VARCHAR)) AS record
@@ -449,9 +449,7 @@ def weight_grid(s: Shapes) -> DataFrame:
     (SELECT t / 100.0 AS threshold, avg(CAST((p_home >= t / 100.0) = (home_win = 1) AS INT)) AS accuracy FROM predictions CROSS JOIN range(35, 67) r(t) GROUP BY t)""",
 )
 def threshold_search(s: Shapes) -> DataFrame:
-    searched = ag.threshold_accuracy(s.predictions(), "p_home", "home_win")
-    best = searched.agg(F.max_by("cut", F.struct("accuracy", -F.col("cut"))).alias("best_cut"))
-    return searched.join(F.broadcast(best), F.lit(True)).withColumn("best", (F.col("cut") == F.col("best_cut")).cast("int"))
+    return ag.best_threshold(ag.threshold_accuracy(s.predictions(), "p_home", "home_win"))
 
 
 @query(

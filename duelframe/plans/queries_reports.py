@@ -97,7 +97,7 @@ def rp_season_history(s: Shapes) -> DataFrame:
     """SELECT *, CASE WHEN position <= 6 THEN 100 WHEN position <= 8 THEN CASE WHEN gap > 10 THEN 15 WHEN gap > 5 THEN 50 ELSE 75 END
       WHEN position <= 10 THEN greatest(0, 50 - gap * 8) ELSE 0 END AS playoff_pct, share * least(1, 25 / max(share) OVER (PARTITION BY season)) AS title_pct
     FROM (SELECT *, score / sum(score) OVER (PARTITION BY season) * 100 AS share FROM
-      (SELECT *, 1 / (1 + ((first_value(wins) OVER o - wins) + (losses - first_value(losses) OVER o)) / 2.0) AS score,
+      (SELECT *, 1 / (1 + greatest(0, ((first_value(wins) OVER o - wins) + (losses - first_value(losses) OVER o)) / 2.0)) AS score,
         ((first_value(wins) OVER c - wins) + (losses - first_value(losses) OVER c)) / 2.0 AS gap, row_number() OVER c AS position FROM
         (SELECT season, team % 2 AS conference, team, wins, losses, pct FROM records)
        WINDOW c AS (PARTITION BY season, conference ORDER BY pct DESC, wins DESC, losses, team), o AS (PARTITION BY season ORDER BY pct DESC, wins DESC, team)))""",

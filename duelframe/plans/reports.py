@@ -11,7 +11,7 @@ from duelframe.operators import aggregates as ag, joins, windows as wn
 from duelframe.operators.ordered import entity_log
 from duelframe.operators.sets import union_by_name
 from duelframe.operators.topk import (
-    first_row, heaviest, last_n, latest_array, latest_dates, latest_nonnull, latest_row, top_by_mean,
+    PAGE_ROWS, first_row, heaviest, last_n, latest_array, latest_dates, latest_nonnull, latest_row, paged_array, top_by_mean,
 )
 from duelframe.plans.features import as_text, state_before
 
@@ -64,9 +64,8 @@ def season_history(contests: DataFrame, log: DataFrame) -> DataFrame:
     rows = log.groupBy("season", "team").agg(
         F.sum("win").alias("wins"), F.sum(1 - F.col("win")).alias("losses"), F.sum("pts").alias("pts")
     )
-    # One struct per team and season; the games are counted, not collected.
-    table = rows.groupBy("season").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("wins")).alias("order"), "team", "wins", "losses", "pts"))).alias("standings"))
+    ordered = rows.withColumn("__order", -F.col("wins"))
+    table = paged_array(ordered, ["season"], ["__order", "team"], ["team", "wins", "losses", "pts"], "standings")
     games = contests.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.min("game_date").alias("first"), F.max("game_date").alias("last"))
     return games.join(table, "season").withColumn("label", season_label(F.col("season")))
 
@@ -90,7 +89,9 @@ def playoff_chances(table: DataFrame, season: str = "season", cap: float = 25.0)
         .when(F.col("position") <= 10, F.greatest(F.lit(0.0), 50.0 - gap * 8.0))
         .otherwise(0.0)
     )
-    share = placed.withColumn("__score", 1 / (F.col("__overall") + 1)).withColumn(
+    # Best rate leads; a team ahead of the leader in games counts as level with it.
+    ahead = F.greatest(F.col("__overall"), F.lit(0.0))
+    share = placed.withColumn("__score", 1 / (ahead + 1)).withColumn(
         "__share", F.col("__score") / F.sum("__score").over(overall) * 100)
     top = F.max("__share").over(overall)
     scaled = share.withColumn("__top", top).withColumn(
@@ -165,12 +166,12 @@ def injury_report(absent: DataFrame, averages: DataFrame, player: str, team: str
     once = first_row(recent, [player, team], [F.col(day).desc()]).join(averages, player, "left")
     value = F.coalesce("average", F.lit(0.0))
     impact = measures.bucket(value, [8.0, 15.0], ["low", "medium", "high"])
-    listed = once.select(team, player, value.alias("average"), impact.alias("impact"))
-    return listed.groupBy(team).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("average")).alias("order"), player, "average", "impact"))),
-                    lambda p: F.struct(p[player].alias("player"), p["average"].alias("average"), p["impact"].alias("impact"))).alias("players"),
-        F.count_if(F.col("impact") == "high").alias("high"),
+    listed = once.select(team, player, value.alias("average"), impact.alias("impact"), (-value).alias("__order"))
+    pages = paged_array(listed.withColumnRenamed(player, "player"), [team], ["__order", "player"], ["player", "average", "impact"], "players")
+    counts = listed.groupBy(team).agg(
+        F.count_if(F.col("impact") == "high").alias("high"), F.ceil(F.count(F.lit(1)) / PAGE_ROWS).alias("pages")
     )
+    return pages.join(counts, team)
 
 
 def projected_totals(schedule: DataFrame, log: DataFrame, pace: str = "pace", league_pace: float = 99.5, threshold: float = 3.0, slice_rows: int | None = None) -> DataFrame:
@@ -315,13 +316,18 @@ def game_documents(picked: DataFrame, table: DataFrame, context: DataFrame, hist
     """
     side = lambda s: table.select(
         "season", F.col("team").alias(s), F.struct("wins", "losses", "pct").alias(f"{s}_record"))
-    absent = lambda s: out.select(F.col("team").alias(s), F.col("players").alias(f"{s}_absent"))
+    # A game with more absent players than fit on a page has further documents, which go on with them.
+    pages = lambda s: out.select(F.col("team").alias(s), F.col("pages").alias(f"{s}_pages")).distinct()
+    absent = lambda s: out.select(F.col("team").alias(s), "page", F.col("players").alias(f"{s}_absent"))
+    last = F.greatest(F.coalesce("home_pages", F.lit(1)), F.coalesce("away_pages", F.lit(1))) - 1
     keyed = picked.withColumns(joins.canonical_pair("home", "away"))
     rows = (
         keyed.join(side("home"), ["season", "home"], "left").join(side("away"), ["season", "away"], "left")
         .join(context.drop("game_date", "season", "home", "away"), "game", "left")
         .join(history.select("side_a", "side_b", F.struct("meetings", "wins_a", "wins_b", "history").alias("series")), ["side_a", "side_b"], "left")
-        .join(absent("home"), "home", "left").join(absent("away"), "away", "left")
+        .join(pages("home"), "home", "left").join(pages("away"), "away", "left")
+        .withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .join(absent("home"), ["home", "page"], "left").join(absent("away"), ["away", "page"], "left")
     )
     c = F.col
     name = lambda x: F.concat(F.lit("T"), x)
@@ -331,7 +337,7 @@ def game_documents(picked: DataFrame, table: DataFrame, context: DataFrame, hist
         "away_rate": c("away_record.pct"), "margin": c("margin"), "edge": F.when(c("value_bet") == 1, c("edge_pct")),
     })
     return rows.select(
-        "id", "game", "game_date", "home", "away",
+        "id", "game", "game_date", "home", "away", "page",
         F.struct("home_record", "away_record").alias("sides"),
         F.struct("p_home", "margin", "predicted_winner", "tier", "edge_pct").alias("prediction"),
         F.struct("home_rest", "away_rest", "home_last10", "away_last10", "flags", "summary").alias("context"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.operators.topk import on_date_or_latest
+from duelframe.operators.topk import on_date_or_latest, paged_array
 
 
 def append_snapshot(df: DataFrame, path: str, taken: Column, date: str = "game_date") -> None:
@@ -20,10 +20,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def daily_document(df: DataFrame, date: str, day: Column, order: list[str], columns: list[str]) -> DataFrame:
-    """The rows of one day (or of the latest day) as one document with a count header.
-
-    A day's rows become one array, so this is for reports, not for facts.
-    """
+    """The rows of one day (or of the latest day) as documents with a count header, one per page."""
     rows = on_date_or_latest(df, date, day)
-    item = F.struct(*order, *[c for c in columns if c not in order])
-    return rows.groupBy(date).agg(F.count(F.lit(1)).alias("count"), F.array_sort(F.collect_list(item)).alias("rows"))
+    pages = paged_array(rows, [date], order, [*order, *[c for c in columns if c not in order]], "rows")
+    counts = rows.groupBy(date).agg(F.count(F.lit(1)).alias("count"))
+    return pages.join(counts, date)
