@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.operators import windows as wn
+from duelframe.operators.aggregates import running_accuracy as daily_accuracy
 from duelframe.operators.ordered import EntityLog, entity_log
-from duelframe.plans.registry import query
+from duelframe.plans.registry import SHARED_SQL, query
 from duelframe.plans.shapes import Shapes
 
 KEY = "team:i game_date:d game:l"
@@ -198,8 +199,6 @@ def _ending_sql(condition: str) -> str:
     FROM (SELECT *, row_number() {SEASON_W}) AS n FROM contest_log WHERE {condition}) GROUP BY team, season"""
 
 
-from duelframe.plans.registry import SHARED_SQL  # noqa: E402
-
 SHARED_SQL["streaks_all"] = _ending_sql("true")
 SHARED_SQL["streaks_home"] = _ending_sql("is_home = 1")
 SHARED_SQL["streaks_away"] = _ending_sql("is_home = 0")
@@ -353,9 +352,7 @@ def standings_asof(s: Shapes) -> DataFrame:
       sum(CAST((p_home >= 0.5) = (home_win = 1) AS INT)) AS correct FROM predictions GROUP BY game_date)""",
 )
 def running_accuracy(s: Shapes) -> DataFrame:
-    from duelframe.operators.aggregates import running_accuracy as operator
-
-    return operator(s.predictions(), "game_date", (F.col("p_home") >= 0.5) == (F.col("home_win") == 1))
+    return daily_accuracy(s.predictions(), "game_date", (F.col("p_home") >= 0.5) == (F.col("home_win") == 1))
 
 
 @query(
