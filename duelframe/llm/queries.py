@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from duelframe.llm import licences, mixing, sharding, urls
+from duelframe.llm import licences, mixing, packing, sharding, token_files, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
     "op2_hilbert_shards": sharding.digest,
     "op5_url_trust": urls.digest,
+    "op6_token_files": token_files.digest,
     "op7_mixing": mixing.digest,
+    "op9_best_fit_packing": packing.digest,
 }
 
 ORACLES = {
