@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from duelframe.llm import licences, mixing, packing, sharding, token_files, urls
+from duelframe.llm import licences, mixing, packing, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
     "op2_hilbert_shards": sharding.digest,
+    "op3_toxic_segments": toxicity.digest,
     "op5_url_trust": urls.digest,
     "op6_token_files": token_files.digest,
     "op7_mixing": mixing.digest,
