@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from duelframe.llm import licences, mixing, packing, sharding, token_files, toxicity, urls
+from duelframe.llm import licences, mixing, near_copies, packing, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
     "op2_hilbert_shards": sharding.digest,
     "op3_toxic_segments": toxicity.digest,
+    "op4_near_copies": near_copies.digest,
     "op5_url_trust": urls.digest,
     "op6_token_files": token_files.digest,
     "op7_mixing": mixing.digest,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_licence_sentences": licences.SQL,
+    "op4_near_copies": near_copies.SQL,
     "op5_url_trust": urls.SQL,
     "op7_mixing": mixing.SQL,
 }
