@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.llm import licences, mixing, near_copies, packing, sharding, token_files, toxicity, urls
+from duelframe.llm import licences, mixing, near_copies, near_vectors, packing, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_trust": urls.digest,
     "op6_token_files": token_files.digest,
     "op7_mixing": mixing.digest,
+    "op8_near_vectors": near_vectors.digest,
     "op9_best_fit_packing": packing.digest,
 }
 
