@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.llm import licences, mixing, near_copies, near_vectors, packing, sharding, token_files, toxicity, urls
+from duelframe.llm import forest, licences, mixing, near_copies, near_vectors, packing, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mixing": mixing.digest,
     "op8_near_vectors": near_vectors.digest,
     "op9_best_fit_packing": packing.digest,
+    "op10_projection_forest": forest.digest,
 }
 
 ORACLES = {
