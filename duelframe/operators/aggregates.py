@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +114,10 @@ def zscore_index(df: DataFrame, period: list[str], weights: dict[str, float], na
         return F.when(spread > 0, (F.col(c) - F.col(f"__m_{c}")) / spread).otherwise(0.0)
 
     total = sum((z(c) * w for c, w in weights.items()), F.lit(0.0))
-    return df.join(stats, period).withColumn(name, total).drop(*[f"__{k}_{c}" for k in "ms" for c in weights])
+    stats = stats.withColumnsRenamed({c: f"__key_{c}" for c in period})
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in period]
+    joined = df.join(stats, same).withColumn(name, total)
+    return joined.drop(*[f"__{k}_{c}" for k in "ms" for c in weights], *[f"__key_{c}" for c in period])
 
 
 def absence_rollup(df: DataFrame, keys: list[str], star_usage: float = 0.25) -> DataFrame:
@@ -237,7 +242,8 @@ def quantile_by_rank(df: DataFrame, value: str, position: Column, keys: list[str
     counted = base.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     upto = entity_log(counted, group, [value], slice_rows).running({"__upto": ("sum", F.col("__c"))}, include_current=True)
     sizes = counted.groupBy(*group).agg(F.sum("__c").alias("n")).withColumn("__at", position * (F.col("n") - 1))
-    ranked = upto.join(sizes, group)
+    sizes = sizes.withColumnsRenamed({c: f"__key_{c}" for c in group})
+    ranked = upto.join(sizes, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in group])
     at = lambda k: F.min(F.when(F.col("__upto") > k, F.col(value)))
     found = ranked.groupBy(*group, "n", "__at").agg(
         at(F.floor("__at")).alias("__low"), at(F.ceil("__at")).alias("__high")
@@ -258,18 +264,59 @@ Z_95 = 1.959963984540054
 
 
 def accuracy_test(df: DataFrame, correct: Column, keys: list[str] = (), null_rate: float = 0.5) -> DataFrame:
-    """Accuracy, Wilson 95% interval and one-sided p-value (normal, continuity corrected) per group."""
-    from duelframe.functions.market import normal_cdf
-
+    """Accuracy, Wilson 95% interval and exact one-sided binomial p-value per group; ``significant`` at 5%."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(correct.cast("int")).alias("wins"))
     n, p = F.col("n"), F.col("wins") / F.col("n")
     z2 = Z_95**2
     centre = (p + z2 / (2 * n)) / (1 + z2 / n)
     spread = Z_95 * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n) / (1 + z2 / n)
-    score = (F.col("wins") - 0.5 - n * null_rate) / F.sqrt(n * (null_rate * (1 - null_rate)))
     return counts.withColumns({
-        "accuracy": p, "ci_lower": centre - spread, "ci_upper": centre + spread, "p_value": 1 - normal_cdf(score),
-    })
+        "accuracy": p, "ci_lower": centre - spread, "ci_upper": centre + spread,
+        "p_value": binomial_tail(F.col("wins"), n, null_rate),
+    }).withColumn("significant", (F.col("p_value") < 0.05).cast("int"))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight steps further on."""
+    steps = F.lit(1.0)
+    for i in range(8):
+        steps = steps * (x + i)
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(steps)
+
+
+def binomial_tail(wins: Column, n: Column, rate: float) -> Column:
+    """P(at least ``wins`` of ``n``): the regularised incomplete beta function by its continued fraction.
+
+    The fraction converges within a few square roots of ``n`` steps; so many are taken, whatever the values. It is
+    evaluated on the side of the mean where it converges, the other side is the complement.
+    """
+    a, b = wins.cast("double"), (n - wins + 1).cast("double")
+    swap = F.lit(rate) > (a + 1) / (a + b + 2)
+    p = F.when(swap, b).otherwise(a)
+    q = F.when(swap, a).otherwise(b)
+    x = F.when(swap, 1 - rate).otherwise(F.lit(rate))
+    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(x) + q * F.log(1 - x)) / p
+    steps = F.sequence(F.lit(1), F.ceil(50 + 8 * F.sqrt(n)).cast("int"))
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def half(at: Column, term: Column) -> Column:
+        c, d = safe(1 + term / at["c"]), 1 / safe(1 + term * at["d"])
+        return state(c, d, at["h"] * c * d)
+
+    first = 1 / safe(1 - (p + q) * x / (p + 1))
+    odd = lambda at, m: half(at, -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1)))
+    even = lambda at, m: half(at, m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m)))
+    # two terms to a step, each as a step of its own so that no expression is evaluated twice over
+    halves = F.flatten(F.transform(steps, lambda m: F.array(F.struct(m.alias("m"), F.lit(True).alias("e")), F.struct(m.alias("m"), F.lit(False).alias("e")))))
+    folded = F.aggregate(
+        halves, state(F.lit(1.0), first, first), lambda at, s: F.when(s["e"], even(at, s["m"])).otherwise(odd(at, s["m"])), lambda at: at["h"]
+    )
+    value = front * folded
+    inner = F.when(swap, 1 - value).otherwise(value)
+    return F.when(wins <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), inner)))
 
 
 def paired_models_test(df: DataFrame, a: Column, b: Column, keys: list[str] = ()) -> DataFrame:
@@ -286,28 +333,29 @@ def paired_models_test(df: DataFrame, a: Column, b: Column, keys: list[str] = ()
     statistic = F.coalesce(F.try_divide(apart * apart, F.col("only_a") + F.col("only_b")), F.lit(0.0))
     # A chi-square variable with one degree of freedom is a squared normal one.
     tail = F.when(F.col("only_a") + F.col("only_b") == 0, 1.0).otherwise(2 * (1 - normal_cdf(F.sqrt("statistic"))))
-    return counts.withColumn("statistic", statistic).withColumn("p_value", tail)
+    return counts.withColumn("statistic", statistic).withColumn("p_value", tail).withColumn("significant", (F.col("p_value") < 0.05).cast("int"))
 
 
 def bootstrap_roi(df: DataFrame, profit: str, replicates: int = 10_000, decimals: int = 4) -> DataFrame:
     """Bootstrap interval and p-value of the return on equal resamples.
 
     Bets with the same (rounded) profit are counted first. In a replicate such a
-    group of ``c`` bets is drawn Poisson(c) times; here by its normal form with
-    hash-seeded deviates, so the work depends on the number of distinct profits,
-    not on the number of bets, and a retried task draws the same.
+    group of ``c`` bets is drawn Poisson(c) times, by a generator that the profit
+    seeds: exact for every count, a retried task draws the same, and the work
+    depends on the number of distinct profits, not on the number of bets.
     """
+
     groups = df.groupBy(F.round(profit, decimals).alias("profit")).agg(F.count(F.lit(1)).alias("c"))
-    draws = groups.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
 
-    def uniform(salt: int) -> Column:
-        bits = F.pmod(F.xxhash64("profit", "replicate", F.lit(salt)), F.lit(2**40))
-        return (bits + 0.5) / 2**40
+    @F.pandas_udf("array<long>")
+    def drawn(count: pd.Series, seed: pd.Series) -> pd.Series:
+        # one array of replicates per distinct profit
+        return pd.Series([np.random.default_rng([s & (1 << 63) - 1, 1]).poisson(c, replicates) for c, s in zip(count, seed, strict=True)])
 
-    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(uniform(2) * 6.283185307179586)
-    drawn = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt(F.col("c")) * normal))
+    seeded = groups.withColumn("k", drawn("c", F.xxhash64("profit")))
+    draws = seeded.select("profit", "c", F.posexplode("k").alias("at", "k")).withColumn("replicate", F.col("at") + 1)
     # The stake of a bet is what it risks: one unit lost, or the profit of a win.
-    per_replicate = draws.withColumn("k", drawn).groupBy("replicate").agg(
+    per_replicate = draws.groupBy("replicate").agg(
         F.try_divide(F.sum(F.col("k") * F.col("profit")), F.sum(F.col("k") * F.abs("profit"))).alias("roi")
     )
     # Replicate 0 is the data itself.
@@ -324,7 +372,7 @@ def bootstrap_roi(df: DataFrame, profit: str, replicates: int = 10_000, decimals
         F.avg((drawn_roi <= 0).cast("int")).alias("p_value"),
         F.max("n_bets").alias("n_bets"),
         F.count(drawn_roi).alias("replicates"),
-    )
+    ).withColumn("significant", (F.col("p_value") < 0.05).cast("int"))
 
 
 def weight_grid(df: DataFrame, p: str, margin: str, y: str, scales: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 25.0, 30.0), steps: int = 20) -> DataFrame:

@@ -36,27 +36,16 @@ def opponent_lookup(df: DataFrame, keys: Sequence[str], entity: str, opponent: s
 
 
 def opponent_columns(df: DataFrame, keys: Sequence[str], entity: str, opponent: str, columns: Sequence[str], prefix: str = "opp_") -> DataFrame:
-    """Add the other side's ``columns`` to both rows of each contest of exactly two rows.
+    """Add the other side's ``columns`` to each row; rows without another side in the contest get NULLs.
 
-    Both rows meet in one aggregate on the contest key, which combines before
-    the shuffle, instead of in a self-join with two shuffles.
+    A left join on the contest and the opponent's name: a contest that lacks a side keeps the one it has.
     """
-    row = F.struct(*df.columns)
-    sides = df.groupBy(*keys).agg(
-        F.min_by(row, F.col(entity)).alias("__a"),
-        F.max_by(row, F.col(entity)).alias("__b"),
-        F.count(F.lit(1)).alias("__n"),
-    )
-    both = sides.filter(F.col("__n") == 2).select(
-        F.explode(F.array(
-            F.struct(F.col("__a").alias("own"), F.col("__b").alias("other")),
-            F.struct(F.col("__b").alias("own"), F.col("__a").alias("other")),
-        )).alias("__pair")
-    )
-    matched = F.col(f"__pair.own.{opponent}") == F.col(f"__pair.other.{entity}")
-    return both.filter(matched).select(
-        "__pair.own.*", *[F.col(f"__pair.other.{c}").alias(f"{prefix}{c}") for c in columns]
+    other = df.select(
+        *[F.col(c).alias(f"__key_{c}") for c in keys], F.col(entity).alias("__other"),
+        *[F.col(c).alias(f"{prefix}{c}") for c in columns],
     )
+    match = [F.col(c) == F.col(f"__key_{c}") for c in keys] + [F.col(opponent) == F.col("__other")]
+    return df.join(other, match, "left").drop("__other", *[f"__key_{c}" for c in keys])
 
 
 def two_sided(df: DataFrame, keys: Sequence[str], home_flag: str, columns: Sequence[str], home: str = "home_", away: str = "away_") -> DataFrame:
@@ -79,8 +68,10 @@ def as_of_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
 
     Both sides form one ordered log; the last right row seen is a running
     aggregate, so a key of any size can be cut into blocks. ``tie`` orders rows
-    of the same side and time and exists on both sides.
+    of the same side and time and exists on both sides. A NULL key matches nothing.
     """
+    for c in keys:
+        right = right.filter(F.col(c).isNotNull())
     value = F.struct(*columns)
     empty = F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType)
     events = left.select(
@@ -193,19 +184,14 @@ def era_of(code: Column, unknown: str = "Unknown") -> Column:
     return chain.otherwise(unknown)
 
 
-MAX_BROADCAST_INTERVALS = 10_000
-
-
 def in_interval(df: DataFrame, point: str, intervals: DataFrame, start: str, end: str) -> DataFrame:
-    """Left join with a table of disjoint closed intervals.
+    """Left join with a table of closed intervals, of which the last that starts at or before a point counts.
 
-    A small table, by count, is broadcast. For any other the last interval that
-    starts at or before a point is found as of it, and its end is checked.
+    That interval is found as of the point, and its end is checked; for disjoint intervals it is the only one
+    that can match. NULL points and intervals match nothing.
     """
-    if intervals.limit(MAX_BROADCAST_INTERVALS + 1).count() <= MAX_BROADCAST_INTERVALS:
-        return df.join(F.broadcast(intervals), F.col(point).between(F.col(start), F.col(end)), "left")
     left = df.withColumns({"__whole": F.lit(0), "__tie": F.col(point)})
-    right = intervals.withColumns({"__whole": F.lit(0), "__tie": F.col(start)})
+    right = intervals.filter(F.col(start).isNotNull()).withColumns({"__whole": F.lit(0), "__tie": F.col(start)})
     names = intervals.columns
     found = as_of_backward(left, right, ["__whole"], point, start, "__tie", names)
     inside = F.col(point) <= F.col(end)

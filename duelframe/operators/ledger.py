@@ -98,7 +98,8 @@ def line_report(sources: Sequence[DataFrame], keys: Sequence[str] = LINE_KEYS) -
     row says nothing.
     """
     ranked = [df.withColumn("__priority", F.lit(i)) for i, df in enumerate(sources)]
-    chosen = first_row(union_by_name(ranked), keys, ["__priority"])
+    claims = union_by_name(ranked)
+    chosen = first_row(claims, keys, ["__priority", *sorted(set(claims.columns) - {"__priority"})])
     usable = F.col("opening_spread").isNotNull() & ((F.col("needs_close") == 0) | F.col("closing_spread").isNotNull())
     opening = F.col("opening_spread")
     pending = F.col("closing_spread").isNull()

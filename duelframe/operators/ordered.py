@@ -10,8 +10,8 @@ Here an entity larger than ``slice_rows`` is cut into consecutive blocks:
 * running aggregates get the combined aggregates of all earlier blocks as carry.
 
 Only entities that straddle a range boundary need block offsets: at most two
-per range, so the tables that are broadcast have at most two rows per
-``slice_rows`` input rows. Logs without large entities take the plain window.
+per range, so the tables of offsets and carries have at most two rows per
+``slice_rows`` input rows. Both paths give the same rows and types; a NULL key is an entity. Logs without large entities take the plain window.
 """
 
 from __future__ import annotations
@@ -96,14 +96,15 @@ class EntityLog:
         )
         before = Window.partitionBy(*self.entity).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         carry = whole.select(
-            *self.entity,
-            _BLOCK,
+            *[F.col(c).alias(f"__key_{c}") for c in (*self.entity, _BLOCK)],
             *[
                 _merge(kind, F.col(f"__whole_{name}")).over(before).alias(f"__carry_{name}")
                 for name, (kind, _) in columns.items()
             ],
         )
-        joined = self.df.withColumns(local).join(F.broadcast(carry), [*self.entity, _BLOCK], "left")
+        # A NULL key is an entity like any other.
+        same = [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in (*self.entity, _BLOCK)]
+        joined = self.df.withColumns(local).join(carry, same, "left").drop(*[f"__key_{c}" for c in (*self.entity, _BLOCK)])
         merged = {
             name: _finish(kind, _combine(kind, F.col(name), F.col(f"__carry_{name}")))
             for name, (kind, _) in columns.items()
@@ -116,10 +117,10 @@ class EntityLog:
 
     def numbered_log(self, name: str, start: int = 1) -> EntityLog:
         if not self.is_cut:
-            return self._with(self.df.withColumn(name, F.row_number().over(self.window()) + F.lit(start - 1)))
+            return self._with(self.df.withColumn(name, F.row_number().over(self.window()).cast("long") + F.lit(start - 1)))
         within = F.row_number().over(self.window()) - 1
         position = F.coalesce(F.col(_POS), within.cast("long"))
-        return self._with(self.df.withColumn(name, (position + F.lit(start)).cast("int")))
+        return self._with(self.df.withColumn(name, position + F.lit(start)))
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> EntityLog:
         """Apply a row-wise change (added columns) without losing the cut."""
@@ -197,7 +198,7 @@ def _cut(df: DataFrame, entity: Sequence[str], order: Sequence[str], slice_rows:
     for c in entity:
         match = match & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
     return (
-        numbered.join(F.broadcast(straddling), match, "left")
+        numbered.join(straddling, match, "left")
         .withColumn(_POS, F.col(_SEQ) + F.col("__shift"))
         .withColumn(_BLOCK, F.coalesce(F.floor(F.col(_POS) / slice_rows), F.lit(0)))
         .drop("__shift", "__key_range", _RANGE, *[f"__key_{c}" for c in entity])

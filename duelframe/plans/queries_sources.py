@@ -175,7 +175,7 @@ def tolerant_union(s: Shapes) -> DataFrame:
     rows.select("PLAYER ID").write.option("header", True).csv(f"{root}/incomplete")
     paths = {name: f"{root}/{name}" for name in ("a", "b", "incomplete", "absent")}
     table, skipped = files.tolerant_union(s.spark, paths, ["player_id", "game_id"])
-    if skipped != ["incomplete", "absent"]:
+    if list(skipped) != ["incomplete", "absent"]:
         raise AssertionError(skipped)
     return table.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("pts").try_cast("bigint")).alias("pts"))
 
@@ -304,12 +304,12 @@ def skip_existing(s: Shapes) -> DataFrame:
 @query(
     "snk_append_snapshot",
     "game_date:d home:i away:i spread:f2 hour:i",
-    """SELECT game_date, home, away, spread, 9 AS hour FROM odds WHERE home < 12
-    UNION ALL SELECT game_date, home, away, spread + 1, 15 FROM odds WHERE home < 12""",
+    """SELECT game_date, home, away, spread, 9 AS hour FROM odds
+    UNION ALL SELECT game_date, home, away, spread + 1, 15 FROM odds""",
 )
 def append_snapshot(s: Shapes) -> DataFrame:
     path = new_path(s.spark, "snapshots")
-    quotes = s.odds().filter("home < 12").select(F.trunc("game_date", "year").alias("year"), "game_date", "home", "away", "spread")
+    quotes = s.odds().select(F.trunc("game_date", "year").alias("year"), "game_date", "home", "away", "spread")
     taken = lambda hour: F.lit(f"2001-08-01 {hour:02d}:00:00").cast("timestamp")
     sinks.append_snapshot(quotes, path, taken(9), "year")
     sinks.append_snapshot(quotes.withColumn("spread", F.col("spread") + 1), path, taken(15), "year")

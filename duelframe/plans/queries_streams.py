@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from duelframe.operators.ledger import LINE_KEYS
 from duelframe.plans.queries_ledger import dated
@@ -14,14 +15,18 @@ from duelframe.storage import new_path
 from duelframe.streaming import twins
 
 
-def staged(s: Shapes, df: DataFrame, time: str, label: str, parts: int = 3) -> str:
-    """Write ``df`` in ``parts`` steps of time, each a later folder, as if it had arrived that way."""
+def staged(s: Shapes, df: DataFrame, time: str, label: str, parts: int = 3) -> Iterator[str]:
+    """Write ``df`` in ``parts`` steps of time into one folder, and give the folder after each, as if rows arrived that way.
+
+    Rows without a time arrive first; if all times are equal, so does everything.
+    """
     path = new_path(s.spark, label)
     first, last = df.agg(F.min(time).cast("double"), F.max(time).cast("double")).first()
-    part = F.least(F.floor((F.col(time).cast("double") - first) / ((last - first) / parts)), F.lit(parts - 1))
+    width = ((last or 0.0) - (first or 0.0)) / parts or 1.0
+    part = F.coalesce(F.least(F.floor((F.col(time).cast("double") - (first or 0.0)) / width), F.lit(parts - 1)), F.lit(0))
     for n in range(parts):
-        df.filter(part == n).coalesce(1).write.parquet(f"{path}/part-{n}")
-    return path
+        df.filter(part == n).write.parquet(f"{path}/part-{n}")
+        yield path
 
 
 @query(
@@ -31,25 +36,35 @@ def staged(s: Shapes, df: DataFrame, time: str, label: str, parts: int = 3) -> s
 )
 def incremental_ingest(s: Shapes) -> DataFrame:
     rows = s.log()
-    source, table, checkpoint = staged(s, rows, "ts", "arrivals"), new_path(s.spark, "ingested"), new_path(s.spark, "state")
-    # The second run finds nothing new.
-    for _ in range(2):
-        twins.ingest(twins.arriving(s.spark, source, rows.schema), table, checkpoint)
+    table, checkpoint = new_path(s.spark, "ingested"), new_path(s.spark, "state")
+    for source in staged(s, rows, "ts", "arrivals"):
+        # The second run finds nothing new.
+        for _ in range(2):
+            twins.ingest(twins.arriving(s.spark, source, rows.schema), table, checkpoint)
     return s.spark.read.schema(rows.schema).parquet(table)
 
 
 @query(
     "st_open_latest",
     "day:d entity:l opening:f6 latest:f6 snapshots:l",
-    """SELECT day, entity, arg_min(quote, ts) AS opening, arg_max(quote, ts) AS latest, count(*) AS snapshots FROM event_log WHERE quote IS NOT NULL
-      AND day + 1 <= (SELECT max(ts) FILTER (WHERE quote IS NOT NULL) - INTERVAL 2 HOURS FROM event_log) GROUP BY day, entity""",
+    """SELECT day, entity, arg_min(quote, struct_pack(t := ts, q := quote)) AS opening, arg_max(quote, struct_pack(t := ts, q := quote)) AS latest,
+      count(*) AS snapshots FROM event_log WHERE quote IS NOT NULL GROUP BY day, entity""",
 )
 def open_latest(s: Shapes) -> DataFrame:
     rows = s.log().select("entity", "ts", "quote")
-    source, table, checkpoint = staged(s, rows, "ts", "quotes"), new_path(s.spark, "final"), new_path(s.spark, "state")
-    stream = twins.arriving(s.spark, source, rows.schema, files_per_batch=1)
-    final = twins.open_and_latest(stream, ["entity"], "quote", "ts")
-    twins.append_final(final, table, checkpoint)
+    table, checkpoint = new_path(s.spark, "final"), new_path(s.spark, "state")
+
+    def take(source: str) -> DataFrame:
+        final = twins.open_and_latest(twins.arriving(s.spark, source, rows.schema), ["entity"], "quote", "ts")
+        twins.append_final(final, table, checkpoint)
+        return final
+
+    for source in staged(s, rows, "ts", "quotes"):
+        take(source)
+    # Closing rows move the watermark past the last window; the windows they open themselves stay open.
+    for n in (1, 2):
+        twins.closing(rows, "ts", {"quote": 0.0}).write.parquet(f"{source}/closing-{n}")
+        final = take(source)
     return s.spark.read.schema(final.schema).parquet(table)
 
 
@@ -60,8 +75,7 @@ def open_latest(s: Shapes) -> DataFrame:
 )
 def write_once(s: Shapes) -> DataFrame:
     rows = dated(s).select("id", "game_date", "home", "away", "p_home", "created_at")
-    source, store, checkpoint = staged(s, rows, "created_at", "predictions"), new_path(s.spark, "store"), new_path(s.spark, "state")
-    stream = twins.arriving(s.spark, source, rows.schema, files_per_batch=1)
-    twins.store_first(stream, store, checkpoint, LINE_KEYS, ["created_at", "id"])
-    stored = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
-    return s.spark.read.schema(stored).parquet(store)
+    store, checkpoint = new_path(s.spark, "store"), new_path(s.spark, "state")
+    for source in staged(s, rows, "created_at", "predictions"):
+        twins.store_first(twins.arriving(s.spark, source, rows.schema), store, checkpoint, LINE_KEYS, ["created_at", "id"], "game_date")
+    return twins.stored(s.spark, store, rows.schema)

@@ -77,14 +77,13 @@ def min_periods(s: Shapes) -> DataFrame:
 
 def _ewma_sql(source: str, entity: str, column: str, span: int) -> str:
     keep = 1 - 2 / (span + 1)
-    reach = wn.ewma_rows(span)
     return f"""SELECT a.*, b.m AS {column}_ewma{span} FROM
     (SELECT *, row_number() OVER (PARTITION BY {entity} ORDER BY game_date, game) AS n FROM {source}) a LEFT JOIN
     (SELECT x.{entity} AS e, x.n AS n,
        sum(y.{column} * pow({keep}, x.n - y.n - 1)) / sum(CASE WHEN y.{column} IS NOT NULL THEN pow({keep}, x.n - y.n - 1) END) AS m
      FROM (SELECT {entity}, row_number() OVER (PARTITION BY {entity} ORDER BY game_date, game) AS n FROM {source}) x
      JOIN (SELECT {entity}, {column}, row_number() OVER (PARTITION BY {entity} ORDER BY game_date, game) AS n FROM {source}) y
-       ON x.{entity} = y.{entity} AND y.n < x.n AND y.n >= x.n - {reach}
+       ON x.{entity} = y.{entity} AND y.n < x.n
      GROUP BY x.{entity}, x.n) b ON a.{entity} = b.e AND a.n = b.n"""
 
 

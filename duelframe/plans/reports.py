@@ -35,7 +35,7 @@ def absences(status: DataFrame, days: DataFrame) -> DataFrame:
     columns = ["player", "team", "day", "min_roll5", "usage"]
     absent = joins.missing_from(expected, days, ["player", "day"]).select(*columns, F.lit(1).alias("was_absent"))
     played = status.filter("in_rotation").select(*columns, F.lit(0).alias("was_absent"))
-    return first_row(absent.unionByName(played), ["player", "team", "day"], [F.col("was_absent").desc()])
+    return first_row(absent.unionByName(played), ["player", "team", "day"], [F.col("was_absent").desc(), "min_roll5", "usage"])
 
 
 def standings(log: DataFrame, groups: DataFrame, season_games: int | Column, direct: int = 6, play_in: int = 10, slice_rows: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,23 +68,25 @@ def dimension(df: DataFrame, names: Mapping[str, str], key: str, order: Sequence
     return first_row(with_integer_key(renamed, key), [key], list(order) or sorted(renamed.columns))
 
 
-def tolerant_union(spark: SparkSession, paths: Mapping[str, str], required: Sequence[str]) -> tuple[DataFrame | None, list[str]]:
-    """Union of the CSV sources that have the required columns, and the names of those that do not.
+def tolerant_union(spark: SparkSession, paths: Mapping[str, str], required: Sequence[str]) -> tuple[DataFrame | None, dict[str, str]]:
+    """Union of the CSV sources that have the required columns, and why each other one was left out.
 
-    Only headers are looked at to decide; a source that cannot be read counts as unusable.
+    Only headers are looked at to decide; a source that is not there is left out, any other failure to read is an error.
     """
-    usable, skipped = [], []
+    usable, skipped = [], {}
     for name, path in paths.items():
         try:
             reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
             df = clean_columns(reader.csv(path))
-        except Exception:  # an unreadable source is reported, not fatal
-            skipped.append(name)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            skipped[name] = "absent"
             continue
         if set(required) <= set(df.columns):
             usable.append(df.withColumn("source", F.lit(name)))
         else:
-            skipped.append(name)
+            skipped[name] = "lacks " + ", ".join(sorted(set(required) - set(df.columns)))
     return (union_by_name(usable) if usable else None), skipped
 
 
@@ -137,8 +140,8 @@ def load_registered(spark: SparkSession, root: str, tables: Mapping[str, Seasona
     for name, table in tables.items():
         try:
             raw = read_seasons(spark, f"{root}/{name}", table.prefix, table.schema)
-        except Exception:
-            if table.optional:
+        except AnalysisException as missing:
+            if table.optional and missing.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
         df = raw.transform(lambda d: d.toDF(*[clean_name(c) for c in d.columns]))

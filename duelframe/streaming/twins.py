@@ -45,12 +45,14 @@ def open_and_latest(stream: DataFrame, keys: Sequence[str], quote: str, time: st
     """Opening and latest quote per key and time window.
 
     The window is part of the key, so state is dropped once the watermark has
-    passed it. In append mode the rows are final.
+    passed it. In append mode the rows are final. Of equal times the smallest
+    quote counts as first, the largest as last.
     """
+    moment = F.struct(F.col(time), F.col(quote))
     timed = stream.filter(F.col(quote).isNotNull()).withWatermark(time, lateness)
     return timed.groupBy(F.window(time, width).alias("window"), *keys).agg(
-        F.min_by(quote, time).alias("opening"),
-        F.max_by(quote, time).alias("latest"),
+        F.min_by(quote, moment).alias("opening"),
+        F.max_by(quote, moment).alias("latest"),
         F.count(F.lit(1)).alias("snapshots"),
     ).select(F.to_date("window.start").alias("day"), *keys, "opening", "latest", "snapshots")
 
@@ -61,22 +63,51 @@ def append_final(df: DataFrame, path: str, checkpoint: str) -> None:
     finish(writer.trigger(availableNow=True).start(path))
 
 
-def store_first(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]) -> None:
-    """First row per key. Each batch has its own folder, so that a repeated batch replaces itself."""
+def closing(rows: DataFrame, time: str, values: dict[str, object], beyond: str = "INTERVAL 3 DAYS") -> DataFrame:
+    """One row like ``rows``, far enough behind their last time to close all their windows; other columns are NULL.
+
+    A watermark moves with the rows of a batch and takes effect in the next, so such a row is sent twice.
+    """
+    last = rows.agg(F.max(time).alias("__last"))
+    at = F.expr(f"__last + {beyond}")
+    columns = [(at if f.name == time else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    return last.filter("__last IS NOT NULL").select(*columns)
+
+
+_STORE_DATE = "store_date"
+
+
+def store_first(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], order: Sequence[str], date: str) -> None:
+    """First row per key. Each batch has its own folder, so that a repeated batch replaces itself.
+
+    Within a batch rows are stored by ``date``, one of the keys: a batch reads only the dates that it brings.
+    """
     schema = stream.schema
 
     def add(batch: DataFrame, number: int) -> None:
-        stored = _stored(batch.sparkSession, path, schema)
-        earlier = None if stored is None else stored.filter(F.col("batch") < number)
-        write_once(earlier, batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        earlier = _store(batch.sparkSession, path, schema)
+        if earlier is not None:
+            dates = batch.select(F.col(date).alias(_STORE_DATE)).distinct()
+            earlier = earlier.filter(F.col("batch") < number).join(dates, _STORE_DATE, "left_semi").drop("batch", _STORE_DATE)
+        fresh = write_once(earlier, batch, keys, order).withColumn(_STORE_DATE, F.col(date))
+        fresh.write.mode("overwrite").partitionBy(_STORE_DATE).parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     finish(writer.trigger(availableNow=True).start())
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
-    """What earlier batches stored; None before the first."""
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a store, in the columns of ``schema``."""
+    found = _store(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found.select(*schema.names)
+
+
+def _store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """What earlier batches stored; None before the first. Any other failure to read is an error."""
+    found = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField(_STORE_DATE, T.DateType())])
     try:
-        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    except AnalysisException:
+        return spark.read.schema(found).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None

@@ -58,19 +58,25 @@ def test_validity_agrees_with_as_of(spark):
     assert got == want and got
 
 
-def test_opponent_columns_needs_both_rows(spark):
-    df = spark.createDataFrame([(1, "A", "B", 90), (1, "B", "A", 80), (2, "A", "C", 70)], "game int, team string, opp string, pts int")
+def test_opponent_columns_keep_rows_without_another_side(spark):
+    df = spark.createDataFrame([(1, "A", "B", 90), (1, "B", "A", 80), (2, "A", "C", 70), (None, "D", "E", 1), (None, "E", "D", 2)], "game int, team string, opp string, pts int")
     got = {(r["game"], r["team"], r["opp_pts"]) for r in joins.opponent_columns(df, ["game"], "team", "opp", ["pts"]).collect()}
-    assert got == {(1, "A", 80), (1, "B", 90)}
+    assert got == {(1, "A", 80), (1, "B", 90), (2, "A", None), (None, "D", None), (None, "E", None)}
 
 
-def test_intervals_beyond_the_broadcast_limit(spark, monkeypatch):
-    points = spark.createDataFrame([(i,) for i in range(30)], "x int")
-    spells = spark.createDataFrame([(0, 4, "a"), (10, 14, "b"), (20, 20, "c")], "lo int, hi int, name string")
-    read = lambda: sorted((r["x"], r["name"]) for r in joins.in_interval(points, "x", spells, "lo", "hi").select("x", "name").collect() if r["name"])
-    small = read()
-    monkeypatch.setattr(joins, "MAX_BROADCAST_INTERVALS", 1)
-    assert read() == small == sorted([(i, "a") for i in range(5)] + [(i, "b") for i in range(10, 15)] + [(20, "c")])
+def test_points_in_intervals(spark):
+    points = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "x int")
+    spells = spark.createDataFrame([(0, 4, "a"), (10, 14, "b"), (20, 20, "c"), (None, 3, "d")], "lo int, hi int, name string")
+    got = [(r["x"], r["name"]) for r in joins.in_interval(points, "x", spells, "lo", "hi").select("x", "name").collect()]
+    assert len(got) == 31 and (None, None) in got
+    assert sorted(g for g in got if g[1]) == sorted([(i, "a") for i in range(5)] + [(i, "b") for i in range(10, 15)] + [(20, "c")])
+
+
+def test_as_of_ignores_null_keys(spark):
+    left = spark.createDataFrame([(1, 5, 1), (None, 5, 2)], "k int, t int, tie int")
+    right = spark.createDataFrame([(1, 4, 1, "x"), (None, 4, 2, "y")], "k int, u int, tie int, v string")
+    got = {(r["k"], r["v"]) for r in joins.as_of_backward(left, right, ["k"], "t", "u", "tie", ["v"]).collect()}
+    assert got == {(1, "x"), (None, None)}
 
 
 @pytest.mark.parametrize("rows", [None, 9])
@@ -100,6 +106,30 @@ def test_bootstrap_covers_the_return(spark):
     assert 0.02 < row["ci_upper"] - row["ci_lower"] < 0.2
 
 
+@pytest.mark.parametrize("distinct", [2, 1500])
+def test_bootstrap_agrees_with_plain_resampling(spark, distinct):
+    rng = np.random.default_rng(3)
+    profit = np.round(rng.uniform(-1, 1.05, 1500), 4) if distinct > 2 else np.where(rng.random(1500) < 0.54, 0.9091, -1.0)
+    df = spark.createDataFrame([(float(p),) for p in profit], "profit double")
+    row = ag.bootstrap_roi(df, "profit", replicates=4000).first()
+    drawn = profit[rng.integers(0, 1500, (4000, 1500))]
+    plain = np.quantile(drawn.sum(axis=1) / np.abs(drawn).sum(axis=1), [0.025, 0.975])
+    width = plain[1] - plain[0]
+    assert abs(row["ci_lower"] - plain[0]) < 0.06 * width and abs(row["ci_upper"] - plain[1]) < 0.06 * width
+
+
+def test_binomial_tail_is_exact(spark):
+    from math import comb
+
+    cases = [(n, k) for n in (1, 2, 7, 30, 400) for k in sorted({0, 1, n // 3, n // 2, n - 1, n})]
+    df = spark.createDataFrame(cases, "n long, k long")
+    for rate in (0.5, 0.524):
+        got = df.withColumn("p", ag.binomial_tail(F.col("k"), F.col("n"), rate)).collect()
+        for r in got:
+            want = sum(comb(r["n"], i) * rate**i * (1 - rate) ** (r["n"] - i) for i in range(r["k"], r["n"] + 1))
+            assert r["p"] == pytest.approx(want, rel=1e-9, abs=1e-14)
+
+
 def test_walk_forward_without_bets(spark):
     df = spark.createDataFrame([(s, date(s), s, 0.5, 0.5, 1) for s in range(5)], "season int, d date, id int, p double, q double, y int")
     seasons = ag.walk_forward(df, "season", ["d", "id"], "p", "q", "y")

@@ -141,3 +141,51 @@ def test_changing_a_row_does_not_change_its_own_or_earlier_features(log_df):
     before = build(log_df).filter("id <= 200")
     after = build(changed).filter("id <= 200")
     same(before, after, columns)
+
+
+@pytest.fixture(scope="module")
+def null_keys(spark):
+    """A third of the rows has no entity, a few have no day."""
+    rng = random.Random(5)
+    rows = [
+        (rng.choice([None, 1, 2]), None if i % 29 == 0 else f"2024-01-{1 + i * 28 // 200:02d}", i, None if i % 7 == 0 else float(i % 13), i % 3 % 2)
+        for i in range(200)
+    ]
+    return spark.createDataFrame(rows, "entity int, day string, id int, value double, flag int").withColumn("day", F.to_date("day"))
+
+
+NULL_KEY_RUNS = {
+    "running": (lambda log: log.running({"a": ("sum", F.col("value")), "b": ("last", F.col("value")), "c": ("count", F.col("value"))}), ["a", "b", "c"]),
+    "numbered": (lambda log: log.numbered("n"), ["n"]),
+    "means": (lambda log: wn.lag_mean(log, ["value"], [5]).result, ["value_roll5"]),
+    "expanding": (lambda log: wn.expanding_mean(log, F.col("value"), "m").result, ["m"]),
+    "streak": (lambda log: wn.streak(log, "flag").result, ["streak"]),
+    "drawdown": (lambda log: wn.drawdown(log, "value").result, ["running_profit", "drawdown"]),
+    "downsample": (lambda log: wn.downsample(log), ["value"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(NULL_KEY_RUNS))
+def test_null_keys_are_an_entity_cut_or_not(null_keys, name):
+    run, columns = NULL_KEY_RUNS[name]
+    plain, cut = logs(null_keys, 20)
+    a, b = run(plain), run(cut)
+    assert dict(a.select(columns).dtypes) == dict(b.select(columns).dtypes)
+    same(a, b, columns)
+
+
+def test_calendar_counts_with_null_keys(null_keys):
+    count = lambda slice_rows: wn.calendar_counts(null_keys, ["entity"], "day", ["id"], [3, 7], slice_rows=slice_rows)
+    assert count(20).count() == count(None).count() == 200
+    same(count(None), count(20), ["rows_last_3_days", "rows_last_7_days"])
+
+
+@pytest.mark.parametrize("slice_rows", [None, 300])
+def test_ewma_across_long_runs_of_nulls(spark, slice_rows):
+    values = [float(i % 17) if i < 150 or i > 1180 or i == 700 else None for i in range(1300)]
+    df = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "entity int, id int, value double")
+    log = entity_log(df, ["entity"], ["id"], slice_rows)
+    got = wn.ewma(log, ["value"], [7, 3]).result.toPandas().sort_values("id")
+    for span in (3, 7):
+        want = pd.Series(values).ewm(span=span, adjust=True, ignore_na=False).mean().shift(1)
+        np.testing.assert_allclose(got[f"value_ewma{span}"].to_numpy(float), want.to_numpy(), rtol=1e-9)

@@ -17,7 +17,6 @@ FOLDER = "/root/testdata/sf0.001"
 CHECKS = entry.oracle_sql()
 MODELS = sorted(n for n in REGISTRY if n.startswith("ml_") and n not in CHECKS)
 # A table of era-like intervals, limited by count, is joined by range.
-NESTED_LOOP_ALLOWED = {"jn_range_era"}
 
 
 @pytest.fixture(scope="module")
@@ -43,14 +42,19 @@ def test_query_matches_sql(spark, duck, name, capsys):
     df.explain("simple")
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan
-    if name not in NESTED_LOOP_ALLOWED:
-        assert "BroadcastNestedLoopJoin" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
     assert answer(df) == wanted(duck, name)
 
 
-@pytest.mark.parametrize("name", ["wn_streak", "wn_calendar_count", "wn_drawdown", "jn_asof_backward", "rp_standings", "rp_game_context", "rp_prop_features"])
+# Queries that cut their logs, with a slice just above their longest look-back.
+CUT = {n: 40 for n in CHECKS if n.startswith("wn_")} | {
+    "wn_ewma": 400, "wn_ewma_nulls": 400, "jn_asof_backward": 40, "jn_range_era": 40, "rp_standings": 40, "rp_game_context": 40, "rp_prop_features": 400,
+}
+
+
+@pytest.mark.parametrize("name", sorted(CUT))
 def test_query_matches_sql_when_entities_are_cut(spark, duck, name, monkeypatch):
-    monkeypatch.setattr(ordered, "SLICE_ROWS", 400 if name == "rp_prop_features" else 40)
+    monkeypatch.setattr(ordered, "SLICE_ROWS", CUT[name])
     assert answer(entry.queries()[name](spark, FOLDER)) == wanted(duck, name)
 
 
