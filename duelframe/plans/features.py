@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,31 +12,39 @@ from duelframe.operators import aggregates as ag, joins, windows as wn
 from duelframe.operators.ordered import EntityLog, entity_log
 
 ROLL_WINDOWS = (5, 10, 20)
-BOX = ("pts", "fga", "fgm", "fg3m", "fta", "oreb", "dreb", "tov")
+BOX = ("pts", "fga", "fgm", "fg3m", "fg3a", "fta", "oreb", "dreb", "tov")
 ROLLED = (
     "pts", "plus_minus", "win", "fga", "fgm", "fg3m", "fta", "oreb", "dreb", "tov", "expected",
     "off_rtg", "def_rtg", "net_rtg", "pace", "efg", "ts", "tov_poss", "oreb_pct", "ft_rate", "four_factors",
 )
+STYLE = ("three_rate", "opponent_three_allowed_rate", "opp_dreb_roll20")
 SHORT_ROLLED = ("pts", "plus_minus", "off_rtg", "def_rtg", "net_rtg")
 EWMA_SPANS = (7, 15)
 
 
-def team_features(log: DataFrame, places: DataFrame, slice_rows: int | None = None) -> DataFrame:
+def team_features(
+    log: DataFrame, places: DataFrame, groups: DataFrame | None = None, race: Mapping[str, object] | None = None, slice_rows: int | None = None
+) -> DataFrame:
     """One row per (team, game) with what was known before the game.
 
     ``log`` has two rows per game: ``game game_date season team opp is_home win
     plus_minus`` and the box score; ``places`` has ``place lat lon zone`` of the
-    home sides. The log is shuffled by game once, for the opponent's box score,
-    and by team once, for every window.
+    home sides. ``groups`` maps ``team`` to ``conference`` for the flag of a close race, whose seats
+    ``race`` can set. The log is shuffled by team for the season's record, by game for the opponent's
+    box score and record, and by team once more for every other window.
     """
-    boxed = joins.opponent_columns(log.drop("opp_pts"), ["game"], "team", "opp", list(BOX))
+    order = ["game_date", "game"]
+    recorded = wn.cumulative_record(entity_log(log, ["team", "season"], order, slice_rows), "win").result
+    boxed = joins.opponent_columns(recorded.drop("opp_pts"), ["game"], "team", "opp", [*BOX, "cum_win_pct"])
+    share = lambda made, tried: F.coalesce(F.try_divide(F.col(made), F.col(tried)), F.lit(0.0))
     rated = boxed.withColumns(measures.efficiency()).withColumns({
         "expected": measures.pythagorean(F.col("pts"), F.col("opp_pts")),
         "four_factors": measures.four_factors(F.col("efg"), F.col("tov_pct"), F.col("oreb_pct"), F.col("ft_rate")),
+        "three_raw": share("fg3a", "fga"),
+        "opp_three_raw": share("opp_fg3a", "opp_fga"),
         "place": F.when(F.col("is_home") == 1, F.col("team")).otherwise(F.col("opp")),
     })
     located = rated.join(places, "place", "left")
-    order = ["game_date", "game"]
     career = _career(entity_log(located, ["team"], order, slice_rows, sized_by=log))
     if career.is_cut:
         counted = wn.calendar_counts(career.result, ["team"], "game_date", ["game"], [5, 7], "games_last_", slice_rows, log)
@@ -46,8 +54,11 @@ def team_features(log: DataFrame, places: DataFrame, slice_rows: int | None = No
         season = counted.regroup(["team", "season"], order)
     met = _season(season).result
     pairs = entity_log(met, ["team", "opp"], order, slice_rows, sized_by=log) if career.is_cut else EntityLog(met, ("team", "opp"), tuple(order))
-    done = wn.previous_flag(pairs, F.col("win") == 0, "revenge_game").result
-    return done.withColumn("era", joins.era_of(F.col("season")))
+    done = wn.previous_flag(pairs, F.col("win") == 0, "revenge_game").result.withColumn("era", joins.era_of(F.col("season")))
+    if groups is None:
+        return done
+    table = wn.standings_as_of(recorded.join(groups, "team"), "team", ["season", "conference"], "game_date", ["game"], "cum_win_pct", **(race or {}))
+    return joins.enrich(done, table.select("team", "season", "game_date", "close_race"), ["team", "season", "game_date"], {"close_race": 0})
 
 
 def _career(log: EntityLog) -> EntityLog:
@@ -57,6 +68,8 @@ def _career(log: EntityLog) -> EntityLog:
         return {
             **wn.means(w, ROLLED, ROLL_WINDOWS),
             **wn.means(w, SHORT_ROLLED, [3]),
+            **{f"sos_roll{n}": c for n, c in zip((10, 20), wn.means(w, ["opp_cum_win_pct"], [10, 20]).values(), strict=True)},
+            **dict(zip(STYLE, wn.means(w, ["three_raw", "opp_three_raw", "opp_dreb"], [20]).values(), strict=True)),
             "travel_miles": wn.moved_miles(w, "lat", "lon"),
             "zone_changed": wn.zone_change(w, "zone"),
             "days_rest": wn.gap_days(w, "game_date"),
@@ -68,14 +81,18 @@ def _career(log: EntityLog) -> EntityLog:
             "blowout_loss_last_game": wn.before(w, F.col("plus_minus") <= -20),
         }
 
-    rolled = log.numbered_log("__nth").lagged_log(max(ROLL_WINDOWS), columns).map(lambda df: df.drop("__nth"))
+    edges = {
+        "three_style_mismatch": F.col("three_rate") - F.col("opponent_three_allowed_rate"),
+        "rebounding_edge": F.col("oreb_roll20") - F.col("opp_dreb_roll20"),
+    }
+    rolled = log.numbered_log("__nth").lagged_log(max(ROLL_WINDOWS), columns).map(lambda df: df.withColumns(edges).drop("__nth"))
     return wn.ewma(rolled, ["plus_minus", "win"], EWMA_SPANS)
 
 
 def _season(log: EntityLog) -> EntityLog:
     """Windows within a season."""
     at = lambda flag: F.when(F.col("is_home") == flag, F.col("plus_minus"))
-    log = wn.streak(wn.cumulative_record(log, "win"), "win").numbered_log("season_game_num", start=0)
+    log = wn.streak(log, "win").numbered_log("season_game_num", start=0)
     return wn.expanding_means(log, {"home_net_season": at(1), "away_net_season": at(0)}, fill=0.0)
 
 
@@ -86,6 +103,7 @@ TEAM_FEATURES = (
     "travel_miles", "zone_changed", "days_rest", "is_back_to_back", "games_last_5_days", "games_last_7_days",
     "net_trend_5", "off_trend_5", "def_trend_5", "net_std_10", "blowout_loss_last_game", "revenge_game",
     "cum_wins", "cum_losses", "cum_win_pct", "streak", "season_game_num", "home_net_season", "away_net_season",
+    "sos_roll10", "sos_roll20", *STYLE, "three_style_mismatch", "rebounding_edge", "close_race",
 )
 
 

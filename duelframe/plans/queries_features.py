@@ -26,15 +26,29 @@ def _trend(column: str, name: str) -> str:
 
 SHARED_SQL["team_base"] = f"""SELECT r.*, lat, lon, zone, row_number() OVER (PARTITION BY team ORDER BY game_date, game) AS n,
   pow(greatest(pts, 1), 14.3) / (pow(greatest(pts, 1), 14.3) + pow(greatest(opp_pts, 1), 14.3)) AS expected,
-  0.40 * efg + 0.25 * (1 - tov_pct) + 0.20 * oreb_pct + 0.15 * ft_rate AS four_factors
-  FROM rated r JOIN (SELECT n_nationkey AS place, {", ".join(f"{e} AS {n}" for n, e in _PLACE.items())} FROM nation)
+  0.40 * efg + 0.25 * (1 - tov_pct) + 0.20 * oreb_pct + 0.15 * ft_rate AS four_factors,
+  fg3a / fga AS three_raw, opp_fg3a / opp_fga AS opp_three_raw, opp_record
+  FROM rated r LEFT JOIN (SELECT team AS rival, game AS met, coalesce(avg(win) {SEASON_W} {PRIOR}), 0.5) AS opp_record FROM contest_log)
+  ON met = r.game AND rival = r.opp JOIN (SELECT n_nationkey AS place, {", ".join(f"{e} AS {n}" for n, e in _PLACE.items())} FROM nation)
   ON place = CASE WHEN is_home = 1 THEN team ELSE opp END"""
+SHARED_SQL["race"] = f"""WITH paced AS (SELECT season, n_regionkey AS conference, team, game_date, game,
+    coalesce(avg(win) {SEASON_W} {PRIOR}), 0.5) AS rate FROM contest_log JOIN nation ON team = n_nationkey),
+  daily AS (SELECT season, conference, team, game_date, max_by(rate, game) AS rate FROM paced GROUP BY ALL),
+  grid AS (SELECT d.season, d.conference, d.game_date, e.team, max_by(e.rate, e.game_date) AS rate
+    FROM (SELECT DISTINCT season, conference, game_date FROM daily) d
+    JOIN daily e ON d.season = e.season AND d.conference = e.conference AND e.game_date <= d.game_date GROUP BY ALL)
+  SELECT season, team, game_date, CASE WHEN entities >= 4 AND (abs(position - 2) <= 1 OR (entities >= 5 AND abs(position - 5) <= 1)) THEN 1 ELSE 0 END AS close_race
+  FROM (SELECT *, row_number() OVER (PARTITION BY season, conference, game_date ORDER BY rate DESC, team) AS position,
+    count(*) OVER (PARTITION BY season, conference, game_date) AS entities FROM grid)"""
 SHARED_SQL["team_runs"] = f"SELECT team, game, coalesce(lag(run) {SEASON_W}), 0) AS streak FROM ({_RUNS})"
 for _column in ("plus_minus", "win"):
     for _span in ft.EWMA_SPANS:
         SHARED_SQL[f"{_column}_decay{_span}"] = _ewma_sql("contest_log", "team", _column, _span)
-SHARED_SQL["team_features"] = f"""SELECT b.*, streak, {", ".join(f"d_{c}{s}.{c}_ewma{s}" for c in ("plus_minus", "win") for s in ft.EWMA_SPANS)} FROM
+SHARED_SQL["team_features"] = f"""SELECT b.*, three_rate - opponent_three_allowed_rate AS three_style_mismatch, oreb_roll20 - opp_dreb_roll20 AS rebounding_edge,
+    close_race, streak, {", ".join(f"d_{c}{s}.{c}_ewma{s}" for c in ("plus_minus", "win") for s in ft.EWMA_SPANS)} FROM
   (SELECT *, {_rolled(ft.ROLLED, ft.ROLL_WINDOWS)}, {_rolled(ft.SHORT_ROLLED, [3])},
+    avg(opp_record) {W} {rows(10)}) AS sos_roll10, avg(opp_record) {W} {rows(20)}) AS sos_roll20, avg(three_raw) {W} {rows(20)}) AS three_rate,
+    avg(opp_three_raw) {W} {rows(20)}) AS opponent_three_allowed_rate, avg(opp_dreb) {W} {rows(20)}) AS opp_dreb_roll20,
     {_trend("plus_minus", "net_trend_5")}, {_trend("pts", "off_trend_5")}, {_trend("opp_pts", "def_trend_5")},
     coalesce(stddev_samp(plus_minus) {W} {rows(10)}), 0) AS net_std_10,
     coalesce(CAST(lag(plus_minus) {W}) <= -20 AS INT), 0) AS blowout_loss_last_game,
@@ -52,14 +66,16 @@ SHARED_SQL["team_features"] = f"""SELECT b.*, streak, {", ".join(f"d_{c}{s}.{c}_
     coalesce(avg(win) {SEASON_W} {PRIOR}), 0.5) AS cum_win_pct, row_number() {SEASON_W}) - 1 AS season_game_num,
     coalesce(avg(CASE WHEN is_home = 1 THEN plus_minus END) {SEASON_W} {PRIOR}), 0) AS home_net_season,
     coalesce(avg(CASE WHEN is_home = 0 THEN plus_minus END) {SEASON_W} {PRIOR}), 0) AS away_net_season FROM team_base) b
-  JOIN team_runs USING (team, game) """ + " ".join(
+  JOIN team_runs USING (team, game) JOIN race ON b.team = race.team AND b.season = race.season AND b.game_date = race.game_date """ + " ".join(
     f"JOIN (SELECT team, game, {c}_ewma{s} FROM {c}_decay{s}) d_{c}{s} ON b.team = d_{c}{s}.team AND b.game = d_{c}{s}.game"
     for c in ("plus_minus", "win") for s in ft.EWMA_SPANS
 )
 
 
 def team_features(s: Shapes) -> DataFrame:
-    return ft.team_features(s.contest_log(), places(s))
+    conferences = s.nation.selectExpr("n_nationkey AS team", "n_regionkey AS conference")
+    # Five teams per conference here, so the seats are 2 and 5 instead of 6 and 10.
+    return ft.team_features(s.contest_log(), places(s), conferences, {"seats": (2, 5), "within": 1, "min_entities": 4})
 
 
 _FEATURE_OUT = " ".join(f"{c}:f6" for c in ft.TEAM_FEATURES)
@@ -70,13 +86,11 @@ def rp_team_features(s: Shapes) -> DataFrame:
     return team_features(s)
 
 
-_DIFFS = ", ".join(f"h.{c} - a.{c} AS diff_{c}" for c in ft.TEAM_FEATURES)
+_DIFFS = ", ".join(f"h.{c} AS home_{c}, a.{c} AS away_{c}, h.{c} - a.{c} AS diff_{c}" for c in ft.TEAM_FEATURES)
 SHARED_SQL["contest_features"] = f"""SELECT *, home_off_vs_away_def - away_off_vs_home_def AS matchup_edge,
   0.40 * coalesce(diff_efg_roll10, 0) - 0.25 * coalesce(diff_tov_poss_roll10, 0) + 0.20 * coalesce(diff_oreb_pct_roll10, 0)
     + 0.15 * coalesce(diff_ft_rate_roll10, 0) AS diff_factors_composite FROM
   (SELECT h.game, h.game_date, h.season, h.team AS home_team, a.team AS away_team, h.win AS home_win,
-    h.pts_roll10 AS home_pts_roll10, a.pts_roll10 AS away_pts_roll10, h.cum_win_pct AS home_cum_win_pct,
-    h.days_rest AS home_days_rest, a.days_rest AS away_days_rest,
     h.off_rtg_roll20 - a.def_rtg_roll20 AS home_off_vs_away_def, a.off_rtg_roll20 - h.def_rtg_roll20 AS away_off_vs_home_def,
     h.is_back_to_back * h.travel_miles - a.is_back_to_back * a.travel_miles AS diff_fatigue, {_DIFFS}
    FROM team_features h JOIN team_features a ON h.game = a.game WHERE h.is_home = 1 AND a.is_home = 0)"""
@@ -84,8 +98,8 @@ SHARED_SQL["contest_features"] = f"""SELECT *, home_off_vs_away_def - away_off_v
 
 @query(
     "rp_contest_features",
-    "game:l game_date:d season:i home_team:i away_team:i home_win:i home_pts_roll10:f6 away_pts_roll10:f6 matchup_edge:f6 diff_fatigue:f6 "
-    "diff_factors_composite:f6 " + " ".join(f"diff_{c}:f6" for c in ft.TEAM_FEATURES),
+    "game:l game_date:d season:i home_team:i away_team:i home_win:i matchup_edge:f6 diff_fatigue:f6 "
+    "diff_factors_composite:f6 " + " ".join(f"{side}_{c}:f6" for side in ("home", "away", "diff") for c in ft.TEAM_FEATURES),
     "SELECT * FROM contest_features",
 )
 def rp_contest_features(s: Shapes) -> DataFrame:

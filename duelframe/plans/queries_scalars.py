@@ -310,7 +310,7 @@ def pythagorean(s: Shapes) -> DataFrame:
     )
 
 
-BOX = ["pts", "fga", "fgm", "fg3m", "fta", "oreb", "dreb", "tov"]
+BOX = ["pts", "fga", "fgm", "fg3m", "fg3a", "fta", "oreb", "dreb", "tov"]
 
 
 def both_boxes(s: Shapes) -> DataFrame:

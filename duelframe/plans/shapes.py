@@ -48,6 +48,7 @@ _SIDE = {
     "fga": "CAST(70 + (game * 7 + {t}) % 31 AS INT)",
     "fgm": "CAST(25 + (game + 3 * {t}) % 20 AS INT)",
     "fg3m": "CAST((game + {t}) % 15 AS INT)",
+    "fg3a": "CAST((game + {t}) % 15 + 3 + game % 20 AS INT)",
     "fta": "CAST(10 + (game * 3 + {t}) % 25 AS INT)",
     "oreb": "CAST((game * 5 + {t}) % 16 AS INT)",
     "dreb": "CAST(20 + (game + 2 * {t}) % 25 AS INT)",
