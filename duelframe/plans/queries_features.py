@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from duelframe.operators import ratings
 from duelframe.plans import features as ft
 from duelframe.plans.queries_aggregates import absence_rows, game_means, officials
-from duelframe.plans.queries_ledger import league_games
+from duelframe.plans.queries_ledger import _ELO, league_games
 from duelframe.plans.queries_windows import KEY, PRIOR, SEASON_W, W, _PLACE, _RUNS, _ewma_sql, places, rows
 from duelframe.plans.registry import SHARED_SQL, query
 from duelframe.plans.shapes import Shapes
@@ -109,6 +109,9 @@ def rp_contest_features(s: Shapes) -> DataFrame:
 @query(
     "rp_contest_ratings",
     "game:l home_elo:f6 away_elo:f6 diff_elo:f6 elo_x_days_rest:f6 elo_x_streak:f6",
+    f"""SELECT game, coalesce(home_elo, 1500) AS home_elo, coalesce(away_elo, 1500) AS away_elo, coalesce(diff_elo, 0) AS diff_elo,
+    coalesce(diff_elo, 0) * diff_days_rest AS elo_x_days_rest, coalesce(diff_elo, 0) * diff_streak AS elo_x_streak
+    FROM contest_features LEFT JOIN (SELECT game, home_elo, away_elo, diff_elo FROM ({_ELO})) USING (game)""",
 )
 def rp_contest_ratings(s: Shapes) -> DataFrame:
     rated = ratings.elo(league_games(s), ["game_date", "game"])
