@@ -1,7 +1,8 @@
 """Shared scratch storage: durable intermediate tables that outlive an executor.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
-that setting is missing (local runs and tests) a temporary folder stands in.
+The folder is the one the cluster names in ``spark.checkpoint.dir``; its owner decides
+how long results are kept there. Only where that setting is missing in a local session
+(one process: ``local`` or ``local[n]``) a temporary folder stands in, until the process ends.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
-    return _local_folder()
+    return _local_folder().name
 
 
 @cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="duelframe-")
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """A folder that goes when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="duelframe-", ignore_cleanup_errors=True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
