@@ -40,11 +40,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, w
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             rows = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = np.frombuffer(encode.encode(t.as_py()) + end, encode.dtype)
+            for k, found in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1)), strict=True):
+                packed = np.append(found, encode.dtype.type(end_id))
                 for i, (a, b) in enumerate(cut_points(len(packed), length)):
                     crc = zlib.crc32(packed[a:b].astype("<u4").tobytes())
                     rows.append((k, i, a, b - a, crc, packed[a:b].tobytes()) if with_ids else (k, i, a, b - a, crc))

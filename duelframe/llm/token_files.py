@@ -141,8 +141,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
         end = np.array([end_id], encode.dtype).tobytes()
         keys, lengths, ids, total = [], [], [], 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = encode.encode(t.as_py()) + end
+            for k, found in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1)), strict=True):
+                packed = found.tobytes() + end
                 keys.append(k)
                 lengths.append(len(packed) // width)
                 ids.append(packed)

@@ -9,20 +9,29 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept per generation and worker; two generations are alive, about 200 bytes a piece.
 GENERATION = 250_000
 
-# Up to this letter composition changes nothing, and lower-casing keeps letters letters but for the dotted capital I.
-_LAST_PLAIN = "ɏ"
-_DOTTED_I = "İ"
-_MARKS = frozenset(".,;:!?|)")
-_UNSURE = re.compile(r"\s | \s| \Z|\A ")
+# Beyond these characters, composition, lower-casing or the classes of letters and white space may differ from what is assumed here.
+_USUAL = "\\n !-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f"
+_UNUSUAL = re.compile(f"[^{_USUAL}]")
+# Texts in which some space or line break does not stand alone between other characters, or with unusual characters.
+_ODD = f"[^{_USUAL}]|[ \\n][ \\n]|^ | $"
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _SURE_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Marks the first piece of a text, which no space precedes.
+_FIRST = "\0"
+#: Bytes of text whose pieces are looked up together.
+SLICE_BYTES = 8 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,7 +62,7 @@ class _Pieces(dict):
 
 
 class TextEncoder:
-    """Whole texts to little-endian ids: 2 bytes each if the vocabulary allows, else 4."""
+    """Whole texts to little-endian ids, of 2 bytes if the vocabulary allows, else 4."""
 
     def __init__(self, path: str, generation: int = GENERATION):
         from tokenizers import Tokenizer
@@ -68,54 +77,119 @@ class TextEncoder:
         drops_space = '"Removed"' in split and r"[\\p{L}]+" in split
         self.mode = "kept" if byte_level else "dropped" if drops_space else "whole"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
-        self.pieces = _Pieces(self._spaced if self.mode == "kept" else self._bare, generation)
+        self.space = self.letters[32]
+        self.newline = self._whole("\n")
+        self.marks: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._kept if self.mode == "kept" else self._dropped, generation)
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _model(self, unit: str) -> bytes:
-        """Ids of one unit, as the library's own steps before the model would hand it on."""
-        if unit.isascii() and " " not in unit:
-            mapped = unit
-        else:
-            mapped = unit.encode().decode("latin-1").translate(self.letters)
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        """Ids of one unit of bytes' letters, as the library's own steps before the model would hand it on."""
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(unit)])
 
-    def _spaced(self, piece: str) -> bytes:
-        if piece.isalpha() and max(piece) <= _LAST_PLAIN:
-            return self._model(" " + piece)
-        if piece[-1] in _MARKS and piece[:-1].isalpha():
-            return self.pieces[piece[:-1]] + self._whole(piece[-1])
-        return self._whole(" " + piece)
+    def _byte_text(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
 
-    def _bare(self, piece: str) -> bytes:
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            ids = self.marks[marks] = self._whole(marks)
+        return ids
+
+    def _kept(self, piece: str) -> bytes:
+        """A piece that a space precedes; or one that starts with a line break, or is the first of its text; or, after a space, one of an odd text."""
+        mark = piece[:1]
+        if mark == " ":
+            return self._whole(piece)
+        if mark in ("\n", _FIRST):
+            before, word, real = mark, piece[1:], ""
+        else:
+            before, word, real = "", piece, " "
+        lead = self.newline if mark == "\n" else b""
+        if not word:
+            return lead
+        if word.isalpha():
+            return lead + self._model((self.space if real else "") + self._byte_text(word))
+        both = _WORD_AND_MARKS.fullmatch(word)
+        if both:
+            return self.pieces[before + both[1]] + self._marks(both[2])
+        return lead + self._whole(real + word)
+
+    def _dropped(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if max(piece) <= _LAST_PLAIN and _DOTTED_I not in piece:
+        if not _UNUSUAL.search(piece):
             if piece.isalpha():
-                return self._model(piece.lower())
-            if piece[-1] in _MARKS and piece[:-1].isalpha():
-                return self.pieces[piece[:-1]] + self._whole(piece[-1])
+                return self._model(self._byte_text(piece.lower()))
+            both = _WORD_AND_MARKS.fullmatch(piece)
+            if both:
+                return self.pieces[both[1]] + self._marks(both[2])
         return self._whole(piece)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, packed; empty for NULL."""
-        if not text:
-            return b""
+    def _slow(self, text: str) -> np.ndarray:
+        """An odd text: pieces are cut only where one space stands between other characters."""
+        if self.mode == "whole":
+            return np.frombuffer(self._whole(text), self.dtype)
+        first, *rest = _SURE_CUT.split(text)
+        return np.frombuffer(self._whole(first) + b"".join([self.pieces[" " + piece] for piece in rest]), self.dtype)
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string column; none for NULL.
+
+        The pieces of several MB of text are told apart by Arrow, so that each different one is looked up once.
+        """
+        texts = pc.fill_null(texts, "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            done = upto[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(upto, done + SLICE_BYTES, "right")))
+            yield from self._slice(texts.slice(begin, end - begin))
+            begin = end
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
         self.pieces.trim()
-        if self.mode == "dropped":
-            return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
         if self.mode == "whole":
-            return self._whole(text)
-        if _UNSURE.search(text):
-            first, *rest = _SURE_CUT.split(text)
+            yield from map(self._slow, texts.to_pylist())
+            return
+        if self.mode == "dropped":
+            odd: list[int] = []
+            cut = pc.replace_substring(texts, "\n", " ")
         else:
-            first, *rest = text.split(" ")
-        return self._whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+            strange = pc.match_substring_regex(texts, _ODD)
+            odd = np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()
+            usual = pc.if_else(strange, "", texts) if odd else texts
+            cut = pc.binary_join_element_wise(_FIRST, pc.replace_substring(usual, "\n", " \n"), "")
+        words = pc.split_pattern(cut, " ")
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        found = [self.pieces[piece] for piece in coded.dictionary.to_pylist()]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        starts = np.cumsum(lengths) - lengths
+        each = lengths[at]
+        ends = np.cumsum(each)
+        place = np.repeat((starts[at] - (ends - each)).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
+        flat = ids[place]
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        edges = np.concatenate([[0], ends])[offsets].tolist()
+        strange_at = set(odd)
+        for i, (a, b) in enumerate(pairwise(edges)):
+            yield self._slow(texts[i].as_py()) if i in strange_at else flat[a:b]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """The ids of one text; none for NULL."""
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 @cache
