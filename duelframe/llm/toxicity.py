@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.llm.near_copies import shingles
 from duelframe.storage import materialise
 
 #: At most about so many labelled rows are used for fitting, chosen by a hash of their id.
@@ -35,6 +36,8 @@ FIT_ROWS = 20_000
 MODEL_TOKENS = 50_000
 #: The prior's weight as a share of all counted tokens.
 PRIOR_SHARE = 0.01
+#: Words in the shingles by which copies among the training texts are told.
+SHINGLE = 4
 BEGINNING = 5
 DRIFT = 0.05
 #: Segments with a higher expected number in clean text are no passages.
@@ -132,8 +135,17 @@ def _fold(key: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
     """(fold, toxic, text) of labelled rows that are not held out: all, or about ``limit`` of them by hash.
 
-    The chosen labels are at most about ``limit`` rows and are broadcast; texts are not shuffled for the join. Each different text counts once.
+    The chosen labels are at most about ``limit`` rows and are broadcast; texts are not shuffled for the join. Of texts with the same label and
+    the same smallest shingle, mostly copies and near copies of each other, the one with the smallest id counts: else the plain words of a toxic
+    text with many copies would look toxic.
     """
+    @F.pandas_udf("long")
+    def smallest(texts: pd.Series) -> pd.Series:
+        seen: dict[bytes, int] = {}
+        found = [shingles(t, SHINGLE, seen) for t in texts]
+        return pd.Series([int(h[0].view(np.int64)) if len(h) else 0 for h in found])
+
+
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     rows = rows.groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
     rows = rows.where(~held_out(F.col("doc_id")))
@@ -142,7 +154,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * limit // n)
     chosen = F.broadcast(rows.select(F.col("doc_id").alias("_id"), "toxic"))
     joined = docs.select(F.col("doc_id"), F.col("text")).join(chosen, F.col("doc_id") == F.col("_id")).where(F.length("text") > 0)
-    return joined.select(_fold(F.col("doc_id")).cast("int").alias("fold"), "toxic", "text").dropDuplicates(["text"])
+    one = F.struct(_fold(F.col("doc_id")).cast("int").alias("fold"), "text")
+    kept = joined.withColumn("_least", smallest("text")).groupBy("_least", "toxic").agg(F.min_by(one, F.struct("doc_id", "text")).alias("one"))
+    return kept.select("one.fold", "toxic", "one.text")
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
