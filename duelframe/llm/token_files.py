@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from duelframe.llm.tokens import default_path, encoder
 from duelframe.storage import new_path
 
-#: A block ends with the document that brings it to so many ids.
-BLOCK_IDS = 1 << 20
+#: A block ends with the document that brings it to so many ids: a quarter of a MB, which the JVM still allocates cheaply.
+BLOCK_IDS = 1 << 17
 #: One in so many unary marks has its place stored.
 SAMPLE = 256
 
@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
     slim = slim.withColumn("_at", F.monotonically_increasing_id())
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     stored = ranged.mapInArrow(blocks, _BLOCK_SQL).write
-    stored.option("parquet.block.size", 32 << 20).option("parquet.enable.dictionary", "false").parquet(path)
+    stored.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -191,7 +191,8 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 out = [(k, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, at, ids in decoded(row)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _DOC.types, strict=True)], schema=_DOC)
 
