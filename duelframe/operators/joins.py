@@ -51,16 +51,13 @@ def opponent_columns(df: DataFrame, keys: Sequence[str], entity: str, opponent:
 def two_sided(df: DataFrame, keys: Sequence[str], home_flag: str, columns: Sequence[str], home: str = "home_", away: str = "away_") -> DataFrame:
     """Entity log to one row per contest with both sides' columns; contests without both sides drop out.
 
-    One aggregate on the contest key instead of a join of two filtered copies,
-    so that the features of the log are computed once.
+    One hash aggregate on the contest key, a value per side and column, instead of a join of two filtered copies,
+    so that the features of the log are computed once. Each side has one row per contest.
     """
-    side = lambda flag: F.max(F.when(F.col(home_flag) == flag, F.struct(*columns)))
-    sides = df.groupBy(*keys).agg(side(1).alias("__home"), side(0).alias("__away"))
-    return sides.filter(F.col("__home").isNotNull() & F.col("__away").isNotNull()).select(
-        *keys,
-        *[F.col(f"__home.{c}").alias(f"{home}{c}") for c in columns],
-        *[F.col(f"__away.{c}").alias(f"{away}{c}") for c in columns],
-    )
+    sides = [(1, home), (0, away)]
+    values = [F.expr(f"max(CASE WHEN `{home_flag}` = {flag} THEN `{c}` END) AS `{prefix}{c}`") for flag, prefix in sides for c in columns]
+    there = [F.count_if(F.col(home_flag) == flag).alias(f"__there{flag}") for flag, _ in sides]
+    return df.groupBy(*keys).agg(*values, *there).filter("__there1 > 0 AND __there0 > 0").drop("__there1", "__there0")
 
 
 def as_of_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, tie: str, columns: Sequence[str], slice_rows: int | None = None) -> DataFrame:
