@@ -212,3 +212,22 @@ def test_mostly_null_features_are_refused(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     with pytest.raises(quality.QualityError, match="b"):
         quality.guard_null_rates(df, ["a", "b"])
+
+
+def test_folds_fall_back_to_the_last_rows(spark):
+    from duelframe.operators import models as ml
+
+    df = spark.range(100).select((F.col("id") % 2).cast("int").alias("season"), F.col("id").alias("game"))
+    (train, valid), = ml.folds(df, "season", ml.expanding_splits([0, 1], 6))
+    order = sorted((r["season"], r["game"]) for r in df.collect())
+    assert sorted((r["season"], r["game"]) for r in train.collect()) == order[:85]
+    assert sorted((r["season"], r["game"]) for r in valid.collect()) == order[85:]
+
+
+def test_shuffled_is_a_permutation(spark):
+    from duelframe.operators import models as ml
+
+    df = spark.range(50).select("id", (F.col("id") * 10).alias("v"), F.lit(1).alias("w"))
+    got = ml.shuffled(df, "id", "v").collect()
+    assert sorted(r["v"] for r in got) == [i * 10 for i in range(50)] and sorted(r["id"] for r in got) == list(range(50))
+    assert sum(r["v"] == r["id"] * 10 for r in got) < 10
