@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from duelframe.llm.vectors import in_runs, matrix, product, runs, usable
+from duelframe.llm.vectors import in_runs, matrix, numbers, product, runs, usable
 from duelframe.storage import materialise
 
 K = 20
@@ -31,6 +31,8 @@ MAX_DEPTH = 9
 #: Rows and queries of a leaf that are compared at once.
 ROW_BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Results that a task gathers before it brings them down to the best of each query.
+HELD_ROWS = 400_000
 
 
 class Forest:
@@ -170,15 +172,25 @@ def nearest(
     left = _blocks(asking, QUERY_BLOCK, "forest-asked")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the best of each block of the task, brought down to the best of each query whenever they are many
+        held: list[tuple[np.ndarray, ...]] = []
+        rows, most = 0, HELD_ROWS
         for batch in batches:
             for q_ids, q, ids, x in zip(*(batch.column(c) for c in ("q_ids", "q", "ids", "x")), strict=True):
                 a, b = (np.frombuffer(i.as_buffer(), np.int64) for i in (q_ids, ids))
                 score = np.frombuffer(q.as_buffer()).reshape(len(a), size) @ np.frombuffer(x.as_buffer()).reshape(len(b), size).T
                 take = min(k + 1, len(b))
                 top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(a, take)), pa.array(b[top.ravel()]), pa.array(np.take_along_axis(score, top, 1).ravel())], ["q", "rid", "near"]
-                )
+                held.append((np.repeat(a, take), b[top.ravel()], np.take_along_axis(score, top, 1).ravel()))
+                rows += len(held[-1][0])
+                if rows > most:
+                    held = [_nearest(*map(np.concatenate, zip(*held, strict=True)), k + 1)]
+                    rows = len(held[0][0])
+                    if rows > most // 2:
+                        yield numbers("q rid near", *held[0])
+                        held, rows = [], 0
+        if held:
+            yield numbers("q rid near", *_nearest(*map(np.concatenate, zip(*held, strict=True)), k + 1))
 
     met = left.select("leaf", F.col("ids").alias("q_ids"), F.col("x").alias("q")).join(right, "leaf").select("q_ids", "q", "ids", "x")
     found = met.mapInArrow(best, "q long, rid long, near double").groupBy("q", "rid").agg(F.max("near").alias("near"))
@@ -193,6 +205,19 @@ def nearest(
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _nearest(q: np.ndarray, rid: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` nearest of each query, each row once."""
+    order = np.lexsort((-near, rid, q))
+    q, rid, near = q[order], rid[order], near[order]
+    once = np.concatenate([[True], (q[1:] != q[:-1]) | (rid[1:] != rid[:-1])])
+    q, rid, near = q[once], rid[once], near[once]
+    order = np.lexsort((rid, -near, q))
+    q, rid, near = q[order], rid[order], near[order]
+    begin = np.concatenate([[0], np.flatnonzero(np.diff(q)) + 1])
+    place = np.arange(len(q)) - np.repeat(begin, np.diff([*begin, len(q)]))
+    return q[place < k], rid[place < k], near[place < k]
+
+
 def recall(rows: DataFrame, found: DataFrame, queries: list[int], key: str = "vec_id", vector: str = "embedding", k: int = K) -> float:
     """Share of the true ``k`` nearest of a few stated queries that ``found`` has, by comparing them with every row."""
     vec = F.col(vector).cast("array<double>")
