@@ -38,7 +38,9 @@ RECALL = 0.99
 #: Members of one neighbourhood that are compared at once; larger ones are dealt into several.
 TOGETHER = 128
 #: Vectors of a component that are compared with as many others at once.
-SIDE = 1024
+SIDE = 256
+#: Components up to this size are compared in full, whether their lists are full or not.
+SMALL = 1024
 # Lists are built in single precision; links are decided in double precision on what is this close.
 _SLACK = 1e-5
 
@@ -197,6 +199,13 @@ def audit(nodes: DataFrame, cosine: float, audited: int = AUDITED) -> DataFrame:
     return materialise(met.distinct(), "vector-audit")
 
 
+def _named(every: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with the component that ``links`` put them in."""
+    labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "vector-components")
+    named = every.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid"))
+    return materialise(named.select("rid", "comp", "unit", "copies", "first_id", "label", "vec"), "vector-named")
+
+
 def _counted(dense: DataFrame, cosine: float) -> DataFrame:
     """(rid, links): linked copies of other classes, for vectors (comp, rid, unit, copies) compared within their component.
 
@@ -252,7 +261,8 @@ def near_vectors(
     truth = audit(every, cosine)
     k, turn = neighbours, 0
     lists = first_lists(nodes, k, seed)
-    links, known = _linked(lists, every, cosine), -1
+    links = _linked(lists, every, cosine)
+    known = links.count()
     while True:
         for _ in range(rounds):
             turn += 1
@@ -261,23 +271,22 @@ def near_vectors(
             before, known = known, links.count()
             if known - before <= STILL * max(known, 1):
                 break
-        found = links.union(truth).distinct()
-        labels = components(found.select(F.col("u").alias("a"), F.col("v").alias("b")), "vector-components")
-        named = every.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")
-        named = materialise(named.withColumn("comp", F.coalesce("component", "rid")).select("rid", "comp", "unit", "copies", "first_id", "label", "vec"), "vector-named")
+        named = _named(every, links)
         # a link inside one component counts as found: crowded components are compared in full below
-        comps = named.select("rid", "comp")
-        own = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "vector-found")
-        own = every.select("rid").join(own.select(F.col("node").alias("rid"), "component"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("c"))
-        missed = truth.join(own.select(F.col("rid").alias("u"), F.col("c").alias("cu")), "u").join(own.select(F.col("rid").alias("v"), F.col("c").alias("cv")), "v")
+        ends = named.select("rid", "comp")
+        missed = truth.join(ends.select(F.col("rid").alias("u"), F.col("comp").alias("cu")), "u").join(ends.select(F.col("rid").alias("v"), F.col("comp").alias("cv")), "v")
         missed, all_true = missed.where("cu <> cv").count(), truth.count()
         if missed <= (1 - recall) * all_true or k >= 8 * neighbours:
             break
-        k, known = 2 * k, -1
+        k *= 2
 
+    found = links.union(truth).distinct()
+    if missed:
+        named = _named(every, found)
+    comps = named.select("rid", "comp")
     # full lists were too short; and in components of a bounded size nothing is left to chance
     full = lists.where(F.col("c") >= cosine - _SLACK).groupBy(F.col("u").alias("rid")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("rid")
-    crowded = comps.join(full, "rid").select("comp").union(comps.groupBy("comp").count().where(f"count BETWEEN 3 AND {SIDE}").select("comp"))
+    crowded = comps.join(full, "rid").select("comp").union(comps.groupBy("comp").count().where(f"count BETWEEN 3 AND {SMALL}").select("comp"))
     crowded = materialise(crowded.distinct(), "vector-crowded")
     dense = _counted(named.join(crowded, "comp").select("comp", "rid", "unit", "copies"), cosine)
     copies = named.select(F.col("rid").alias("v"), "copies")
