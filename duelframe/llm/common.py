@@ -6,6 +6,13 @@ executor costs a re-read. Nothing here moves rows to the driver except single to
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +28,35 @@ BROADCAST_ROWS = 200_000
 _PLACE_BITS = 33
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lower the session's Arrow batches to ``size`` bytes, if they are larger: a task then holds a few MB of whole texts, not 64.
+
+    The setting stays, since Spark reads it when a result is computed, which may be after an operator has returned.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", spark.conf.get(setting).lower()).groups()
+    if int(number) << 10 * "bkmgtp".index(unit or "b") > size:
+        spark.conf.set(setting, f"{size}b")
+
+
+def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` for mapInArrow, giving memory back to the system at its end: workers are used again by other tasks."""
+
+    @wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Give memory that Arrow and the C library keep for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

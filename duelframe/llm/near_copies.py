@@ -3,10 +3,12 @@
 1. Each text becomes its set of word shingles, hashed to 64 bits. Equal sets collapse to one class.
 2. A class has a MinHash signature of ``COORDINATES`` coordinates. It is posted under the coordinate-value pairs of a
    prefix: classes that agree in ``MATCHES`` of the first ``POSTED`` coordinates must meet in one of the first
-   ``POSTED - MATCHES + 1``. Two bits of every coordinate travel with a posting; where two classes meet, their agreeing codes are counted, and
+   ``POSTED - MATCHES + 1``. One bit of every coordinate travels with a posting; where two classes meet, their agreeing codes are counted, and
    pairs below the match threshold are dropped. Thresholds are set so that a pair at the required similarity is lost
    with a probability below one in a million.
-3. In each posting list every member is compared with one leader, so a list of any length costs one comparison a member. Confirmed links are contracted to components.
+3. In each posting list every member is compared with one leader, the member whose codes agree best with the majority of the list: the text that
+   the others are copies of, if there is one. A list of any length costs one comparison a member. Confirmed links are contracted to components,
+   and lists with several components get another leader from outside the largest.
 4. Lists whose members still lie in several components are merged in full, but for pairs within one component, which need no link
    any more: members outside the list's largest component meet all others. Lists for which that would be long (a frequent
    shingle) are skipped here and merged on pairs of coordinates: classes with ``MATCHES`` agreements meet in two of the first ``POSTED - MATCHES + 2``.
@@ -26,22 +28,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import small
+from duelframe.llm.common import small, small_batches, tidied
 from duelframe.llm.components import components
 from duelframe.storage import materialise
 
 WORDS = 5
 SIMILARITY_PERCENT = 80
-COORDINATES = 64
+COORDINATES = 256
 POSTED = 16
 #: A pair at the required similarity is lost with at most about this probability in each of the two filters.
 MISS = 1e-6
 #: Lists in which members outside the largest component would meet more others than this are merged on pairs of coordinates.
 LONG_LIST = 50_000
+#: How often lists get a leader before they are merged.
+TURNS = 2
+#: In lists with fewer candidates any of them may lead.
+VOTERS = 8
 
-_ODD = np.random.default_rng(20240229).integers(0, 1 << 63, COORDINATES + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = np.arange(0, 64, 2, dtype=np.uint64)
-_EVEN_BITS = 0x5555555555555555
+# A product gives two coordinates, its upper and its lower half.
+_ODD = np.random.default_rng(20240229).integers(0, 1 << 63, COORDINATES // 2 + 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = np.arange(64, dtype=np.uint64)
+CODES = ("c1", "c2", "c3", "c4")
 
 
 @cache
@@ -58,8 +65,8 @@ def thresholds(percent: int) -> tuple[int, int]:
         return max(k, 1)
 
     p = percent / 100
-    # codes of two bits agree by chance in a quarter of the other coordinates
-    return least(POSTED, p), least(COORDINATES, p + (1 - p) / 4)
+    # codes of one bit agree by chance in half of the other coordinates
+    return least(POSTED, p), least(COORDINATES, p + (1 - p) / 2)
 
 
 def shingles(text: str | None, words: int, seen: dict[bytes, int]) -> np.ndarray:
@@ -70,7 +77,7 @@ def shingles(text: str | None, words: int, seen: dict[bytes, int]) -> np.ndarray
     parts = text.encode().lower().split() if text else []
     if not parts:
         return np.empty(0, np.uint64)
-    if len(seen) > 500_000:
+    if len(seen) > 200_000:
         seen.clear()
     hashes = []
     for w in parts:
@@ -83,7 +90,7 @@ def shingles(text: str | None, words: int, seen: dict[bytes, int]) -> np.ndarray
     n = len(one) - size + 1
     mixed = np.full(n, size, np.uint64)
     for i in range(size):
-        mixed = (mixed ^ (one[i : i + n] * _ODD[COORDINATES + i % 16])) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (one[i : i + n] * _ODD[COORDINATES // 2 + i % 16])) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
@@ -91,17 +98,18 @@ def shingles(text: str | None, words: int, seen: dict[bytes, int]) -> np.ndarray
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The smallest of each of ``COORDINATES`` hashes over a set, 32 bits each."""
-    smallest = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        np.minimum(smallest, (hashes[i : i + 4096, None] * _ODD[None, :COORDINATES]).min(axis=0), out=smallest)
-    return smallest >> np.uint64(32)
+    """The smallest of each of ``COORDINATES`` hashes over a set, 32 bits each, those of upper halves first."""
+    smallest = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(hashes), 2048):
+        products = hashes[i : i + 2048, None] * _ODD[None, : COORDINATES // 2]
+        np.minimum(smallest, products.astype("<u8", copy=False).view("<u4").min(axis=0), out=smallest)
+    return np.concatenate([smallest[1::2], smallest[::2]])
 
 
 def codes(sign: np.ndarray) -> list[int]:
-    """Two bits of every coordinate, 32 coordinates to a long."""
-    two = sign & np.uint64(3)
-    return [int(np.bitwise_or.reduce(two[i : i + 32] << _SHIFTS).view(np.int64)) for i in range(0, COORDINATES, 32)]
+    """One bit of every coordinate, 64 coordinates to a long."""
+    one = (sign.astype(np.uint64) >> np.uint64(8)) & np.uint64(1)
+    return [int(np.bitwise_or.reduce(one[i : i + 64] << _SHIFTS).view(np.int64)) for i in range(0, COORDINATES, 64)]
 
 
 def _class_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -110,10 +118,11 @@ def _class_key(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, n, k1, k2, at, c1, c2) of every document; (k1, k2) names its set, ``at`` holds the posted coordinates."""
-    types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    names = ["doc_id", "text_hash", "n", "k1", "k2", "at", "c1", "c2"]
+    """(doc_id, text_hash, n, k1, k2, at, c1 to c4) of every document; (k1, k2) names its set, ``at`` holds the posted coordinates."""
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] + [pa.int64()] * len(CODES)
+    names = ["doc_id", "text_hash", "n", "k1", "k2", "at", *CODES]
 
+    @tidied
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:
@@ -124,17 +133,18 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     sig = signature(hashes)
                     row = (len(hashes), *_class_key(hashes), sig[:POSTED].astype(np.int64).tolist(), *codes(sig))
                 else:
-                    row = (0, None, None, None, None, None)
+                    row = (0, None, None, None) + (None,) * len(CODES)
                 for column, value in zip(columns[2:], row, strict=True):
                     column.append(value)
             arrays = [pa.array(c, t) for c, t in zip(columns[2:], types[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
 
     slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    return slim.mapInArrow(sign, "doc_id long, text_hash long, n long, k1 long, k2 long, at array<long>, c1 long, c2 long")
+    return slim.mapInArrow(sign, "doc_id long, text_hash long, n long, k1 long, k2 long, at array<long>, " + ", ".join(f"{c} long" for c in CODES))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    @tidied
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:
@@ -149,10 +159,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 def _alike(percent: int, left: str, right: str) -> Column:
     """Whether sizes and codes of two postings allow the required similarity."""
     n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
-    differ = F.lit(0)
-    for c in ("c1", "c2"):
-        x = F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_EVEN_BITS)))
+    differ = sum((F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in CODES), F.lit(0))
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     return sizes & (differ <= COORDINATES - thresholds(percent)[1])
 
@@ -181,24 +188,47 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return materialise(both.where(shared * 100 >= union * percent).select("a", "b"), f"{label}-links")
 
 
+def _led(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each list's leader with the members of other components; ``outside`` members are candidates and voters.
+
+    The first 128 codes are voted on.
+    """
+    outside = rows.where("outside")
+    bits = [F.sum(F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1))).alias(f"{c}_{i}") for c in ("c1", "c2") for i in range(64)]
+    votes = outside.where(F.col("u") >= VOTERS).groupBy("post").agg(F.count("*").alias("voters"), *bits)
+
+    def majority(c: str) -> Column:
+        total = F.lit(0).cast("long")
+        for i in range(64):
+            bit = F.when(2 * F.col(f"{c}_{i}") > F.col("voters"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+            total = total.bitwiseOR(bit)
+        return total
+
+    votes = votes.select("post", majority("c1").alias("v1"), majority("c2").alias("v2"))
+    agree = -sum((F.bit_count(F.col(c).bitwiseXOR(F.col(v))) for c, v in (("c1", "v1"), ("c2", "v2"))), F.lit(0))
+    lead = F.max(F.struct(F.coalesce(agree, F.lit(0)).alias("agree"), "rid", "n", *CODES, "comp")).alias("lead")
+    leaders = outside.join(votes, "post", "left").groupBy("post").agg(lead)
+    met = rows.select("post", F.struct("rid", "n", *CODES, "comp").alias("own")).join(leaders, "post")
+    return _pairs(met.where((F.col("own.comp") != F.col("lead.comp")) & _alike(percent, "own", "lead")), "own", "lead")
+
+
 def _unresolved(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings of lists with several components: with ``comp``, whether it is ``outside`` the largest, and whether the list is ``long``."""
+    """Postings of lists with several components: with ``comp``, whether it is ``outside`` the largest, how many are (``u``), and whether the list is ``long``."""
     named = postings.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")
     named = named.withColumn("comp", F.coalesce("component", "rid")).drop("component")
-    per = named.groupBy("post").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("post")
-    named = materialise(named.join(per, "post"), "near-unresolved")
     counts = named.groupBy("post", "comp").agg(F.count("*").alias("k"))
-    most = counts.groupBy("post").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    most = most.select("post", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.k")) * F.col("all") > LONG_LIST).alias("long"))
-    return named.join(most, "post").withColumn("outside", F.col("comp") != F.col("main")).drop("main")
+    most = counts.groupBy("post").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    most = most.select("post", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.k")).alias("u"), "all")
+    found = named.join(most, "post").withColumn("outside", F.col("comp") != F.col("main"))
+    return materialise(found.withColumn("long", F.col("u") * F.col("all") > LONG_LIST).drop("main", "all"), "near-rest")
 
 
-def _merged(rows: DataFrame, percent: int) -> DataFrame:
+def _merged(rows: DataFrame, percent: int, where: Column | None = None) -> DataFrame:
     """Pairs (a, b) from different components that meet under the same ``post``, one of them outside the largest component."""
     x, y = rows.where("outside").alias("x"), rows.alias("y")
     once = ~F.col("y.outside") | (F.col("x.rid") < F.col("y.rid"))
-    met = x.join(y, (F.col("x.post") == F.col("y.post")) & (F.col("x.comp") != F.col("y.comp")) & once & _alike(percent, "x", "y"))
-    return _pairs(met, "x", "y")
+    match = (F.col("x.post") == F.col("y.post")) & (F.col("x.comp") != F.col("y.comp")) & once & _alike(percent, "x", "y")
+    return _pairs(x.join(y, match if where is None else match & where), "x", "y")
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -210,30 +240,37 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCEN
     smallest: its row is kept only if its component has no other id. An empty table gives an empty table.
     """
     docs = docs.select("doc_id", "text")
+    small_batches(docs.sparkSession)
     rows = materialise(signatures(docs, words), "near-signatures")
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("at").alias("at"), F.first("c1").alias("c1"), F.first("c2").alias("c2")
+        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("at").alias("at"), *[F.first(c).alias(c) for c in CODES]
     )
     classes = materialise(classes.withColumn("rid", F.monotonically_increasing_id()), "near-classes")
     least = thresholds(percent)[0]
     prefix = POSTED - least + 1
-    posted = classes.select("rid", "n", "c1", "c2", F.posexplode(F.slice("at", 1, prefix)).alias("i", "value"))
-    posted = posted.select("rid", "n", "c1", "c2", (F.col("i").cast("long") * (1 << 32) + F.col("value")).alias("post"))
-    lists = posted.groupBy("post").agg(F.count("*").alias("m"), F.min(F.struct("rid", "n", "c1", "c2")).alias("lead")).where("m > 1")
-    shared = materialise(posted.join(lists.select("post", "lead"), "post"), "near-postings")
-
-    led = shared.select("*", F.struct("rid", "n", "c1", "c2").alias("own"))
-    led = led.where((F.col("own.rid") != F.col("lead.rid")) & _alike(percent, "own", "lead"))
-    first_pairs = materialise(_pairs(led, "own", "lead"), "near-led")
-    links = confirmed(first_pairs, classes, docs, words, percent, "near-led")
-    labels = components(links, "near-components")
-
-    rest = materialise(_unresolved(shared.drop("lead"), labels), "near-rest")
+    posted = classes.select("rid", "n", *CODES, F.posexplode(F.slice("at", 1, prefix)).alias("i", "value"))
+    posted = posted.select("rid", "n", *CODES, (F.col("i").cast("long") * (1 << 32) + F.col("value")).alias("post"))
+    lists = posted.groupBy("post").agg(F.count("*").alias("u")).where("u > 1")
+    shared = materialise(posted.join(lists, "post"), "near-postings")
+
+    links = pairs_done = labels = None
+    rest = shared.withColumn("comp", F.col("rid")).withColumn("outside", F.lit(True))
+    for _ in range(TURNS):
+        pairs = _led(rest, percent)
+        if pairs_done is not None:
+            pairs = pairs.join(pairs_done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "near-led")
+        found = confirmed(pairs, classes, docs, words, percent, "near-led")
+        links = found if links is None else links.union(found)
+        pairs_done = pairs if pairs_done is None else pairs_done.union(pairs)
+        labels = components(links, "near-components")
+        rest = _unresolved(shared.drop("u"), labels)
+
     pairs = _merged(rest.where("NOT long"), percent)
     skipped = rest.where("long")
     if not skipped.isEmpty():
-        pairs = pairs.union(_merged(_on_two(skipped, classes, prefix + 1), percent)).distinct()
-    new = materialise(pairs.join(first_pairs, ["a", "b"], "left_anti"), "near-merged")
+        pairs = pairs.union(_merged(_on_two(skipped, classes, prefix + 1), percent, _first_two(prefix + 1))).distinct()
+    new = materialise(pairs.join(pairs_done, ["a", "b"], "left_anti"), "near-merged")
     if not new.isEmpty():
         links = links.union(confirmed(new, classes, docs, words, percent, "near-merged"))
         labels = components(links, "near-components")
@@ -250,11 +287,21 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCEN
 
 def _on_two(skipped: DataFrame, classes: DataFrame, upto: int) -> DataFrame:
     """Postings of long lists, posted again under their coordinate together with each later one of the first ``upto``."""
-    rows = skipped.join(classes.select("rid", "at"), "rid")
+    # 32 bits of each coordinate, as signed numbers
+    values = F.transform(F.slice("at", 1, upto), lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int"))
+    rows = skipped.join(classes.select("rid", values.alias("at")), "rid")
     first = F.shiftright("post", 32)
-    rows = rows.select("*", F.posexplode(F.slice("at", 1, upto)).alias("j", "other")).where(F.col("j") > first)
-    both = F.struct("post", "j", "other")
-    return rows.withColumn("post", both).drop("at", "j", "other")
+    rows = rows.select("*", F.posexplode("at").alias("j", "other")).where(F.col("j") > first)
+    return rows.withColumn("post", F.struct("post", "j", "other")).drop("other")
+
+
+def _first_two(upto: int) -> Column:
+    """Whether a pair meets under the first two coordinates that it shares, so that it is given once.
+
+    If the first is that of a short list, the pair is given there.
+    """
+    shared = [F.when((F.col("x.j") > k) & (F.col("x.at")[k] == F.col("y.at")[k]), 1).otherwise(0) for k in range(upto)]
+    return sum(shared, F.lit(0)) == 1
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
