@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.llm.common import small_batches, tidied
 from duelframe.llm.tokens import cut_points, default_path, encoder
 from duelframe.storage import materialise
 
@@ -38,6 +39,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, w
     """
     schema = _PIECE.append(pa.field("ids", pa.binary())) if with_ids else _PIECE
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
@@ -51,6 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, w
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duelframe.llm.common import small_batches, tidied
 from duelframe.llm.tokens import default_path, encoder
 from duelframe.storage import new_path
 
@@ -135,6 +136,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
     are shuffled, once, by ranges of the key; every task holds one block. An empty table gives a folder without blocks.
     """
 
+    @tidied
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         part, before, width = TaskContext.get().partitionId(), 0, encode.dtype.itemsize
@@ -159,6 +161,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
     slim = slim.withColumn("_at", F.monotonically_increasing_id())
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     stored = ranged.mapInArrow(blocks, _BLOCK_SQL).write
+    small_batches(docs.sparkSession)
     stored.option("parquet.block.size", 8 << 20).option("parquet.enable.dictionary", "false").parquet(path)
 
 
@@ -189,6 +192,7 @@ _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 def contents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in token files; the checksum is over 32-bit ids."""
 
+    @tidied
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelframe.llm.common import give_back, small_batches, tidied
 from duelframe.llm.near_copies import shingles
 from duelframe.storage import materialise
 
@@ -162,6 +163,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) ->
 def token_counts(rows: DataFrame) -> DataFrame:
     """(token, fold, toxic, clean): documents with each word, and with each beginning (marked by a leading ^)."""
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
@@ -244,6 +246,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> Model:
     """The model from labelled documents. Without toxic or without clean training rows every score is 0."""
+    small_batches(docs.sparkSession)
     rows = materialise(training_rows(docs, labels, limit), "toxic-training")
     counts = materialise(token_counts(rows), "toxic-counts")
     seen = {r["toxic"] for r in rows.groupBy("toxic").count().collect()}
@@ -303,7 +306,12 @@ def judged(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             passages.append(spans)
         return pd.DataFrame({"score": scores, "passages": passages})
 
-    scanned = F.pandas_udf(scan, "score double, passages array<struct<begin:int,end:int,score:double>>")
+    def scan_all(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from map(scan, parts)
+        give_back()
+
+    small_batches(docs.sparkSession)
+    scanned = F.pandas_udf(scan_all, "score double, passages array<struct<begin:int,end:int,score:double>>")
     kept = [c for c in docs.columns if c not in ("toxic_score", "toxic_passages")]
     out = docs.select(*kept, scanned(F.col(text).cast("string")).alias("_toxic"))
     return out.select(*kept, F.col("_toxic.score").alias("toxic_score"), F.col("_toxic.passages").alias("toxic_passages"))
