@@ -1,4 +1,7 @@
-"""Rule-ordered explanation texts as array expressions."""
+"""Rule-ordered explanation texts as array expressions.
+
+The sentences are fixed values: readers of the reports rely on their wording.
+"""
 
 from __future__ import annotations
 

@@ -89,11 +89,14 @@ def quotes(matchups: DataFrame, markets: DataFrame) -> DataFrame:
 
 def props(payload: DataFrame) -> DataFrame:
     """Player, statistic, line and both prices of each player prop; those without a line drop out."""
-    pattern = r"^(.+)\s+\(([^)]+)\)$"
+    # "Name (Statistic)": the statistic stands behind the last opening bracket, up to the end.
+    text = F.trim("special.description")
+    behind = F.substring_index(text, " (", -1)
+    bracketed = F.contains(text, F.lit(" (")) & F.endswith(text, F.lit(")"))
     special = payload.filter("special.category = 'Player Props'").withColumns({
-        "player": F.trim(F.regexp_extract("special.description", pattern, 1)),
-        "label": F.trim(F.regexp_extract("special.description", pattern, 2)),
-    }).filter("player <> ''")
+        "player": F.when(bracketed, F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(behind) - 2))),
+        "label": F.trim(F.substring(behind, F.lit(1), F.length(behind) - 1)),
+    }).filter("player <> '' AND label <> ''")
     named = F.map_from_arrays(
         F.transform("participants", lambda p: p["id"]), F.transform("participants", lambda p: F.lower(p["name"]))
     )
