@@ -1,50 +1,41 @@
-"""Near copies of vectors: NN-descent over vectors of equal label, links at a cosine threshold.
+"""Near copies of vectors: links at a cosine threshold within equal labels, and their components.
 
 1. Equal vectors of a label are one class; classes are compared, copies only counted.
-2. The first neighbour lists come from blocks of vectors that are next to each other when sorted by the signs of random projections.
-3. In each round, the vectors in whose lists a vector stands or that stand in its list are compared with each other: neighbours of
-   neighbours. A list keeps its best; a pair is compared only if one of the two is new there (Dong et al., 2011).
-4. Rounds end when they hardly find links. An audit compares a bounded, hash-chosen set of vectors with all others of their label; if too few
-   of their links were found, rounds go on with longer lists.
-5. Where all of a list's neighbours are linked, the list was too short: the vectors of that component are compared in full, in
-   blocks, and only the numbers of their links leave the tasks. So are those of small components.
+2. Labels of up to ``EXACT`` vectors are compared in full, in blocks.
+3. In larger ones, vectors meet that have equal signs of random projections, for so many sets of projections that a pair at the threshold
+   never meets with a probability of at most ``MISSED``, whatever the data; closer pairs miss less. There are no lists to fill up.
+   Sets are taken in turns, and buckets that lie in one component already are dropped, so a crowd is compared in the first turns only.
+4. What meets is compared in double precision. Only one link per pair of connected parts of two blocks leaves a task.
+5. The vectors of each component found so are compared in full, and only the numbers of their links leave the tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelframe.llm.common import small
+from duelframe.llm.common import small_batches
 from duelframe.llm.components import components
 from duelframe.llm.vectors import in_runs, matrix, numbers, runs, usable
 from duelframe.storage import materialise
 
 COSINE = 0.98
-NEIGHBOURS = 8
-TABLES = 4
-SIGNS = 24
-BLOCK = 64
-ROUNDS = 6
-#: A round that adds less than this share of the links so far is the last.
-STILL = 0.001
-#: About so many vectors are audited; their links must be found at this rate.
-AUDITED = 512
-RECALL = 0.99
-#: Members of one neighbourhood that are compared at once; larger ones are dealt into several.
-TOGETHER = 128
-#: Vectors of a component that are compared with as many others at once.
+#: Labels up to this size are compared in full.
+EXACT = 8192
+#: A pair at the threshold, of a larger label, meets in no set of projections with at most this probability.
+MISSED = 1e-6
+#: Sets of projections are at most about so many, and so many in one turn; signs are fewer for low thresholds.
+SETS = 128
+TURN = 16
+#: Vectors that are compared with as many others at once.
 SIDE = 256
-#: Components up to this size are compared in full, whether their lists are full or not.
-SMALL = 1024
-# Lists are built in single precision; links are decided in double precision on what is this close.
-_SLACK = 1e-5
 
-_EDGE = "u long, v long, c double"
+_LINKS = "u long, v long, links long"
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -70,171 +61,141 @@ def classes(vectors: DataFrame) -> DataFrame:
     return materialise(kept.mapInArrow(scaled, f"rid long, grp long, label {label}, copies long, first_id long, vec array<double>, unit array<double>"), "vector-classes")
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each list; an edge that was there before is not fresh."""
-    one = edges.groupBy("u", "v").agg(F.max("c").alias("c"), F.min("fresh").alias("fresh"))
-    best = Window.partitionBy("u").orderBy(F.desc("c"), "v")
-    return one.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= k).drop("_place")
-
-
-def first_lists(nodes: DataFrame, k: int, seed: int) -> DataFrame:
-    """Neighbour lists from blocks of ``BLOCK`` vectors in order of their projections' signs, for ``TABLES`` sets of projections."""
-    found = None
-    for table in range(TABLES):
-
-        def code(batches: Iterator[pa.RecordBatch], table: int = table) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                column = batch.column(2)
-                sizes = np.diff(column.offsets.to_numpy())
-                out = np.zeros(len(column), np.int64)
-                for size in np.unique(sizes):
-                    at = np.flatnonzero(sizes == size)
-                    signs = np.random.default_rng([seed, table, int(size)]).normal(size=(int(size), SIGNS))
-                    bits = matrix(column.take(pa.array(at))) @ signs > 0
-                    out[at] = bits @ (1 << np.arange(SIGNS)[::-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column, pa.array(out)], ["rid", "grp", "unit", "code"])
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in runs(batches, "grp", BLOCK):
-                if block.num_rows < 2:
-                    continue
-                ids, x = block.column(0).to_numpy(), matrix(block.column(2))
-                alike = x @ x.T
-                np.fill_diagonal(alike, -2)
-                best = np.argsort(-alike, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-                yield numbers("u v c", np.repeat(ids, best.shape[1]), ids[best.ravel()], np.take_along_axis(alike, best, axis=1).ravel().astype(np.float64))
-
-        coded = materialise(nodes.select("rid", "grp", "unit").mapInArrow(code, "rid long, grp long, unit array<float>, code long"), "vector-codes")
-        order = ["grp", "code", "rid"]
-        edges = coded.repartitionByRange(*order).sortWithinPartitions(*order).select("rid", "grp", "unit").mapInArrow(compare, _EDGE)
-        found = edges if found is None else found.union(edges)
-    return materialise(_top(found.withColumn("fresh", F.lit(1)), k), "vector-lists")
-
-
-def descend(lists: DataFrame, nodes: DataFrame, k: int, turn: int) -> DataFrame:
-    """One round: members of a neighbourhood are compared with each other, and lists keep their ``k`` best."""
-    members = lists.select(F.col("u").alias("p"), F.col("v").alias("rid"), "fresh").union(lists.select(F.col("v").alias("p"), F.col("u").alias("rid"), "fresh"))
-    members = members.groupBy("p", "rid").agg(F.max("fresh").alias("fresh"))
-    members = materialise(members, "vector-members")
-    sizes = members.groupBy("p").agg(F.count("*").alias("n"), F.max("fresh").alias("any")).where("any > 0 AND n > 1")
-    parts = F.ceil(F.col("n") / TOGETHER)
-    dealt = members.join(sizes, "p").withColumn("run", F.xxhash64("p", F.pmod(F.xxhash64("rid", F.lit(turn)), parts)))
-    worst = lists.groupBy(F.col("u").alias("rid")).agg(F.min("c").alias("worst"), F.count("*").alias("n"))
-    worst = worst.select("rid", F.when(F.col("n") >= k, F.col("worst")).otherwise(-2.0).alias("worst"))
-    known = nodes.select("rid", "unit").join(worst, "rid")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-        for group in runs(batches, "run", 4 * TOGETHER):
-            ids, fresh = group.column(1).to_numpy(), group.column(2).to_numpy() > 0
-            x, worst = matrix(group.column(3)), group.column(4).to_numpy()
-            alike = x @ x.T
-            better = (alike > worst[:, None] + 1e-7) & (fresh[:, None] | fresh[None, :])
-            np.fill_diagonal(better, False)
-            i, j = np.nonzero(better)
-            if len(i):
-                held.append((ids[i], ids[j], alike[i, j].astype(np.float64)))
-                rows += len(i)
-            if rows > 50_000:
-                yield numbers("u v c", *map(np.concatenate, zip(*held, strict=True)))
-                held, rows = [], 0
-        if held:
-            yield numbers("u v c", *map(np.concatenate, zip(*held, strict=True)))
-
-    joined = dealt.select("rid", "run", "fresh").join(known, "rid").select("run", "rid", "fresh", "unit", "worst")
-    new = in_runs(joined, "run").mapInArrow(compare, _EDGE).withColumn("fresh", F.lit(1))
-    return materialise(_top(lists.withColumn("fresh", F.lit(0)).union(new), k), "vector-lists")
-
-
-def _exact(pairs: DataFrame, nodes: DataFrame, cosine: float, label: str) -> DataFrame:
-    """The pairs (u < v) whose cosine in double precision is at least ``cosine``."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in runs(iter([batch]), "size", 1 << 20):
-                a, b = _double(part.column(3)), _double(part.column(4))
-                keep = np.einsum("ij,ij->i", a, b) >= cosine
-                yield numbers("u v", part.column(1).to_numpy()[keep], part.column(2).to_numpy()[keep])
-
-    left = nodes.select(F.col("rid").alias("u"), F.col("unit").alias("x"))
-    right = nodes.select(F.col("rid").alias("v"), F.col("unit").alias("y"))
-    both = pairs.join(left, "u").join(right, "v").select(F.size("x").cast("long").alias("size"), "u", "v", "x", "y")
-    return materialise(both.mapInArrow(check, "u long, v long"), label)
-
-
 def _double(column: pa.Array) -> np.ndarray:
     return matrix(column).astype(np.float64)
 
 
-def _linked(lists: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
-    near = lists.where(F.col("c") >= cosine - _SLACK)
-    pairs = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return _exact(pairs, nodes, cosine, "vector-links")
-
-
-def audit(nodes: DataFrame, cosine: float, audited: int = AUDITED) -> DataFrame:
-    """All links (u < v) of about ``audited`` vectors, found by comparing them with every vector of their label.
+def sets_of(n: int, cosine: float) -> tuple[int, int]:
+    """(signs, sets) for ``n`` vectors. A pair has one equal sign with probability 1 - angle / pi; with no signs at all, every pair meets."""
+    same = 1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi
 
-    The audited vectors are a bounded set, which the tasks receive.
-    """
-    n = max(nodes.count(), 1)
-    chosen = F.pmod(F.xxhash64("rid", F.lit("audit")), F.lit(n)) < audited
-    few: dict[int, list] = {}
-    for r in nodes.where(chosen).select("rid", "grp", "unit").collect():
-        few.setdefault(r["grp"], []).append((r["rid"], r["unit"]))
-    asked = {g: (np.array([i for i, _ in rows]), np.array([x for _, x in rows])) for g, rows in few.items()}
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in runs(iter([batch]), "grp", 4096):
-                q, x = asked.get(part.column(0)[0].as_py(), (None, None))
-                if q is None:
-                    continue
-                ids = part.column(1).to_numpy()
-                i, j = np.nonzero((x @ matrix(part.column(2)).T >= cosine) & (q[:, None] != ids[None, :]))
-                yield numbers("u v", np.minimum(q[i], ids[j]), np.maximum(q[i], ids[j]))
+    def sets(signs: int) -> int:
+        met = same**signs
+        return 1 if met == 1 else SETS + 1 if met == 0 else math.ceil(math.log(MISSED) / math.log1p(-met))
 
-    met = nodes.select("grp", "rid", "unit").mapInArrow(compare, "u long, v long")
-    return materialise(met.distinct(), "vector-audit")
+    signs = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 6))
+    while sets(signs) > SETS:
+        signs -= 1
+    return signs, sets(signs)
 
 
-def _named(every: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes with the component that ``links`` put them in."""
-    labels = components(links.select(F.col("u").alias("a"), F.col("v").alias("b")), "vector-components")
-    named = every.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid"))
-    return materialise(named.select("rid", "comp", "unit", "copies", "first_id", "label", "vec"), "vector-named")
+def _parts(linked: np.ndarray) -> np.ndarray:
+    """The first vector of each vector's connected part."""
+    linked = linked | np.eye(len(linked), dtype=bool)
+    part = np.arange(len(linked))
+    while True:
+        least = np.where(linked, part[None, :], len(part)).min(axis=1)
+        least = least[least]
+        if (least == part).all():
+            return part
+        part = least
 
 
-def _counted(dense: DataFrame, cosine: float) -> DataFrame:
-    """(rid, links): linked copies of other classes, for vectors (comp, rid, unit, copies) compared within their component.
+def met(rows: DataFrame, cosine: float, counted: bool, label: str) -> DataFrame:
+    """What comes out of comparing the ``rows`` (key, comp, rid, unit, copies) of equal ``key``; pairs of one ``comp`` may be left out.
 
-    A component is dealt into blocks of about ``SIDE`` vectors; blocks are joined on the component, so a row is a pair of blocks.
+    A row (u, v, NULL) is a link; all of them connect what links connect. If ``counted``, every pair is compared, and a row (u, NULL, links)
+    has linked copies of other classes, to be summed. A key is dealt into blocks of about ``SIDE`` vectors, a ``comp`` with as many into blocks
+    of its own. Each pair of blocks is one row; a key's pairs are spread over about as many tasks as the root of its number of blocks.
     """
-    sizes = dense.groupBy("comp").agg(F.count("*").alias("n"))
-    dealt = dense.join(sizes, "comp").withColumn("run", F.xxhash64("comp", F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / SIDE))))
+    if counted:
+        dealt = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key").withColumn("own", F.lit(None).cast("long"))
+    else:
+        many = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= SIDE, F.col("comp")))
+        sizes = many.groupBy(F.col("key").alias("_key"), F.col("own").alias("_own")).agg(F.sum("n").alias("n"))
+        dealt = rows.join(many.drop("n"), ["key", "comp"])
+        dealt = dealt.join(sizes, (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("_own")))
+    dealt = dealt.withColumn("run", F.xxhash64("key", F.coalesce("own", F.lit(-1)), F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / SIDE))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, "run", 4 * SIDE):
-            x = np.ascontiguousarray(_double(part.column(3)))
-            row = [[part.column(1)[0].as_py()], [part.column(2).to_numpy().tobytes()], [x.tobytes()], [part.column(4).to_numpy().tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in row], ["comp", "ids", "x", "copies"])
+            x, ids = np.ascontiguousarray(_double(part.column(3))), part.column(2).to_numpy()
+            first = _parts(x @ x.T >= cosine)
+            row = [[part.column(1)[0].as_py()], [part.column(5)[0].as_py()], [int(ids.min())], [ids.tobytes()], [x.tobytes()], [part.column(4).to_numpy().tobytes()], [first.tobytes()]]
+            types = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], ["key", "own", "least", "ids", "x", "copies", "parts"])
+
+    schema = "key long, own long, least long, ids binary, x binary, copies binary, parts binary"
+    blocks = in_runs(dealt.select("run", "key", "rid", "unit", "copies", "own"), "run").mapInArrow(pack, schema)
+    blocks = materialise(blocks, f"{label}-blocks")
+    salts = blocks.groupBy("key").agg(F.ceil(F.sqrt(F.count("*"))).cast("int").alias("salts"))
+    spread = blocks.join(salts, "key")
+    left = spread.withColumn("salt", F.pmod(F.xxhash64("least"), "salts").cast("int")).drop("salts")
+    right = spread.select("key", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
 
-    blocks = in_runs(dealt.select("run", "comp", "rid", "unit", "copies"), "run").mapInArrow(pack, "comp long, ids binary, x binary, copies binary")
-    blocks = materialise(blocks, "vector-blocks")
-    other = blocks.select("comp", F.col("ids").alias("ids2"), F.col("x").alias("x2"), F.col("copies").alias("copies2"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(batch: pa.RecordBatch, name: str, k: int, kind=np.int64) -> np.ndarray:
+            return np.frombuffer(batch.column(name)[k].as_buffer(), kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, x, ids2, x2, copies2 in zip(*(batch.column(c) for c in ("ids", "x", "ids2", "x2", "copies2")), strict=True):
-                a, b = (np.frombuffer(i.as_buffer(), np.int64) for i in (ids, ids2))
-                p = np.frombuffer(x.as_buffer()).reshape(len(a), -1)
-                q = np.frombuffer(x2.as_buffer()).reshape(len(b), -1)
-                linked = (p @ q.T >= cosine) & (a[:, None] != b[None, :])
-                yield numbers("rid links", a, linked @ np.frombuffer(copies2.as_buffer(), np.int64))
+        def out(u: np.ndarray, v: np.ndarray | None, links: np.ndarray | None) -> pa.RecordBatch:
+            columns = [pa.nulls(len(u), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (u, v, links)]
+            return pa.RecordBatch.from_arrays(columns, ["u", "v", "links"])
 
-    met = blocks.join(other, "comp").select("ids", "x", "ids2", "x2", "copies2")
-    return met.mapInArrow(count, "rid long, links long").groupBy("rid").agg(F.sum("links").alias("links"))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = of(batch, "ids", k), of(batch, "ids2", k)
+                p, q = (of(batch, c, k, np.float64).reshape(n, -1) for c, n in (("x", len(a)), ("x2", len(b))))
+                parts, parts2 = of(batch, "parts", k), of(batch, "parts2", k)
+                one = a[0] == b[0]
+                linked = p @ q.T >= cosine
+                if one:
+                    np.fill_diagonal(linked, False)
+                    away = np.flatnonzero(parts != np.arange(len(a)))
+                    if len(away):
+                        yield out(a[away], a[parts[away]], None)
+                elif linked.any():
+                    (f, i), (g, j) = (np.unique(c, return_inverse=True) for c in (parts, parts2))
+                    pairs = np.unique((i[:, None] * len(g) + j[None, :])[linked]) if len(f) * len(g) > 1 else np.zeros(1, np.int64)
+                    yield out(a[f[pairs // len(g)]], b[g[pairs % len(g)]], None)
+                if counted:
+                    yield out(a, None, linked @ of(batch, "copies2", k))
+                    if not one:
+                        yield out(b, None, linked.T @ of(batch, "copies", k))
+
+    both = left.join(right, ["key", "salt"]).where("least <= least2")
+    if not counted:
+        both = both.where("own IS NULL OR own2 IS NULL OR own <> own2 OR least = least2")
+    both = both.select("ids", "ids2", "x", "x2", "copies", "copies2", "parts", "parts2").mapInArrow(compare, _LINKS)
+    return materialise(both.groupBy("u", "v").agg(F.sum("links").alias("links")), label)
+
+
+def hashed(nodes: DataFrame, n: int, cosine: float, seed: int) -> DataFrame:
+    """(node, component) of ``nodes`` (rid, grp, unit, copies) by links among vectors with equal signs, for labels of up to ``n`` vectors."""
+    signs, sets = sets_of(n, cosine)
+    labels, begin, width = None, 0, 1
+    while begin < sets:
+        turn = range(begin, min(begin + width, sets))
+
+        def code(batches: Iterator[pa.RecordBatch], turn: range = turn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(2)
+                sizes = np.diff(column.offsets.to_numpy())
+                out = np.zeros((len(column), len(turn)), np.int64)
+                for size in np.unique(sizes):
+                    at = np.flatnonzero(sizes == size)
+                    x = _double(column.take(pa.array(at)))
+                    for place, number in enumerate(turn):
+                        normal = np.random.default_rng([seed, number, int(size)]).normal(size=(int(size), signs))
+                        out[at, place] = (x @ normal > 0) @ (1 << np.arange(signs))
+                many = len(turn)
+                yield numbers("rid grp number code", np.repeat(batch.column(0).to_numpy(), many), np.repeat(batch.column(1).to_numpy(), many), np.tile(np.array(turn), len(column)), out.ravel())
+
+        posted = nodes.select("rid", "grp", "unit").mapInArrow(code, "rid long, grp long, number long, code long")
+        posted = posted.select("rid", F.xxhash64("grp", "number", "code").alias("key"))
+        if labels is not None:
+            posted = posted.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "key", F.coalesce("component", "rid").alias("comp"))
+        else:
+            posted = posted.withColumn("comp", F.col("rid"))
+        posted = materialise(posted, "vector-codes")
+        mixed = posted.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
+        rows = posted.join(mixed, "key").join(nodes.select("rid", "unit", "copies"), "rid")
+        new = met(rows, cosine, False, "vector-met").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        if labels is not None:
+            new = new if new.isEmpty() else new.union(labels)
+        if labels is None or not new.isEmpty():
+            labels = components(new, "vector-components")
+        begin, width = turn.stop, min(2 * width, TURN)
+    return labels
 
 
 def near_vectors(
@@ -243,58 +204,37 @@ def near_vectors(
     vector: str = "embedding",
     label: str = "label",
     cosine: float = COSINE,
-    neighbours: int = NEIGHBOURS,
-    recall: float = RECALL,
-    rounds: int = ROUNDS,
     seed: int = 11,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Vectors of equal label and dimension are linked if a cosine of at least ``cosine`` was found. Vectors that are NULL, zero, or
+    Vectors of equal label and dimension are linked if their cosine is at least ``cosine``. Vectors that are NULL, zero, or
     hold NULL or non-finite components, and vectors without label, link with nothing: 0 links, their own component.
     Copies and repeated rows count as links of each other. A NULL id is never the smallest of its component; its row is kept only if no
     row of the component has an id. An empty table gives an empty table. Columns beyond the three are not looked at.
     """
     vectors = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"), F.col(label).alias("label"))
+    small_batches(rows.sparkSession)
     every = classes(vectors)
-    nodes = materialise(every.select("rid", "grp", F.col("unit").cast("array<float>").alias("unit")), "vector-nodes")
-    truth = audit(every, cosine)
-    k, turn = neighbours, 0
-    lists = first_lists(nodes, k, seed)
-    links = _linked(lists, every, cosine)
-    known = links.count()
-    while True:
-        for _ in range(rounds):
-            turn += 1
-            lists = descend(lists, nodes, k, turn)
-            links = _linked(lists, every, cosine)
-            before, known = known, links.count()
-            if known - before <= STILL * max(known, 1):
-                break
-        named = _named(every, links)
-        # a link inside one component counts as found: crowded components are compared in full below
-        ends = named.select("rid", "comp")
-        missed = truth.join(ends.select(F.col("rid").alias("u"), F.col("comp").alias("cu")), "u").join(ends.select(F.col("rid").alias("v"), F.col("comp").alias("cv")), "v")
-        missed, all_true = missed.where("cu <> cv").count(), truth.count()
-        if missed <= (1 - recall) * all_true or k >= 8 * neighbours:
-            break
-        k *= 2
-
-    found = links.union(truth).distinct()
-    if missed:
-        named = _named(every, found)
-    comps = named.select("rid", "comp")
-    # full lists were too short; and in components of a bounded size nothing is left to chance
-    full = lists.where(F.col("c") >= cosine - _SLACK).groupBy(F.col("u").alias("rid")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("rid")
-    crowded = comps.join(full, "rid").select("comp").union(comps.groupBy("comp").count().where(f"count BETWEEN 3 AND {SMALL}").select("comp"))
-    crowded = materialise(crowded.distinct(), "vector-crowded")
-    dense = _counted(named.join(crowded, "comp").select("comp", "rid", "unit", "copies"), cosine)
-    copies = named.select(F.col("rid").alias("v"), "copies")
-    either = found.union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    sparse = either.join(copies, "v").groupBy(F.col("u").alias("rid")).agg(F.sum("copies").alias("found"))
+    sizes = every.groupBy("grp").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    sized = every.join(sizes, "grp").select("grp", "rid", "unit", "copies", "n")
+    few = sized.where(F.col("n") <= EXACT).select(F.col("grp").alias("key"), F.col("rid").alias("comp"), "rid", "unit", "copies")
+    found = met(few, cosine, True, "vector-links")
+    labels = components(found.where("v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b")), "vector-components")
+    counts = found.where("v IS NULL")
+    if largest > EXACT:
+        nodes = materialise(sized.where(F.col("n") > EXACT).select("rid", "grp", "unit", "copies"), "vector-nodes")
+        more = hashed(nodes, largest, cosine, seed)
+        ends = more.union(more.select("component", "component").distinct().toDF("node", "component"))
+        alike = nodes.join(ends.withColumnRenamed("node", "rid"), "rid").select(F.col("component").alias("key"), F.col("rid").alias("comp"), "rid", "unit", "copies")
+        labels = labels.union(more)
+        counts = counts.union(met(alike, cosine, True, "vector-dense").where("v IS NULL"))
+    named = every.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("comp", F.coalesce("component", "rid"))
+    named = materialise(named.select("rid", "comp", "copies", "first_id", "label", "vec"), "vector-named")
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    per = named.join(smallest, "comp").join(dense, "rid", "left").join(sparse, "rid", "left")
-    per = per.select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", "found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    per = named.join(smallest, "comp").join(counts.select(F.col("u").alias("rid"), "links"), "rid", "left")
+    per = per.select(F.col("label").alias("_label"), F.col("vec").alias("_vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     per = materialise(per, "vector-result")
     counted = usable(F.col("vec")) & F.col("label").isNotNull()
     keyed = vectors.withColumn("_key", F.when(counted, F.col("vec").cast("array<double>")))

@@ -142,6 +142,42 @@ def test_vector_links_are_those_of_all_pairs(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], VECTOR)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [500, 1 << 15])
+def test_crowds_and_rare_vector_links_of_a_large_label(spark, monkeypatch, exact):
+    # pairs of groups that are closer within than across, rare near pairs among other vectors, and a crowd that has nearly all of the links
+    monkeypatch.setattr(near_vectors, "EXACT", exact, raising=False)
+    rng = np.random.default_rng(5)
+    n, dimension = 14_000, 32
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def beside(x, cosine):
+        y = rng.normal(size=x.shape)
+        y = unit(y - (x * y).sum(axis=-1, keepdims=True) * x)
+        return cosine * x + np.sqrt(1 - cosine**2) * y
+
+    x = unit(rng.normal(size=(n, dimension)))
+    for at in range(400, 520, 20):
+        x[at + 1 : at + 10] = unit(x[at] + 0.001 * rng.normal(size=(9, dimension)))
+        x[at + 10 : at + 20] = unit(beside(x[at], 0.985) + 0.001 * rng.normal(size=(10, dimension)))
+    x[1000:1200] = beside(x[1200:1400], 0.9805)
+    x[2000:2600] = unit(x[2000] + 0.002 * rng.normal(size=(600, dimension)))
+    x[2600] = beside(x[2000], 0.985)
+    x = x.astype(np.float32)
+    double = unit(x.astype(np.float64))
+    links = []
+    for begin in range(0, n, 2000):
+        i, j = np.nonzero(double[begin : begin + 2000] @ double.T >= 0.98)
+        links += [(a, b) for a, b in zip((i + begin).tolist(), j.tolist(), strict=True) if a != b]
+    degree, comp = Counter(a for a, _ in links), union(range(n), links)
+    assert comp[400] == comp[419] and degree[400] == 19
+    rows = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(x)], VECTOR)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(rows).collect()}
+    wrong = [i for i in range(n) if got[i] != (degree[i], comp[i])]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_forest_recall_and_order(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(3000, 24)).astype(np.float32)
