@@ -1,13 +1,16 @@
 """Licence recognition by sentences: known sentences become identifiers, sequences of identifiers become licences.
 
-A text is cut into sentences, each sentence is normalised (lower case, everything but letters, digits and dots to one
-space) and looked up among the known licence sentences. Ordered rules then read the sequence of identifiers: a rule that
+A text is cut into pieces at line breaks and marks, each piece is normalised (lower case, everything but letters, digits and dots to one
+space), and known licence sentences are found where they fill one piece or several in a row: licence texts are wrapped, with comment
+marks, and a sentence may hold further marks. The longest is tried first. Ordered rules then read the sequence of identifiers: a rule that
 finds its identifiers one after the other names a licence and uses them up, so longer texts are tried before
-the single sentences they contain. A sentence that speaks of a licence but is not known is reported as unknown.
+the single sentences they contain. A piece of no known sentence that speaks of a licence is reported as unknown.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,41 @@ LICENCE_RULES = (
     ("Proprietary", ("AllRights",)),
 )
 
+# Whole sentences of the licence texts and notices as they are published, in usual variants.
+WHOLE_SENTENCES = {
+    "licensed under the apache license version 2.0 the license": "Apache2Notice",
+    "the asf licenses this file to you under the apache license version 2.0 the license": "Apache2Notice",
+    "you may obtain a copy of the license at https www.apache.org licenses license 2.0": "Apache2Copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2AsIs",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MitNoticeKept",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiability",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GnuNoWarranty",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GnuNoWarranty",
+    "see the gnu lesser general public license for more details": "GnuLesserDetails",
+    "you should have received a copy of the gnu general public license along with this program": "GnuCopy",
+    "you should have received a copy of the gnu lesser general public license along with this library": "GnuCopy",
+    "if not see http www.gnu.org licenses": "GnuAddress",
+    "if not see https www.gnu.org licenses": "GnuAddress",
+    "if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa": "GnuAddress",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdAsIs",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "Mpl2Copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "Mpl2Copy",
+}
+
+# Tried before the other rules. The usual line on rights above a BSD text is part of it.
+WHOLE_RULES = (
+    ("Apache-2.0", ("Apache2Notice", "Apache2Comply", "Apache2Copy", "Apache2AsIs", "Apache2Limits")),
+    ("MIT", ("MitNotice", "MitGrant", "MitNoticeKept", "AsIs", "MitLiability")),
+    ("MIT", ("AllRights", "MitGrant", "MitNoticeKept", "AsIs")),
+    ("LGPL-2.1-or-later", ("Lgpl21OrLater", "GnuNoWarranty", "GnuLesserDetails")),
+    ("BSD-3-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse")),
+    ("BSD-2-Clause", ("AllRights", "BsdGrant", "BsdSource", "BsdBinary")),
+)
+
 UNKNOWN = "Unknown"
 # A sentence with one of these speaks of a licence. Texts without them are not cut into sentences.
 _SPEAKS = r"(?i)licen[cs]|copyright|warrant|redistribut|all rights reserved|free software|permission is hereby"
@@ -74,16 +112,27 @@ def _normalised(sentence: Column) -> Column:
     return F.regexp_replace(plain, r"^[ .]+|[ .]+$", "")
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the licence sentences of a text, in order; ``Unknown`` for sentences that only speak of licences."""
-    known = F.create_map(*[F.lit(x) for item in sentences.items() for x in item])
+def _known(sentence: str) -> str:
+    """A pattern of a known sentence, also behind a list mark, over whole lines of flagged pieces; a new piece may begin between two words."""
+    words = re.sub(r"\.(?= |$)", "", sentence).split()
+    return r"(?m)^[?-](?:(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})\x20)?" + r"(?:\x20|\n[?-])".join(w.replace(".", r"\.") for w in words) + "$"
+
+
+def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES | WHOLE_SENTENCES) -> Column:
+    """Identifiers of the licence sentences of a text, in order; ``Unknown`` for pieces of others that speak of licences."""
     cut = F.split(F.regexp_replace(text, _ENDS, "$1\n"), "\n")
-    ids = F.transform(cut, lambda s: F.coalesce(F.try_element_at(known, _normalised(s)), F.when(s.rlike(_SPEAKS), F.lit(UNKNOWN))))
+    # comment marks made of letters; the others are no part of normalised words
+    words = lambda s: F.regexp_replace(F.regexp_replace(_normalised(s), r"^(?:dnl|rem)(?:[. ]+|$)", ""), r"\.(?= |$)", "")
+    pieces = F.transform(cut, lambda s: F.struct(F.when(s.rlike(_SPEAKS), F.lit("?")).otherwise(F.lit("-")).alias("flag"), words(s).alias("words")))
+    lines = F.array_join(F.transform(F.filter(pieces, lambda p: p["words"] != ""), lambda p: F.concat(p["flag"], p["words"])), "\n")
+    for sentence in sorted(sentences, key=lambda s: (-len(s.split()), s)):
+        lines = F.regexp_replace(lines, _known(sentence), f"@{sentences[sentence]}")
+    ids = F.transform(F.split(lines, "\n"), lambda s: F.when(s.startswith("@"), F.substring(s, 2, 1 << 20)).when(s.startswith("?"), F.lit(UNKNOWN)))
     found = F.filter(ids, lambda i: i.isNotNull())
-    return F.when(text.rlike(_SPEAKS), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(_SPEAKS.replace(" ", r"(?:[^a-z0-9]|\bdnl\b|\brem\b)+")), found).otherwise(F.array().cast("array<string>"))
 
 
-def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES, rules=LICENCE_RULES) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] = SENTENCES | WHOLE_SENTENCES, rules=WHOLE_RULES + LICENCE_RULES) -> DataFrame:
     """``docs`` with ``sentence_ids``, ``licences`` (arrays, in the order of text and of rules) and ``unknown_sentences``.
 
     NULL and empty texts have empty arrays and 0. A licence that rules find more than once is listed once. Every row is

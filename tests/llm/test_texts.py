@@ -42,6 +42,99 @@ def test_licences_read_sequences(spark):
     assert licences.scan(rows.limit(0)).count() == 0
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+
+BSD2 = """All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+BSD3 = f"""{BSD2}
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+CC = """This work is licensed under a
+Creative Commons Attribution 4.0 International License."""
+
+
+def test_licences_of_unaltered_wrapped_texts(spark):
+    gpl2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+    texts = {"Apache-2.0": APACHE, "MIT": MIT, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": gpl2, "LGPL-2.1-or-later": LGPL21}
+    texts |= {"BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "MPL-2.0": MPL2, "CC-BY-4.0": CC, "Proprietary": "All rights\nreserved."}
+    rows = []
+    for name, text in texts.items():
+        for mark in ("", "# ", " * ", "// ", ";; ", "dnl "):
+            rows.append((name, mark, "Some words before\n\n" + "\n".join(mark + line for line in text.split("\n")) + "\n\nint x = 1;"))
+        rows.append((name, "crlf", text.replace("\n", "\r\n")))
+    got = licences.scan(spark.createDataFrame(rows, "name string, mark string, text string")).collect()
+    wrong = [(r["name"], r["mark"], r["licences"], r["sentence_ids"]) for r in got if r["licences"] != [r["name"]] or r["unknown_sentences"]]
+    assert not wrong, wrong[:3]
+
+
 def test_hilbert_curve_visits_neighbours():
     side = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
     index = sharding.hilbert_index(side, 3)
