@@ -17,7 +17,9 @@ from duelframe.storage import materialise
 
 SIDE = ["pts_roll10", "plus_minus_roll10", "win_roll10", "days_rest"]
 FEATURES = [f"{p}_{c}" for c in SIDE for p in ("home", "away", "diff")]
-PLAYER = ["pts_ewma", "minutes_ewma", "usage_rate_ewma", "reb_ewma", "ast_ewma", "is_b2b", "season_game_num"]
+PLAYER = ["pts_ewma", "minutes_ewma", "usage_rate_ewma", "reb_ewma", "ast_ewma", "fg3m_ewma", "is_b2b", "season_game_num"]
+PLAYER_STATS = ["pts", "reb", "ast"]
+PROP_STATS = [*PLAYER_STATS, "fg3m"]
 
 
 def contest_table(s: Shapes) -> DataFrame:
@@ -41,7 +43,7 @@ def player_table(s: Shapes) -> DataFrame:
     rows = ft.prop_features(s.player_log())
     return materialise(rows.select(
         "player", "game", "season", *[F.col(c).cast("double").alias(c) for c in PLAYER],
-        *[F.col(c).cast("double").alias(c) for c in ("minutes", "pts", "reb", "ast", "pts_per36", "reb_per36", "ast_per36")],
+        *[F.col(c).cast("double").alias(c) for c in ("minutes", *PROP_STATS, *[f"{stat}_per36" for stat in PROP_STATS])],
     ), "players")
 
 
@@ -80,7 +82,7 @@ def summary(s: Shapes, trained: ml.Trained, held: DataFrame) -> DataFrame:
 @query("ml_outcome_classifier", "candidate:s validation:f6 chosen:i n:l accuracy:f6 brier:f6 threshold:f2")
 def outcome_classifier(s: Shapes) -> DataFrame:
     df = contest_table(s)
-    trained = ml.train_outcome(df, FEATURES, "label", "season", candidates=ml.classifiers("label", trees=8))
+    trained = ml.train_outcome(df, FEATURES, "label", "season", candidates=ml.classifiers("label"))
     test = ml.scored(trained.model, df.filter(F.col("season") == trained.test_season))
     held = test.agg(*ml.metric_columns("p", "label", trained.threshold)).withColumn("threshold", F.lit(trained.threshold))
     return summary(s, trained, held)
@@ -109,8 +111,8 @@ def prune_refit(s: Shapes) -> DataFrame:
     df = contest_table(s)
     seasons = ml.seasons_of(df, "season")
     train, valid = df.filter(F.col("season") < seasons[-1]), df.filter(F.col("season") == seasons[-1])
-    boosted = GBTClassifier(labelCol="label", featuresCol="features", maxIter=10, maxDepth=3, seed=ml.SEED)
-    model, kept = ml.prune_and_refit(train, valid, FEATURES, boosted, "label", least=0.03)
+    boosted = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=3, seed=ml.SEED)
+    model, kept = ml.prune_and_refit(train, valid, FEATURES, boosted, "label")
     metrics = ml.scored(model, valid).agg(*ml.metric_columns("p", "label"))
     return metrics.withColumns({"features": F.lit(len(FEATURES)), "kept": F.lit(len(kept))})
 
@@ -118,7 +120,7 @@ def prune_refit(s: Shapes) -> DataFrame:
 @query("ml_player_regressors", "stat:s model:s n:l mae:f6 rmse:f6 baseline_mae:f6")
 def player_regressors(s: Shapes) -> DataFrame:
     df = player_table(s)
-    trained = ml.train_players(df, PLAYER, ["pts", "reb"], "season", min_rows=8)
+    trained = ml.train_players(df, PLAYER, PLAYER_STATS, "season", min_rows=8)
     parts = []
     for stat, t in trained.items():
         test = t.model.transform(df.filter(F.col("season") == t.test_season))
@@ -128,11 +130,11 @@ def player_regressors(s: Shapes) -> DataFrame:
     return union_by_name(parts)
 
 
-@query("ml_two_stage_props", "player:l game:l pred_minutes:f6 pred_pts:f6 pred_reb:f6")
+@query("ml_two_stage_props", "player:l game:l pred_minutes:f6 pred_pts:f6 pred_reb:f6 pred_ast:f6 pred_fg3m:f6")
 def two_stage_props(s: Shapes) -> DataFrame:
     df = player_table(s)
     last = ml.seasons_of(df, "season")[-1]
-    minutes, rates = ml.train_two_stage(df.filter(F.col("season") < last), PLAYER, ["pts", "reb"], trees=10)
+    minutes, rates = ml.train_two_stage(df.filter(F.col("season") < last), PLAYER, PROP_STATS)
     return ml.predict_two_stage(minutes, rates, df.filter(F.col("season") == last))
 
 
@@ -177,4 +179,4 @@ def permutation_importance(s: Shapes) -> DataFrame:
     last = ml.seasons_of(df, "season")[-1]
     model = ml.fit(df.filter(F.col("season") < last), FEATURES, quick())
     test = df.filter(F.col("season") == last)
-    return ml.permutation_importance(model, test, [f for f in FEATURES if f.startswith("diff_")], "label", "game")
+    return ml.permutation_importance(model, test, FEATURES, "label", "game")

@@ -75,6 +75,18 @@ def test_models_run(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_models_cover_all_statistics_and_features(spark):
+    from pyspark.sql import functions as F
+
+    from duelframe.plans.queries_models import FEATURES
+
+    queries = entry.queries()
+    assert {r["feature"] for r in queries["ml_permutation_importance"](spark, FOLDER).collect()} == set(FEATURES)
+    assert {r["stat"] for r in queries["ml_player_regressors"](spark, FOLDER).collect()} == {"pts", "reb", "ast"}
+    props = queries["ml_two_stage_props"](spark, FOLDER).agg(*[F.count(f"pred_{c}").alias(c) for c in ("pts", "reb", "ast", "fg3m")]).first()
+    assert min(props) > 0
+
+
 def test_calibration_never_leaves_the_unit_interval(spark):
     from pyspark.sql import functions as F
 
