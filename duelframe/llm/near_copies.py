@@ -239,6 +239,11 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCEN
     links. Rows with equal text belong together; repeated rows get equal results. A NULL doc_id is no candidate for the
     smallest: its row is kept only if its component has no other id. An empty table gives an empty table.
     """
+    return _named(docs, words, percent).drop("comp")
+
+
+def _named(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """What ``linked`` gives, and ``comp``: a number of the component itself, NULL for texts without words."""
     docs = docs.select("doc_id", "text")
     small_batches(docs.sparkSession)
     rows = materialise(signatures(docs, words), "near-signatures")
@@ -278,11 +283,11 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCEN
     named = classes.select("rid", "k1", "k2", "first_id").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")
     named = named.withColumn("comp", F.coalesce("component", "rid"))
     smallest = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = materialise(named.join(smallest, "comp").select("k1", "k2", "component_id"), "near-named")
+    named = materialise(named.join(smallest, "comp").select("k1", "k2", "comp", "component_id"), "near-named")
     out = rows.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", "kept")
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", "kept", "comp")
 
 
 def _on_two(skipped: DataFrame, classes: DataFrame, upto: int) -> DataFrame:
@@ -305,12 +310,16 @@ def _first_two(upto: int) -> Column:
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY_PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of near copies, with all columns of ``docs``: the row with the smallest key, NULL last.
+    """One row of each group of near copies, with all columns of ``docs``: the row with the smallest key, NULL last,
+    and among equal keys the one with the smallest hash of its text.
 
     Texts are not shuffled while the removed rows are few enough to broadcast. Repeated rows are one group. Texts without words stay.
     """
-    found = materialise(linked(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent), "near-found")
-    ids = found.groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    found = materialise(_named(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), words, percent), "near-found")
+    ids = found.groupBy("doc_id", "text_hash").agg(F.first("comp").alias("comp"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = ids.where("n > 0").groupBy("comp").agg(F.min(row).alias("best"))
+    ids = ids.join(best, "comp", "left").withColumn("kept", (F.col("n") == 0) | row.eqNullSafe(F.col("best"))).drop("best")
     ids = materialise(ids, "near-ids")
 
     def among(rows: DataFrame, chosen: DataFrame, how: str) -> DataFrame:

@@ -94,6 +94,18 @@ def test_odd_rows_and_one_of_each_group(spark, odd_documents):
     assert sorted(i for i in ids if i is not None) == sorted(k for k in want if k is not None) and ids.count(None) == 1
 
 
+def test_one_of_near_copies_under_one_id_and_under_none(spark):
+    rng = random.Random(7)
+    rows = []
+    for key in (7, None):
+        words = sentence(rng, 120).split(" ")
+        rows += [document(key, " ".join(words[:i] + ["zz"] + words[i + 1 :])) for i in (10, 60)]
+    rows += [document(7, sentence(rng, 100)), document(None, ""), document(None, None)]
+    kept = near_copies.deduplicated(spark.createDataFrame(rows, COLUMNS)).collect()
+    ends = Counter((r["doc_id"], " ".join((r["text"] or "").split(" ")[-20:])) for r in kept)
+    assert ends == Counter({(k, " ".join((t or "").split(" ")[-20:])): 1 for k, t, *_ in rows if t}) + Counter({(None, ""): 2})
+
+
 def test_no_documents(no_documents):
     assert near_copies.linked(no_documents).count() == 0 and near_copies.deduplicated(no_documents).count() == 0
 
