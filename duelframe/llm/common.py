@@ -125,3 +125,12 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, str], label: str
 def _before(sizes: DataFrame, n: str) -> DataFrame:
     ranges = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select("_part", F.coalesce(F.sum(n).over(ranges), F.lit(0)).cast("long").alias("_before"))
+
+
+def light(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its measured strings and numbers have at most ``limit`` bytes, else as it is: a shuffled join.
+
+    ``df`` should be a stored table: measuring reads it once.
+    """
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(0)) + 16 for c, t in df.dtypes)
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= limit else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.llm import forest, licences, mixing, near_copies, near_vectors, packing, sharding, token_files, toxicity, urls
+from duelframe.llm import collocations, forest, licences, mixing, near_copies, near_vectors, packing, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_vectors": near_vectors.digest,
     "op9_best_fit_packing": packing.digest,
     "op10_projection_forest": forest.digest,
+    "op12_collocations": collocations.digest,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_near_copies": near_copies.SQL,
     "op5_url_trust": urls.SQL,
     "op7_mixing": mixing.SQL,
+    "op12_collocations": collocations.SQL,
 }
