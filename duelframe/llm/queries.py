@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duelframe.llm import collocations, forest, licences, mixing, near_copies, near_vectors, packing, sharding, token_files, toxicity, urls
+from duelframe.llm import collocations, forest, languages, licences, mixing, near_copies, near_vectors, packing, repair, sharding, token_files, toxicity, urls
 
 QUERIES = {
     "op1_licence_sentences": licences.digest,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_near_vectors": near_vectors.digest,
     "op9_best_fit_packing": packing.digest,
     "op10_projection_forest": forest.digest,
+    "op11_language_id": languages.digest,
     "op12_collocations": collocations.digest,
+    "op13_conversation_repair": repair.digest,
 }
 
 ORACLES = {
