@@ -5,8 +5,9 @@ prefixes of one word, then of two, and so on. Stripes of one prefix are merged b
 the statistics need is read from them: the extensions and their counts, the total of a prefix (an end of a piece is an entry too), and the largest
 extension that subsumes a phrase.
 
-A common prefix has a stripe as long as the vocabulary. So a stripe is split into ``PARTS`` by the following word, and a part
-is merged by a hash aggregate that can spill: no task has to hold a stripe.
+A common prefix has a stripe as long as the vocabulary. So stripes of prefixes that are common in a sample of the texts are split into ``PARTS`` by
+the following word, and a part is merged by a hash aggregate that can spill: no task has to hold a stripe. The sample decides
+nothing else: every place of every text is counted.
 
 A phrase cannot be more frequent than the phrases in it. So beyond one-word prefixes a place of the text is counted
 only if both shorter phrases there may be frequent, as told by a bitmap of ``BITS`` bits over all frequent ones. The bitmap has one size whatever
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from duelframe.llm.common import light, small_batches, tidied
 from duelframe.storage import materialise
 
-#: A stripe is split into so many parts by the following word.
-PARTS = 32
+#: Stripes of prefixes with more than this share of all entries are split into ``PARTS`` by the following word.
+COMMON = 1 / 2000
+PARTS = 64
+#: About so many texts tell which prefixes those are.
+SAMPLE = 5_000
 #: Bytes of text whose stripes are combined before they leave a task; a longer text is a block of its own.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: log2 of the bits of the map of frequent phrases.
 BITS = 27
 #: Groups of the first ranking of each language.
@@ -43,7 +47,9 @@ SPACES = " \t"
 _KIND = np.zeros(256, np.uint8)
 _KIND[[ord(c) for c in SPACES]] = 1
 _KIND[[ord(c) for c in MARKS]] = 2
-_STRIPE = "lang string, prefix string, part int, total long, next array<string>, n array<long>"
+#: Numbers of prefixes and following words are kept below this.
+_LARGEST = (1 << 63) - 1
+_STRIPE = "lang string, prefix string, part int, total long, next array<string>, n array<int>"
 
 
 class Block:
@@ -60,70 +66,92 @@ class Block:
         # a text also begins a word, even right after the last letter of the text before
         at = starts_of_texts[:-1][np.diff(starts_of_texts) > 0]
         begins[at] = inside[at]
+        stops = inside.copy()
+        stops[:-1] &= ~inside[1:] | begins[1:]
         start = np.flatnonzero(begins)
+        length = np.flatnonzero(stops) + 1 - start
+        del begins, stops
         text = np.searchsorted(starts_of_texts, start, "right") - 1
-        # bytes of words, packed, are the strings; a word has the packed bytes up to the next one
-        packed = np.cumsum(inside)
-        offsets = np.append(packed[start] - 1, packed[-1] if len(packed) else 0).astype(np.int64)
-        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes()))
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start) + text
+        offsets = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(length, out=offsets[1:])
+        words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
         encoded = words.dictionary_encode()
         self.words = encoded.dictionary.cast(pa.string())
         self.word = encoded.indices.to_numpy().astype(np.int64)
         langs = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
         self.langs = langs.dictionary
         self.lang = langs.indices.to_numpy().astype(np.int64)[text]
-        self.piece = np.cumsum(kind == 2)[start] + text if len(start) else np.zeros(0, np.int64)
-        self.hash = _hash(self.words)[self.word] if len(self.words) else np.zeros(0, np.uint64)
 
-    def stripes(self, k: int, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """Stripes of prefixes of ``k`` words; for ``k`` above 1 only of places where both phrases of k words may be in ``frequent``."""
+    def stripes(self, k: int, common: pa.Array, frequent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Stripes of prefixes of ``k`` words; for ``k`` above 1 only of places where both phrases of k words may be in ``frequent``.
+
+        Stripes of prefixes in ``common`` (language and prefix) are split by the following word.
+        """
         n, size = len(self.word), len(self.words)
         if n < k:
             return
         if k == 1:
             at = np.arange(n)
             # the end of a piece is the entry after the last word
-            follows = np.append(self.piece[1:] == self.piece[:-1], False)
-            after = np.where(follows, np.append(self.word[1:], 0), size)
+            after = np.append(np.where(self.piece[1:] == self.piece[:-1], self.word[1:], size), size)
         else:
             same = self.piece[k:] == self.piece[:-k]
-            known = _marked(frequent, self._rolling(k))
+            known = _marked(frequent, self._rolling(k, len(frequent).bit_length() + 5))
             at = np.flatnonzero(same & known[:-1] & known[1:])
             after = self.word[at + k]
         if not len(at):
             return
-        code = self.lang[at]
+        # a prefix is numbered word by word; ``steps`` leads back from its number to the words
+        code, steps = self.lang[at], []
         for j in range(k):
-            _, code = np.unique(code * size + self.word[at + j], return_inverse=True)
-        entries, first, count = np.unique(code * (size + 1) + after, return_index=True, return_counts=True)
-        code, after, at = code[first], after[first], at[first]
-        del entries
-        part = np.append(_hash(self.words) % np.uint64(PARTS), 0).astype(np.int64)[after]
-        order = np.argsort(code * PARTS + part, kind="stable")
-        code, after, at, part, count = code[order], after[order], at[order], part[order], count[order]
+            code = code * size + self.word[at + j]
+            if j < k - 1 or int(code.max()) > _LARGEST // (size + 1):
+                values, code = np.unique(code, return_inverse=True)
+                steps.append(values)
+            else:
+                steps.append(None)
+        entries = np.sort(code * (size + 1) + after)
+        new = np.flatnonzero(np.append(True, entries[1:] != entries[:-1]))
+        count = np.diff(np.append(new, len(entries))).astype(np.int32)
+        code, after = np.divmod(entries[new], size + 1)
+        del entries, new, at
+        begins = np.append(True, code[1:] != code[:-1])
+        prefixes, back = [], code[begins]
+        code = np.cumsum(begins) - 1
+        for values in reversed(steps):
+            back = back if values is None else values[back]
+            prefixes.append(self.words.take(pa.array(back % size)))
+            back = back // size
+        lang = self.langs.take(pa.array(back))
+        prefix = prefixes[0] if k == 1 else pc.binary_join_element_wise(*reversed(prefixes), " ")
+        split = pc.is_in(pc.binary_join_element_wise(lang, prefix, " "), value_set=common).to_numpy(zero_copy_only=False)
+        part = np.zeros(len(code), np.int32)
+        if split.any():
+            part = np.where(split[code], np.append(_hash(self.words) % np.uint64(PARTS), 0).astype(np.int32)[after], part)
+            order = np.argsort(code * PARTS + part, kind="stable")
+            code, after, part, count = code[order], after[order], part[order], count[order]
         new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])))
         offsets = pa.array(np.append(new, len(code)), pa.int32())
-        head = at[new]
-        prefix = [self.words.take(pa.array(self.word[head + j])) for j in range(k)]
         batch = pa.RecordBatch.from_arrays(
             [
-                self.langs.take(pa.array(self.lang[head])),
-                prefix[0] if k == 1 else pc.binary_join_element_wise(*prefix, " "),
+                lang.take(pa.array(code[new])),
+                prefix.take(pa.array(code[new])),
                 pa.array(part[new], pa.int32()),
-                pa.array(np.add.reduceat(count, new), pa.int64()),
+                pa.array(np.add.reduceat(count, new, dtype=np.int64), pa.int64()),
                 pa.ListArray.from_arrays(offsets, self.words.take(pa.array(after, mask=after == size))),
-                pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64())),
+                pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
             ],
             ["lang", "prefix", "part", "total", "next", "n"],
         )
         for i in range(0, batch.num_rows, 20_000):
             yield batch.slice(i, 20_000)
 
-    def _rolling(self, k: int) -> np.ndarray:
+    def _rolling(self, k: int, bits: int) -> np.ndarray:
         """Hash of the phrase of ``k`` words at each place."""
-        lang = _hash(self.langs)[self.lang]
+        lang, word = _hash(self.langs)[self.lang], _hash(self.words)[self.word]
         n = len(self.word) - k + 1
-        return _phrase_hash(lang[:n], [self.hash[j : j + n] for j in range(k)])
+        return _phrase_hash(lang[:n], [word[j : j + n] for j in range(k)], bits)
 
 
 def _hash(strings: pa.Array) -> np.ndarray:
@@ -131,23 +159,24 @@ def _hash(strings: pa.Array) -> np.ndarray:
     return pd.util.hash_array(strings.to_numpy(zero_copy_only=False).astype(object), categorize=False)
 
 
-def _phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+def _phrase_hash(lang: np.ndarray, words: list[np.ndarray], bits: int) -> np.ndarray:
+    """The place of a phrase in a map of 2**bits bits."""
     out = lang
     for w in words:
         out = out * np.uint64(0x9E3779B97F4A7C15) + w
-    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)
 
 
 def _marked(frequent: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (frequent[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+def _gathered(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= BLOCK:
+        if size >= block_bytes:
             yield _block(held)
             held, size = [], 0
     if held:
@@ -161,14 +190,22 @@ def _block(batches: list[pa.RecordBatch]) -> Block:
 
 def stripes(docs: DataFrame, k: int, frequent: np.ndarray | None = None) -> DataFrame:
     """Stripes of prefixes of ``k`` words from (lang, text), one row per block of texts, prefix and part; stored."""
-    shared = None if frequent is None else docs.sparkSession.sparkContext.broadcast(frequent)
+    shared, block_bytes = docs.sparkSession.sparkContext.broadcast(frequent), BLOCK
 
-    @tidied
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _gathered(batches):
-            yield from block.stripes(k, shared and shared.value)
+    def made(rows: DataFrame, common: pa.Array) -> DataFrame:
+        @tidied
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _gathered(batches, block_bytes):
+                yield from block.stripes(k, common, shared.value)
+
+        return rows.mapInArrow(work, _STRIPE)
 
-    return materialise(docs.mapInArrow(work, _STRIPE), f"stripes-{k}")
+    # a sample only tells which stripes to split; what is counted does not depend on it
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    seen = materialise(made(docs.sample(share, seed=k), pa.array([], pa.string())).groupBy("lang", "prefix").agg(F.sum("total").alias("n")), "stripes-seen")
+    least = (seen.agg(F.sum("n")).first()[0] or 0) * COMMON
+    common = [f"{r['lang']} {r['prefix']}" for r in seen.where(F.col("n") > least).select("lang", "prefix").collect()]
+    return materialise(made(docs, pa.array(common, pa.string())), f"stripes-{k}")
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
@@ -176,7 +213,8 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
 
     Stripes travel whole to the task of their part; entries are taken apart and added there, without a second shuffle.
     """
-    entries = parts.repartition("lang", "prefix", "part").select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "n")).alias("e"))
+    dealt = parts.select("lang", "prefix", "part", "next", "n").repartition("lang", "prefix", "part")
+    entries = dealt.select("lang", "prefix", "part", F.explode(F.arrays_zip("next", "n")).alias("e"))
     added = entries.groupBy("lang", "prefix", "part", F.col("e.next").alias("next")).agg(F.sum("e.n").alias("a"))
     kept = added.where(F.col("next").isNotNull() & (F.col("a") >= least))
     return materialise(kept.select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "a"), "phrases")
@@ -184,17 +222,18 @@ def merged(parts: DataFrame, least: int) -> DataFrame:
 
 def bitmap(phrases: DataFrame, k: int) -> np.ndarray:
     """The map of the phrases of ``k`` words. It has 2**BITS bits whatever their number."""
+    bits = BITS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 words = pc.list_flatten(pc.split_pattern(batch["phrase"], " ")).to_numpy(zero_copy_only=False).reshape(-1, k)
-                place = _phrase_hash(_hash(batch["lang"]), [_hash(pa.array(words[:, j])) for j in range(k)])
+                place = _phrase_hash(_hash(batch["lang"]), [_hash(pa.array(words[:, j])) for j in range(k)], bits)
                 bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(bit)], ["slot", "bits"])
 
     rows = phrases.select("lang", "phrase").mapInArrow(work, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
