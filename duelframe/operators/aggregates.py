@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duelframe.operators.linear import vector_sums
+
 
 def running_accuracy(df: DataFrame, date: str, correct: Column) -> DataFrame:
     """Accuracy per day, up to the day, and over the last seven days with entries.
@@ -336,28 +338,26 @@ def paired_models_test(df: DataFrame, a: Column, b: Column, keys: list[str] = ()
     return counts.withColumn("statistic", statistic).withColumn("p_value", tail).withColumn("significant", (F.col("p_value") < 0.05).cast("int"))
 
 
-def bootstrap_roi(df: DataFrame, profit: str, replicates: int = 10_000, decimals: int = 4) -> DataFrame:
+def bootstrap_roi(df: DataFrame, profit: str, replicates: int = 10_000) -> DataFrame:
     """Bootstrap interval and p-value of the return on equal resamples.
 
-    Bets with the same (rounded) profit are counted first. In a replicate such a
-    group of ``c`` bets is drawn Poisson(c) times, by a generator that the profit
-    seeds: exact for every count, a retried task draws the same, and the work
-    depends on the number of distinct profits, not on the number of bets.
+    Bets with the same profit are counted first. In a replicate such a group of ``c`` bets is drawn Poisson(c) times, by a generator that the profit
+    seeds: exact for every count, and a retried task draws the same. A task adds its draws to one vector with a profit and a stake per
+    replicate and emits that, so memory and shuffle do not depend on the number of bets or of different profits. Bets without a profit do not count.
     """
-
-    groups = df.groupBy(F.round(profit, decimals).alias("profit")).agg(F.count(F.lit(1)).alias("c"))
-
-    @F.pandas_udf("array<long>")
-    def drawn(count: pd.Series, seed: pd.Series) -> pd.Series:
-        # one array of replicates per distinct profit
-        return pd.Series([np.random.default_rng([s & (1 << 63) - 1, 1]).poisson(c, replicates) for c, s in zip(count, seed, strict=True)])
-
-    seeded = groups.withColumn("k", drawn("c", F.xxhash64("profit")))
-    draws = seeded.select("profit", "c", F.posexplode("k").alias("at", "k")).withColumn("replicate", F.col("at") + 1)
-    # The stake of a bet is what it risks: one unit lost, or the profit of a win.
-    per_replicate = draws.groupBy("replicate").agg(
-        F.try_divide(F.sum(F.col("k") * F.col("profit")), F.sum(F.col("k") * F.abs("profit"))).alias("roi")
-    )
+    groups = df.where(F.col(profit).isNotNull()).groupBy(F.col(profit).cast("double").alias("profit")).agg(F.count(F.lit(1)).alias("c"))
+
+    def draw(batch: pa.RecordBatch, vectors: dict[int, np.ndarray]) -> None:
+        sums = vectors.setdefault(0, np.zeros(2 * replicates))
+        for gain, count, seed in zip(*(batch[n].to_pylist() for n in ("profit", "c", "seed")), strict=True):
+            k = np.random.default_rng([seed & (1 << 63) - 1, 1]).poisson(count, replicates)
+            # The stake of a bet is what it risks: one unit lost, or the profit of a win.
+            sums[:replicates] += k * gain
+            sums[replicates:] += k * abs(gain)
+
+    cells = vector_sums(groups.withColumn("seed", F.xxhash64("profit")), draw)
+    of = lambda stake: F.sum(F.when((F.col("pos") >= replicates) == stake, F.col("value")))
+    per_replicate = cells.groupBy((F.col("pos") % replicates + 1).alias("replicate")).agg(F.try_divide(of(False), of(True)).alias("roi"))
     # Replicate 0 is the data itself.
     actual = groups.agg(
         F.try_divide(F.sum(F.col("c") * F.col("profit")), F.sum(F.col("c") * F.abs("profit"))).alias("roi"),

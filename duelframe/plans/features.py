@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,16 +108,56 @@ TEAM_FEATURES = (
 )
 
 
-def contest_features(features: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[str]]] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Dimension:
+    """A table with one row per ``keys``, and for each of its columns the value of team rows that it does not have; None leaves them NULL."""
+
+    table: DataFrame
+    keys: tuple[str, ...]
+    fills: Mapping[str, float | None]
+
+    def join(self, rows: DataFrame) -> DataFrame:
+        known = {c: v for c, v in self.fills.items() if v is not None}
+        return joins.enrich(rows, self.table.select(*self.keys, *self.fills), self.keys, known)
+
+
+def with_dimensions(features: DataFrame, dimensions: Sequence[Dimension]) -> DataFrame:
+    """Team rows with the columns of all dimensions."""
+    for dimension in dimensions:
+        features = dimension.join(features)
+    return features
+
+
+# What counts where nothing is known of a side.
+NOBODY_ABSENT = {"missing_minutes": 0.0, "missing_usage": 0.0, "n_missing": 0, "star_out": 0, "availability": 1.0}
+NO_LINEUPS = {f"lineup_{c}": 0.0 for c in ("top1_net", "top3_net", "avg_net", "net_std", "best_off", "best_def", "n")}
+NO_EFFORT = {f"effort_{c}": 0.0 for c in (*ag.EFFORT_WEIGHTS, "index")}
+NO_CREW = {"crew_fta10": None, "crew_fta20": None, "pace_impact": None}
+
+
+def lineup_dimension(lineups: DataFrame, order: Sequence[Column]) -> Dimension:
+    """Best, typical and spread of the ratings of a team's lineups in a season."""
+    found = ag.lineup_summary(lineups, ["season", "team"], list(order))
+    return Dimension(found.withColumnsRenamed({c.removeprefix("lineup_"): c for c in NO_LINEUPS}), ("season", "team"), NO_LINEUPS)
+
+
+def effort_dimension(log: DataFrame) -> Dimension:
+    """A team's mean effort measures in a season, and their index among the season's teams; the log has the measures by their names."""
+    means = log.groupBy("season", "team").agg(*[F.avg(c).alias(c) for c in ag.EFFORT_WEIGHTS])
+    found = ag.zscore_index(means, ["season"], ag.EFFORT_WEIGHTS, "index")
+    return Dimension(found.withColumnsRenamed({c.removeprefix("effort_"): c for c in NO_EFFORT}), ("season", "team"), NO_EFFORT)
+
+
+def contest_features(features: DataFrame, dimensions: Sequence[Dimension] = ()) -> DataFrame:
     """One row per game: both sides' features, their differences and interactions, and the outcome.
 
-    Each dimension is a table by (team, season) and its columns; it is joined to
-    the team rows before both sides are brought together.
+    Dimensions by team are joined to the team rows before both sides are brought together; those by ``game`` once to each contest.
     """
     columns = [c for c in TEAM_FEATURES if c in features.columns]
-    for table, names in dimensions:
-        features = joins.enrich(features, table, ["team", "season"])
-        columns += list(names)
+    of_game = [d for d in dimensions if "game" in d.keys]
+    of_team = [d for d in dimensions if "game" not in d.keys]
+    features = with_dimensions(features, of_team)
+    columns += [c for d in of_team for c in d.fills]
     sides = joins.two_sided(features, ["game", "game_date", "season", "era"], "is_home", ["team", "win", *columns])
     wide = measures.difference_block(sides, columns).drop("away_win")
     c = F.col
@@ -124,7 +165,7 @@ def contest_features(features: DataFrame, dimensions: Sequence[tuple[DataFrame,
     away_edge = c("away_off_rtg_roll20") - c("home_def_rtg_roll20")
     fatigue = lambda side: c(f"{side}_is_back_to_back") * c(f"{side}_travel_miles")
     factors = {"diff_efg_roll10": 0.40, "diff_tov_poss_roll10": -0.25, "diff_oreb_pct_roll10": 0.20, "diff_ft_rate_roll10": 0.15}
-    return wide.select(
+    return with_dimensions(wide, of_game).select(
         "*",
         home_edge.alias("home_off_vs_away_def"),
         away_edge.alias("away_off_vs_home_def"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.functions.market import no_vig
-from duelframe.operators import aggregates as ag, topk, windows as wn
+from duelframe.operators import aggregates as ag, sketches as sk, topk, windows as wn
 from duelframe.operators.joins import era_of
 from duelframe.operators.ordered import entity_log
 from duelframe.plans.queries_joins import _ERA_CASE, player_days, player_status, expected_players
@@ -14,6 +14,7 @@ from duelframe.plans.queries_scalars import phi_sql, player_seasons, priced, wit
 from duelframe.plans.queries_windows import KEY, W, rows, team_log
 from duelframe.plans.registry import SHARED_SQL, query
 from duelframe.plans.shapes import Shapes
+from duelframe.storage import materialise
 
 RIGHT_SQL = "((p_home >= 0.5) = (home_win = 1))"
 
@@ -436,7 +437,7 @@ def bootstrap_interval(s: Shapes) -> DataFrame:
 @query(
     "ag_bootstrap_ci",
     "mean_roi:f6 n_bets:l replicates:l brackets:i",
-    f"""SELECT sum(CASE WHEN bet_won = 1 THEN {round(ag.WIN_PAYOUT, 4)} ELSE -1 END) / sum(CASE WHEN bet_won = 1 THEN {round(ag.WIN_PAYOUT, 4)} ELSE 1 END) AS mean_roi,
+    f"""SELECT sum(CASE WHEN bet_won = 1 THEN {ag.WIN_PAYOUT!r}::DOUBLE ELSE -1 END) / sum(CASE WHEN bet_won = 1 THEN {ag.WIN_PAYOUT!r}::DOUBLE ELSE 1 END) AS mean_roi,
     count(*) AS n_bets, 10000 AS replicates, 1 AS brackets FROM covers WHERE bet_won IS NOT NULL""",
 )
 def bootstrap_ci(s: Shapes) -> DataFrame:
@@ -631,3 +632,27 @@ def date_fallback(s: Shapes) -> DataFrame:
     present = topk.on_date_or_latest(games, "game_date", day("1999-03-03")).withColumn("asked", F.lit("present"))
     absent = topk.on_date_or_latest(games, "game_date", day("2050-01-01")).withColumn("asked", F.lit("absent"))
     return present.unionByName(absent)
+
+
+@query(
+    "ag_conformal_sketch",
+    "first:i last:i n:l near:i",
+    """SELECT lo AS first, season AS last, CAST(sum(n) OVER (ORDER BY season) AS BIGINT) AS n, 1 AS near
+    FROM (SELECT season, count(*) AS n, min(min(season)) OVER () AS lo FROM predictions GROUP BY season)""",
+)
+def conformal_sketch(s: Shapes) -> DataFrame:
+    """Half-widths of every run of seasons from the first, from stored sketches; ``near``: the share of residuals within is as asked, up to twice the stated rank error."""
+    residual = F.abs(F.col("margin") - (F.col("home_win") * 8 - 4))
+    rows = s.predictions().select("season", residual.cast("double").alias("residual"))
+    stored = materialise(sk.sketch(rows, F.col("residual"), ["season"]), "sketches")
+    spans = materialise(sk.conformal(sk.ranges(stored, "season")), "sketch-ranges")
+    begin = spans.agg(F.min("first")).first()[0]
+    spans = spans.where(F.col("first") == begin)
+    seasons = F.array(*[F.lit(r[0]) for r in stored.select("season").distinct().collect()])
+    member = F.explode(F.filter(seasons, lambda p: (p >= F.col("first")) & (p <= F.col("last")))).alias("season")
+    # a row per season and run of seasons
+    members = F.broadcast(spans.select("first", "last", "n", "quantile", member))
+    level = F.least(F.ceil((F.col("n") + 1) * 0.9) / F.col("n"), F.lit(1.0))
+    share = rows.join(members, "season").groupBy("first", "last", "n").agg(F.avg((F.col("residual") <= F.col("quantile")).cast("int")).alias("within"))
+    off = F.abs(F.col("within") - level)
+    return share.withColumn("near", (off <= 2 * sk.rank_error() + 2 / F.col("n")).cast("int"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from duelframe.operators import ratings
 from duelframe.plans import features as ft
-from duelframe.plans.queries_aggregates import absence_rows, game_means, officials
+from duelframe.operators import aggregates as ag
+from duelframe.plans.queries_aggregates import _EFFORT, absence_rows, game_means, officials
 from duelframe.plans.queries_ledger import _ELO, league_games
 from duelframe.plans.queries_windows import KEY, PRIOR, SEASON_W, W, _PLACE, _RUNS, _ewma_sql, places, rows
 from duelframe.plans.registry import SHARED_SQL, query
@@ -242,3 +243,82 @@ def rp_crew_features(s: Shapes) -> DataFrame:
     poss = F.col("fga") - F.col("oreb") + F.col("tov") + 0.44 * F.col("fta")
     league = s.contest_log().groupBy("game_date").agg(F.avg(poss).alias("pace"))
     return ft.crew_features(officials(s), game_means(s), league)
+
+
+# The events are of one month 24 years after the contests of some teams; lineups and effort are by team and season. Most contests have no row in one or the other.
+SHARED_SQL["absent_sides"] = """SELECT team, CAST(day - INTERVAL 24 YEAR AS DATE) AS game_date, coalesce(sum(min_roll5) FILTER (WHERE was_absent = 1), 0) AS missing_minutes,
+  coalesce(sum(usage) FILTER (WHERE was_absent = 1), 0) AS missing_usage, count(*) FILTER (WHERE was_absent = 1) AS n_missing,
+  CAST(count(*) FILTER (WHERE was_absent = 1 AND usage >= 0.25) > 0 AS INT) AS star_out,
+  1 - coalesce(sum(min_roll5) FILTER (WHERE was_absent = 1), 0) / sum(min_roll5) AS availability FROM absence_rows GROUP BY team, day"""
+SHARED_SQL["crews"] = """SELECT game, avg(fta10) AS crew_fta10, avg(fta20) AS crew_fta20, avg(poss10) - any_value(league10) AS pace_impact
+  FROM official_form LEFT JOIN league_pace USING (game_date) GROUP BY game, game_date"""
+SHARED_SQL["lineup_sides"] = """SELECT season, team, max(net) AS lineup_top1_net, avg(net) FILTER (WHERE r <= 3) AS lineup_top3_net, sum(net * minutes) / sum(minutes) AS lineup_avg_net,
+  coalesce(stddev_samp(net), 0) AS lineup_net_std, max(off_rating) AS lineup_best_off, min(def_rating) AS lineup_best_def, count(*) AS lineup_n
+  FROM (SELECT * REPLACE (CAST(season * 100 + (season + 1) % 100 AS INT) AS season, team % 25 AS team), off_rating - def_rating AS net,
+    row_number() OVER (PARTITION BY season, team % 25 ORDER BY gp DESC, minutes DESC, order_key, line, member) AS r FROM lineups WHERE gp >= 5) GROUP BY season, team"""
+SHARED_SQL["effort_sides"] = "SELECT season, team, " + ", ".join(f"effort_{n}" for n in _EFFORT) + ", " + " + ".join(
+    f"{ag.EFFORT_WEIGHTS[n]} * coalesce((effort_{n} - avg(effort_{n}) OVER s) / nullif(stddev_samp(effort_{n}) OVER s, 0), 0)" for n in _EFFORT
+) + " AS effort_index FROM (SELECT season, team, " + ", ".join(f"avg({c}) AS effort_{n}" for n, c in _EFFORT.items()) + """ FROM contest_log GROUP BY season, team)
+  WINDOW s AS (PARTITION BY season)"""
+
+
+def availability_dimension(s: Shapes) -> ft.Dimension:
+    rolled = ft.availability(absence_rows(s), ["team", "day"]).withColumn("game_date", F.add_months("day", -24 * 12))
+    return ft.Dimension(rolled, ("team", "game_date"), ft.NOBODY_ABSENT)
+
+
+def crew_dimension(s: Shapes) -> ft.Dimension:
+    return ft.Dimension(rp_crew_features(s), ("game",), ft.NO_CREW)
+
+
+def season_dimensions(s: Shapes) -> list[ft.Dimension]:
+    order = [F.col("gp").desc(), F.col("minutes").desc(), F.col("order_key"), F.col("line"), F.col("member")]
+    year = F.col("season")
+    lineups = s.lineups().withColumns({"team": F.col("team") % 25, "season": (year * 100 + (year + 1) % 100).cast("int")})
+    effort = s.contest_log().select("season", "team", *[F.col(c).alias(n) for n, c in _EFFORT.items()])
+    return [ft.lineup_dimension(lineups, order), ft.effort_dimension(effort)]
+
+
+@query(
+    "rp_team_dimensions",
+    f"{KEY} pts_roll10:f6 " + " ".join(f"{c}:f6" for c in (*ft.NOBODY_ABSENT, *ft.NO_CREW)),
+    "SELECT t.*, " + ", ".join(f"coalesce({c}, {v}) AS {c}" for c, v in ft.NOBODY_ABSENT.items()) + ", crew_fta10, crew_fta20, pace_impact "
+    "FROM team_features t LEFT JOIN absent_sides a ON a.team = t.team AND a.game_date = t.game_date LEFT JOIN crews c ON c.game = t.game",
+)
+def rp_team_dimensions(s: Shapes) -> DataFrame:
+    """Team rows with who was missing and how the officials whistle."""
+    return ft.with_dimensions(team_features(s), [availability_dimension(s), crew_dimension(s)])
+
+
+_SIDE_DIMENSIONS = ft.NOBODY_ABSENT | ft.NO_LINEUPS | ft.NO_EFFORT
+
+
+def full_contests(s: Shapes) -> DataFrame:
+    """Contests with every dimension: form, availability, lineups, effort, crew and ratings."""
+    dimensions = [availability_dimension(s), *season_dimensions(s), crew_dimension(s)]
+    return ft.add_ratings(ft.contest_features(team_features(s), dimensions), ratings.elo(league_games(s), ["game_date", "game"]))
+
+
+def _sided(side: str, letter: str) -> str:
+    return ", ".join(f"coalesce({letter}.{c}, {v}) AS {side}_{c}" for c, v in _SIDE_DIMENSIONS.items())
+
+
+_DIMENSION_OUT = " ".join(f"{side}_{c}:f6" for side in ("home", "away", "diff") for c in _SIDE_DIMENSIONS)
+_SIDES_SQL = """SELECT f.game, f.team, a.* EXCLUDE (team, game_date), l.* EXCLUDE (team, season), e.* EXCLUDE (team, season) FROM contest_log f
+  LEFT JOIN absent_sides a ON a.team = f.team AND a.game_date = f.game_date LEFT JOIN lineup_sides l ON l.team = f.team AND l.season = f.season
+  LEFT JOIN effort_sides e ON e.team = f.team AND e.season = f.season"""
+
+
+@query(
+    "rp_contest_dimensions",
+    f"game:l game_date:d season:i home_team:i away_team:i home_win:i matchup_edge:f6 diff_pts_roll10:f6 {_DIMENSION_OUT} crew_fta10:f6 crew_fta20:f6 pace_impact:f6 "
+    "home_elo:f6 away_elo:f6 diff_elo:f6 home_expected:f6 elo_x_days_rest:f6",
+    f"""WITH sides AS ({_SIDES_SQL})
+    SELECT *, {", ".join(f"home_{c} - away_{c} AS diff_{c}" for c in _SIDE_DIMENSIONS)}, coalesce(diff, 0) AS diff_elo, coalesce(diff, 0) * diff_days_rest AS elo_x_days_rest FROM
+    (SELECT t.game, t.game_date, t.season, t.home_team, t.away_team, t.home_win, t.matchup_edge, t.diff_pts_roll10, t.diff_days_rest, crew_fta10, crew_fta20, pace_impact,
+      {_sided("home", "h")}, {_sided("away", "w")}, coalesce(home_elo, 1500) AS home_elo, coalesce(away_elo, 1500) AS away_elo, diff_elo AS diff, home_expected
+     FROM contest_features t JOIN sides h ON h.game = t.game AND h.team = t.home_team JOIN sides w ON w.game = t.game AND w.team = t.away_team
+     LEFT JOIN crews c ON c.game = t.game LEFT JOIN (SELECT game, home_elo, away_elo, diff_elo, home_expected FROM ({_ELO})) r ON r.game = t.game)""",
+)
+def rp_contest_dimensions(s: Shapes) -> DataFrame:
+    return full_contests(s)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelframe.operators import ledger, quality, ratings
+from duelframe.operators import filters, ledger, quality, ratings
 from duelframe.plans.registry import SHARED_SQL, query
 from duelframe.plans.shapes import Shapes
+from duelframe.storage import materialise, new_path
 
 SHARED_SQL["dated"] = "SELECT *, CAST(game_date AS TIMESTAMP) - to_hours(hours_ahead) AS created_at FROM predictions"
 SHARED_SQL["open_lines"] = """SELECT game_date, home, away, CASE WHEN home % 7 = 0 THEN NULL ELSE spread END AS opening_spread,
@@ -345,3 +346,25 @@ def join_cardinality(s: Shapes) -> DataFrame:
     return quality.join_cardinality(games, priced, "odds").unionByName(
         quality.join_cardinality(games, predicted, "predictions")
     )
+
+
+@query(
+    "dq_known_keys",
+    "team:i game:l season:i n:l read:i",
+    """WITH arriving AS (SELECT team, game FROM contest_log WHERE season = (SELECT max(season) FROM contest_log)
+      UNION ALL SELECT team, game FROM contest_log WHERE season = (SELECT min(season) FROM contest_log) AND game % 50 = 0)
+    SELECT team, game, season, count(*) AS n, 1 AS read FROM contest_log WHERE season < (SELECT max(season) FROM contest_log)
+      AND (team, game) IN (SELECT (team, game) FROM arriving) GROUP BY ALL""",
+)
+def known_keys(s: Shapes) -> DataFrame:
+    """A new season into which some rows of the first have strayed: found through stored filters; ``read`` says that no more seasons were read than the filters let through."""
+    path = new_path(s.spark, "by-season")
+    s.contest_log().select("team", "game", "season").write.partitionBy("season").parquet(path)
+    log = s.spark.read.parquet(path)
+    first, last = log.agg(F.min("season"), F.max("season")).first()
+    history = log.where(F.col("season") < last)
+    stored = materialise(filters.key_filters(history, ["team", "game"], "season"), "key-filters")
+    new = log.where(F.col("season") == last).unionByName(log.where((F.col("season") == first) & (F.col("game") % 50 == 0)))
+    found, read = filters.known_keys(new, history, stored, ["team", "game"], "season")
+    few = len(read) <= filters.suspects(new, ["team", "game"], stored, "season").select("season").distinct().count()
+    return found.withColumn("read", F.lit(int(few)))

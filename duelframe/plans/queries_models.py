@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.market import no_vig
-from duelframe.operators import joins, models as ml, quality, windows as wn
+from duelframe.operators import attribution as at, joins, models as ml, quality, windows as wn
 from duelframe.operators.ordered import entity_log
 from duelframe.operators.sets import union_by_name
 from duelframe.plans import features as ft
@@ -88,13 +88,14 @@ def outcome_classifier(s: Shapes) -> DataFrame:
     return summary(s, trained, held)
 
 
-@query("ml_cover_classifier", "candidate:s validation:f6 chosen:i n:l accuracy:f6 brier:f6 features:i")
+@query("ml_cover_classifier", "candidate:s validation:f6 chosen:i n:l accuracy:f6 brier:f6 features:i calibrator:s brier_calibrated:f6")
 def cover_classifier(s: Shapes) -> DataFrame:
     df = contest_table(s)
-    trained, kept = ml.train_cover(df, FEATURES, "covers", "season")
+    trained, kept, method, calibrate = ml.train_cover(df, FEATURES, "covers", "season")
     test = ml.scored(trained.model, df.filter((F.col("season") == trained.test_season) & F.col("covers").isNotNull()))
-    held = test.agg(*ml.metric_columns("p", "covers")).withColumn("features", F.lit(len(kept)))
-    return summary(s, trained, held)
+    calibrated = F.avg(F.pow(F.col("calibrated") - F.col("covers"), F.lit(2))).alias("brier_calibrated")
+    held = calibrate(test.select("p", "covers")).agg(*ml.metric_columns("p", "covers"), calibrated)
+    return summary(s, trained, held.withColumns({"features": F.lit(len(kept)), "calibrator": F.lit(method)}))
 
 
 @query("ml_margin_regressor", "candidate:s validation:f6 chosen:i n:l mae:f6 rmse:f6 residual_std:f6")
@@ -138,8 +139,8 @@ def two_stage_props(s: Shapes) -> DataFrame:
     return ml.predict_two_stage(minutes, rates, df.filter(F.col("season") == last))
 
 
-@query("ml_quantile_band", "player:l game:l prediction:f6 p25:f6 p50:f6 p75:f6")
-def quantile_band(s: Shapes) -> DataFrame:
+@query("ml_residual_band", "player:l game:l prediction:f6 p25:f6 p50:f6 p75:f6")
+def residual_band(s: Shapes) -> DataFrame:
     df = player_table(s)
     last = ml.seasons_of(df, "season")[-1]
     known = df.filter(F.col("season") < last)
@@ -148,15 +149,17 @@ def quantile_band(s: Shapes) -> DataFrame:
     return ml.with_band(model.transform(df.filter(F.col("season") == last)), "prediction", bands)
 
 
-@query("ml_calibrate", "method:s n:l accuracy:f6 brier:f6")
+@query("ml_calibrate", "method:s n:l accuracy:f6 brier:f6 chosen:i")
 def calibrate(s: Shapes) -> DataFrame:
     df = contest_table(s)
     *train, held, test = ml.seasons_of(df, "season")
     model = ml.fit(df.filter(F.col("season").isin(train)), FEATURES, quick())
     score = lambda season: ml.scored(model, df.filter(F.col("season") == season)).select("game", "label", "p")
-    methods = ml.calibrators(score(held), "p", "label")
+    rows = materialise(score(held), "calibration-season")
+    methods, (best, _) = ml.calibrators(rows, "p", "label"), ml.chosen_calibrator(rows, "p", "label")
     return union_by_name([
-        apply(score(test)).agg(*ml.metric_columns("calibrated", "label")).withColumn("method", F.lit(name)) for name, apply in methods.items()
+        apply(score(test)).agg(*ml.metric_columns("calibrated", "label")).withColumns({"method": F.lit(name), "chosen": F.lit(int(name == best))})
+        for name, apply in methods.items()
     ])
 
 
@@ -173,6 +176,18 @@ def batch_score(s: Shapes) -> DataFrame:
     return ml.value_scan(model, df, "market_home", 0.05)
 
 
+@query("ml_strong_bets", "game:l season:i edge:f6 bet_side:s composite_score:f6 p_cover:f6 passes_cover:i")
+def strong_bets(s: Shapes) -> DataFrame:
+    """The last season's bets that the cover model, calibrated on a season of its own, lets through."""
+    df = contest_table(s)
+    last = ml.seasons_of(df, "season")[-1]
+    model = ml.fit(df.filter(F.col("season") < last), FEATURES, quick())
+    trained, _, _, calibrate = ml.train_cover(df, FEATURES, "covers", "season")
+    scan = ml.value_scan(model, df.filter(F.col("season") == last), "market_home", 0.05)
+    cover = calibrate(ml.scored(trained.model, df.filter(F.col("season") == last)).select("game", "p")).select("game", F.col("calibrated").alias("p_cover"))
+    return ml.strong_bets(scan.join(cover, "game", "left"), "edge", "p_cover")
+
+
 @query("ml_permutation_importance", "feature:s drop:f6 rank:i")
 def permutation_importance(s: Shapes) -> DataFrame:
     df = contest_table(s)
@@ -180,3 +195,36 @@ def permutation_importance(s: Shapes) -> DataFrame:
     model = ml.fit(df.filter(F.col("season") < last), FEATURES, quick())
     test = df.filter(F.col("season") == last)
     return ml.permutation_importance(model, test, FEATURES, "label", "game")
+
+
+@query("ml_tree_attributions", "model:s feature:s mean_abs:f6 rank:i exact:i")
+def tree_attributions(s: Shapes) -> DataFrame:
+    """The last season's contests explained by boosted trees, a forest and a logistic model; ``exact``: base and parts sum to the model's own score in every row."""
+    df = contest_table(s)
+    last = ml.seasons_of(df, "season")[-1]
+    parts = []
+    for name, estimator in ml.classifiers("label", trees=8).items():
+        model = ml.fit(df.filter(F.col("season") < last), FEATURES, estimator)
+        rows = at.attributed(model, at.scored_margin(model, df.filter(F.col("season") == last)), FEATURES)
+        rows = materialise(rows.withColumn("off", (F.abs(F.col("margin") - F.col("scored")) > 1e-9).cast("int")), "attributed")
+        exact = 1 - rows.agg(F.max("off")).first()[0]
+        parts.append(at.importance(rows, FEATURES).withColumns({
+            "model": F.lit(name), "rank": F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(F.desc("mean_abs"), "feature")), "exact": F.lit(exact)}))
+    return union_by_name(parts)
+
+
+@query(
+    "sc_strong_bets",
+    "id:l edge_magnitude:f6 composite_score:f6 p_cover:f6 passes_cover:i",
+    """SELECT *, 1 AS passes_cover FROM (SELECT id, abs(p_home - market_home) AS edge_magnitude, CASE WHEN id % 5 <> 0 THEN ((id * 29) % 97 + 2) / 101.0 END AS p_cover,
+      0.6 * abs(p_home - market_home) AS composite_score FROM priced)
+    WHERE edge_magnitude > 0.08 AND composite_score > 0.04 AND coalesce(p_cover, 1) >= 0.53""",
+)
+def strong_bets_of_all(s: Shapes) -> DataFrame:
+    """The gate on all predictions, with a cover probability made of the id that every fifth lacks."""
+    from duelframe.functions.market import value_flags
+    from duelframe.plans.queries_scalars import with_market
+
+    rows = with_market(s).withColumns(value_flags(F.col("p_home"), F.col("market_home")))
+    cover = F.when(F.col("id") % 5 != 0, ((F.col("id") * 29) % 97 + 2) / 101.0)
+    return ml.strong_bets(rows.withColumn("p_cover", cover), "edge_magnitude", "p_cover")

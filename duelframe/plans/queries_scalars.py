@@ -525,23 +525,27 @@ def _centroid_sql() -> str:
 @query(
     "sc_nearest_centroid",
     "player:l position:s",
-    f"""WITH feats AS (SELECT player, avg(ast) * 3 AS ast_pct, avg(reb) * 0.5 AS oreb_pct, avg(reb) * 2 AS dreb_pct,
-      avg(tov) * 0.3 AS blk, avg(ast) * 0.5 AS ast, avg(reb) * 0.8 AS reb FROM player_log GROUP BY player),
+    f"""WITH feats AS (SELECT player, coalesce(avg(ast), 0) * 3 AS ast_pct, coalesce(avg(reb), 0) * 0.5 AS oreb_pct, coalesce(avg(reb), 0) * 2 AS dreb_pct,
+      coalesce(avg(tov), 0) * 0.3 AS blk, coalesce(avg(ast), 0) * 0.5 AS ast, coalesce(avg(reb), 0) * 0.8 AS reb FROM player_log GROUP BY player),
     scored AS ({_centroid_sql()}),
     placed AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY distance, position) AS n FROM scored),
-    allowed AS (SELECT player, CASE player % 4 WHEN 0 THEN ['PG', 'SG'] WHEN 1 THEN ['SF', 'PF'] WHEN 2 THEN ['PF', 'C'] END AS ps FROM feats)
-    SELECT f.player, CASE WHEN ps IS NOT NULL THEN (SELECT arg_min(position, n) FROM placed q WHERE q.player = f.player AND list_contains(a.ps, q.position))
+    allowed AS (SELECT player, CASE player % 4 WHEN 0 THEN ['PG', 'SG'] WHEN 1 THEN ['SF', 'PF'] WHEN 2 THEN ['PF', 'C'] END AS ps FROM feats),
+    counted AS (SELECT player, ast / greatest(reb, 0.1) AS spread, CASE WHEN reb >= 8 AND blk >= 1 THEN 'C' WHEN reb >= 7.5 THEN 'PF' WHEN ast >= 6 THEN 'PG'
+      WHEN reb >= 4.5 THEN 'SF' WHEN ast / greatest(reb, 0.1) >= 1 THEN 'PG' WHEN ast >= 2.5 AND reb < 3.5 THEN 'SG' WHEN reb >= 3.5 THEN 'SF' ELSE 'SG' END AS named FROM feats)
+    SELECT f.player, CASE WHEN NOT (f.ast_pct > 0 AND f.oreb_pct > 0) THEN CASE WHEN ps IS NULL OR list_contains(ps, named) THEN named
+        WHEN list_contains(ps, 'PG') AND spread > 0.8 THEN 'PG' WHEN list_contains(ps, 'SG') THEN 'SG' ELSE list_min(ps) END
+      WHEN ps IS NOT NULL THEN (SELECT arg_min(position, n) FROM placed q WHERE q.player = f.player AND list_contains(a.ps, q.position))
       WHEN (SELECT list_sort(list(position)) FROM placed q WHERE q.player = f.player AND n <= 2) = ['PG', 'SG']
         THEN CASE WHEN f.ast / greatest(f.reb, 0.1) >= 0.95 THEN 'PG' ELSE 'SG' END
       ELSE (SELECT position FROM placed q WHERE q.player = f.player AND n = 1) END AS position
-    FROM feats f JOIN allowed a ON f.player = a.player WHERE f.ast_pct > 0 AND f.oreb_pct > 0""",
+    FROM feats f JOIN allowed a ON f.player = a.player JOIN counted c ON f.player = c.player""",
 )
 def nearest_centroid(s: Shapes) -> DataFrame:
     careers = s.player_log().groupBy("player").agg(F.avg("ast").alias("a"), F.avg("reb").alias("r"), F.avg("tov").alias("t"))
     a, r, t = F.col("a"), F.col("r"), F.col("t")
     features = {"ast_pct": a * 3, "oreb_pct": r * 0.5, "dreb_pct": r * 2, "blk": t * 0.3, "ast": a * 0.5, "reb": r * 0.8}
     generic = F.element_at(F.array(F.lit("G"), F.lit("F"), F.lit("F-C"), F.lit("")), (F.col("player") % 4 + 1).cast("int"))
-    return careers.filter((a > 0) & (r > 0)).select("player", measures.infer_position(features, generic).alias("position"))
+    return careers.select("player", measures.infer_position(features, generic).alias("position"))
 
 
 @query(

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duelframe.functions.text import clean_columns
+from duelframe.plans.queries_windows import W
 from duelframe.plans.registry import query
 from duelframe.plans.shapes import Shapes
-from duelframe.sources import files, nested, sinks
+from duelframe.operators.resumable import Resumable, step
+from duelframe.operators.sets import union_by_name
+from duelframe.sources import files, nested, sinks, variants
 from duelframe.storage import new_path
 
 LOG_SCHEMA = (
@@ -329,3 +332,71 @@ def json_report(s: Shapes) -> DataFrame:
     schema = "game_date DATE, count BIGINT, rows ARRAY<STRUCT<id: BIGINT, home: INT, away: INT, p_home: DOUBLE>>"
     ids = F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",")
     return s.spark.read.schema(schema).json(path).withColumn("ids", ids)
+
+
+RESUMED = Resumable(
+    entity=["team"], order=["game_date", "game"], means={"pts": [5, 20], "plus_minus": [10]}, decays={"plus_minus": [7], "win": [15]},
+    streaks={"streak": "win"}, records={"win": ("cum_wins", "cum_losses", "cum_win_pct")}, within=["season"],
+)
+
+
+@query(
+    "src_resumable_windows",
+    "team:i game_date:d game:l " + " ".join(f"{c}:{'l' if c in ('streak', 'cum_wins', 'cum_losses') else 'f6'}" for c in RESUMED.features),
+    f"""SELECT f.* REPLACE (r.streak AS streak) FROM team_features f JOIN (SELECT team, game, coalesce(lag(run) {W}), 0) AS streak FROM
+      (SELECT *, CASE WHEN win = 1 THEN 1 ELSE -1 END * row_number() OVER (PARTITION BY team, win, island ORDER BY game_date, game) AS run FROM
+        (SELECT *, row_number() {W}) - row_number() OVER (PARTITION BY team, win ORDER BY game_date, game) AS island FROM contest_log))) r
+    ON r.team = f.team AND r.game = f.game""",
+)
+def resumable_windows(s: Shapes) -> DataFrame:
+    """The features of all seasons, made season by season at the end: the last two see the stored state and their own files only."""
+    path = new_path(s.spark, "log-by-season")
+    s.contest_log().select("team", "game_date", "game", "season", "win", "pts", "plus_minus").write.partitionBy("season").parquet(path)
+    log = s.spark.read.parquet(path)
+    seasons = sorted(r[0] for r in log.select("season").distinct().collect())
+    parts, state = [], None
+    for batch in (seasons[:-2], seasons[-2:-1], seasons[-1:]):
+        features, state = step(RESUMED, log.where(F.col("season").isin(batch)), state)
+        parts.append(features)
+    return union_by_name(parts)
+
+
+def changed_props(s: Shapes) -> DataFrame:
+    """Prop payloads of a feed that has changed: some have a new field, some a price that is a word, some are cut off."""
+    return s.player_log().selectExpr("*", """to_json(named_struct('id', game, 'startTime', CAST(game_date AS TIMESTAMP) + INTERVAL 20 HOURS,
+        'special', named_struct('category', IF(game % 5 = 0, 'Team Props', 'Player Props'), 'description', concat('Player ', player, ' (Points)')),
+        'participants', array(named_struct('id', game * 2, 'name', 'Over'), named_struct('id', game * 2 + 1, 'name', 'Under')),
+        'prices', array(
+            named_struct('participantId', game * 2, 'price', CAST(-100 - game % 40 AS INT), 'points', pts + 0.5D),
+            named_struct('participantId', game * 2 + 1, 'price', CAST(-120 - game % 30 AS INT), 'points', pts + 0.5D)))) AS p0""").selectExpr(
+        "*", "IF(game % 19 = 0, concat('{\"limit\":{\"max\":', game, '},', substring(p0, 2)), p0) AS p1",
+    ).selectExpr(
+        "*", """IF(game % 17 = 0, replace(p1, concat('"participantId":', game * 2, ',"price":', CAST(-100 - game % 40 AS INT)),
+            concat('"participantId":', game * 2, ',"price":"even"')), p1) AS p2""",
+    ).selectExpr("IF(game % 23 = 0, substring(p2, 1, 40), p2) AS payload")
+
+
+@query(
+    "src_variant_props",
+    "player:s stat:s line:f2 over_price:i under_price:i game_date:d",
+    """SELECT concat('Player ', CAST(player AS VARCHAR)) AS player, 'PTS' AS stat, pts + 0.5 AS line, CASE WHEN game % 17 <> 0 THEN CAST(-100 - game % 40 AS INT) END AS over_price,
+    CAST(-120 - game % 30 AS INT) AS under_price, game_date FROM player_log WHERE game % 5 <> 0 AND game % 23 <> 0""",
+)
+def variant_props(s: Shapes) -> DataFrame:
+    return variants.props(changed_props(s))[0]
+
+
+@query(
+    "src_variant_unread",
+    "feed:s problems:s unknown:s payloads:l whole:l",
+    """SELECT 'props' AS feed, CASE WHEN game % 23 = 0 THEN 'no JSON' WHEN game % 17 = 0 THEN 'prices.price: not int' ELSE '' END AS problems,
+    CASE WHEN game % 19 = 0 AND game % 23 <> 0 THEN 'limit' ELSE '' END AS unknown, count(*) AS payloads,
+    CAST(sum(CASE WHEN game % 19 = 0 AND game % 23 <> 0 THEN game ELSE 0 END) AS BIGINT) AS whole
+    FROM player_log WHERE game % 23 = 0 OR game % 17 = 0 OR game % 19 = 0 GROUP BY ALL""",
+)
+def variant_unread(s: Shapes) -> DataFrame:
+    """What the typed columns lack is still there: ``whole`` sums a number out of the unknown field."""
+    found = variants.props(changed_props(s))[1]
+    limit = F.get_json_object(F.try_element_at("unknown", F.lit("limit")), "$.max").cast("long")
+    return found.groupBy("feed", F.array_join("problems", "; ").alias("problems"), F.array_join(F.array_sort(F.map_keys("unknown")), "; ").alias("unknown")).agg(
+        F.count(F.lit(1)).alias("payloads"), F.coalesce(F.sum(limit), F.lit(0)).alias("whole"))

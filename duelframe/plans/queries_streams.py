@@ -12,7 +12,7 @@ from duelframe.plans.queries_ledger import dated
 from duelframe.plans.registry import query
 from duelframe.plans.shapes import Shapes
 from duelframe.storage import new_path
-from duelframe.streaming import twins
+from duelframe.streaming import stateful, twins
 
 
 def staged(s: Shapes, df: DataFrame, time: str, label: str, parts: int = 3) -> Iterator[str]:
@@ -79,3 +79,28 @@ def write_once(s: Shapes) -> DataFrame:
     for source in staged(s, rows, "created_at", "predictions"):
         twins.store_first(twins.arriving(s.spark, source, rows.schema), store, checkpoint, LINE_KEYS, ["created_at", "id"], "game_date")
     return twins.stored(s.spark, store, rows.schema)
+
+
+@query(
+    "st_open_latest_timers",
+    "day:d entity:l opening:f6 latest:f6 snapshots:l",
+    """SELECT day, entity, arg_min(quote, struct_pack(t := ts, q := quote)) AS opening, arg_max(quote, struct_pack(t := ts, q := quote)) AS latest,
+      count(*) AS snapshots FROM event_log WHERE quote IS NOT NULL GROUP BY day, entity""",
+)
+def open_latest_timers(s: Shapes) -> DataFrame:
+    rows = s.log().select("entity", "ts", "quote")
+    table, checkpoint = new_path(s.spark, "final"), new_path(s.spark, "state")
+
+    def take(source: str) -> DataFrame:
+        final = stateful.open_and_latest(twins.arriving(s.spark, source, rows.schema), ["entity"], "quote", "ts")
+        with stateful.keyed_state(s.spark):
+            twins.append_final(final, table, checkpoint)
+        return final
+
+    for source in staged(s, rows, "ts", "quotes"):
+        take(source)
+    # As above: the watermark follows the closing rows, whose own day stays open.
+    for n in (1, 2):
+        twins.closing(rows, "ts", {"quote": 0.0}).write.parquet(f"{source}/closing-{n}")
+        final = take(source)
+    return s.spark.read.schema(final.schema).parquet(table)
