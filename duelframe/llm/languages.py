@@ -5,14 +5,13 @@ to the longest n of which the model knows any, from ``LONGEST`` down to single l
 that a language has never seen gets one penalty, the same for all languages. A document's score is the sum over all its words and the logarithm of the
 language's share of the training texts; its probabilities are those sums by a softmax.
 
-Words are runs of letters, lower-cased, in composed form. N-grams are those of the different words with a space at either
+Words are runs of letters, lower-cased; texts with combining marks are composed first. N-grams are those of the different words with a space at either
 end, each word counting once: words that the model does not know are rare ones.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,23 +37,37 @@ LONGEST = 5
 PENALTY = 0.5
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Words are remembered up to this length, and so many of them, for the next texts of a task.
-_CACHED_LENGTH, _CACHED = 30, 100_000
-
-
-def words_of(text: str) -> Counter:
-    """How often each word occurs."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text)
-    found = Counter(_LETTERS.findall(text.lower()))
-    for w in [w for w in found if not w.isalpha()]:
-        # digits like superscripts pass the pattern
-        n = found.pop(w)
-        letters = "".join(c for c in w if c.isalpha())
-        if letters:
-            found[letters] += n
-    return found
+#: Bytes of text whose words are looked up together; a longer text is looked up alone.
+SLICE_BYTES = 4 << 20
+
+
+def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of some texts, the number of each occurring word among them, in order, and how many words each text has."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    loose = pc.match_substring_regex(texts, r"\pM")
+    if pc.any(loose).as_py():
+        texts = pa.array([unicodedata.normalize("NFC", t) if m else t for t, m in zip(texts.to_pylist(), loose.to_pylist(), strict=True)], pa.large_string())
+    apart = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"\P{L}+", " "), " ")
+    lists = pc.split_pattern(apart, " ")
+    coded = lists.flatten().dictionary_encode()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    if "" in words:
+        # a text without letters splits into one empty word
+        at = at[np.array([w != "" for w in words])[at]]
+        counts[pc.equal(pc.binary_length(apart), 0).to_numpy(zero_copy_only=False)] = 0
+    return words, at, counts
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in pieces of about ``SLICE_BYTES``."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        done = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, done + SLICE_BYTES, "right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -75,39 +89,42 @@ class Model:
     gram_rows: dict[str, int] = field(default_factory=dict)
     grams: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """Scores of a word that is not known. Without a known letter all languages score alike."""
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [r for r in map(self.gram_rows.get, grams_of(word, n)) if r is not None]
-            if rows:
-                return self.grams[rows].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        """Language and probability."""
-        found = words_of(text) if text else None
-        if not found or not self.langs:
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
-        rows, counts = [], []
-        for word, n in found.items():
-            row = self.word_rows.get(word)
-            if row is not None:
-                rows.append(row)
-                counts.append(n)
-                continue
-            scores = cache.get(word)
-            if scores is None:
-                scores = self.backed_off(word)
-                if len(word) <= _CACHED_LENGTH:
-                    if len(cache) >= _CACHED:
-                        cache.clear()
-                    cache[word] = scores
-            total += n * scores
-        if rows:
-            total += np.array(counts, float) @ self.words[rows]
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Scores of words that are not known, a row each. Without a known letter all languages score 0."""
+        known, rows, sizes = self.gram_rows.get, [], []
+        for word in words:
+            size = 0
+            for n in range(min(LONGEST, len(word) + 2), 0, -1):
+                found = [r for r in map(known, grams_of(word, n)) if r is not None]
+                if found:
+                    rows += found
+                    size = len(found)
+                    break
+            sizes.append(size)
+        size = np.array(sizes, np.int64)
+        word_of = np.repeat(np.arange(len(words)), size)
+        out = np.zeros((len(words), len(self.langs)))
+        for i in range(len(self.langs)):
+            out[:, i] = np.bincount(word_of, self.grams[rows, i] if rows else None, len(words)) / np.maximum(size, 1)
+        return out
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and probability of each text."""
+        words, at, counts = words_of(texts)
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        row = np.fromiter((self.word_rows.get(w, -1) for w in words), np.int64, len(words))
+        scores = np.empty((len(words), len(self.langs)))
+        scores[row >= 0] = self.words[row[row >= 0]]
+        scores[row < 0] = self.backed_off([w for w, r in zip(words, row, strict=True) if r < 0])
+        text = np.repeat(np.arange(len(texts)), counts)
+        total = np.empty((len(texts), len(self.langs)))
+        for i in range(len(self.langs)):
+            total[:, i] = self.prior[i] + np.bincount(text, scores[at, i], len(texts))
+        best = total.argmax(axis=1)
+        share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        some = counts > 0
+        return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, share, 0.0)
 
 
 def training_rows(docs: DataFrame, text: str, lang: str, key: str, limit: int) -> DataFrame:
@@ -120,21 +137,41 @@ def training_rows(docs: DataFrame, text: str, lang: str, key: str, limit: int) -
     return materialise(chosen.dropDuplicates(), "lang-training")
 
 
-def _counted(rows: DataFrame, unit: str, count) -> DataFrame:
-    """(lang, unit, n) from ``count``, which takes a Counter of a language and a value of the second column; stored."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(lang, word, n) of (lang, text); stored."""
 
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, Counter] = {}
-            for lang, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                count(found.setdefault(lang, Counter()), value)
-            for lang, counter in found.items():
-                one = pa.array(list(counter), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(one), pa.string()), one, pa.array(list(counter.values()), pa.int64())], ["lang", unit, "n"])
+            lang = batch.column(0).dictionary_encode()
+            begin = 0
+            for texts in slices(batch.column(1)):
+                words, at, counts = words_of(texts)
+                of_text = lang.indices.to_numpy()[begin : begin + len(texts)].astype(np.int64)
+                begin += len(texts)
+                both, n = np.unique(np.repeat(of_text, counts) * max(len(words), 1) + at, return_counts=True)
+                names = pa.array(words, pa.string()).take(pa.array(both % max(len(words), 1)))
+                yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(both // max(len(words), 1))), names, pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+    parts = rows.select("lang", "text").mapInArrow(work, "lang string, word string, n long")
+    return materialise(parts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
 
-    parts = rows.mapInArrow(work, f"lang string, {unit} string, n long")
-    return materialise(parts.groupBy("lang", unit).agg(F.sum("n").alias("n")), f"lang-{unit}")
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, gram, n) over the different words of each language; stored."""
+
+    @tidied
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.update((lang, gram) for n in range(1, LONGEST + 1) for gram in grams_of(word, n))
+            if found:
+                lang, gram = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
+
+    parts = words.select("lang", "word").mapInArrow(work, "lang string, gram string, n long")
+    return materialise(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
 
 
 def _table(counts: DataFrame, unit: str, langs: list[str], kind) -> tuple[dict[str, int], np.ndarray]:
@@ -170,13 +207,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return Model()
     langs = sorted(sizes)
     prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
-    words = _counted(rows.select("lang", "text"), "word", lambda counter, value: counter.update(words_of(value)))
-
-    def grams(counter: Counter, word: str) -> None:
-        for n in range(1, LONGEST + 1):
-            counter.update(grams_of(word, n))
-
-    parts = _counted(words.select("lang", "word"), "gram", grams)
+    words = word_counts(rows)
+    parts = gram_counts(words)
     return Model(langs, prior, *_table(words, "word", langs, F.lit(0)), *_table(parts, "gram", langs, F.length("gram")))
 
 
@@ -192,10 +224,9 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
         for texts in parts:
-            yield pd.DataFrame([shared.value.predict(t, cache) for t in texts], columns=["lang", "score"])
-        cache.clear()
+            found = [shared.value.predict(some) for some in slices(pa.array(texts, pa.string(), from_pandas=True))]
+            yield pd.DataFrame({"lang": [x for langs, _ in found for x in langs], "score": np.concatenate([s for _, s in found]) if found else []})
         give_back()
 
     predicted = F.pandas_udf(work, "lang string, score double")

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from duelframe.llm import languages
@@ -77,12 +78,18 @@ def test_model_has_frequencies_of_plain_counts(spark, rows):
 
 def test_backs_off_to_shorter_grams():
     model = languages.Model(["aa", "bb"], np.zeros(2), {"known": 0}, np.array([[-1.0, -9.0]]), {" ab": 0, "b": 1, "z": 2}, np.array([[-5.0, -1.0], [-2.0, -3.0], [-4.0, -1.0]]))
-    assert model.backed_off("ab").tolist() == [-5.0, -1.0]
-    assert model.backed_off("bz").tolist() == [-3.0, -2.0]
-    assert model.backed_off("q").tolist() == [0.0, 0.0]
-    assert model.predict("known", {})[0] == "aa"
-    assert model.predict("ab Known known", {})[0] == "aa"
-    assert model.predict("q", {}) == ("aa", 0.5)
+    assert model.backed_off(["ab", "bz", "q"]).tolist() == [[-5.0, -1.0], [-3.0, -2.0], [0.0, 0.0]]
+    assert model.backed_off([]).shape == (0, 2)
+    langs, scores = model.predict(pa.array(["known", "ab Known known", "q", None, "ab", "5 \u0301"]))
+    assert langs == ["aa", "aa", "aa", "und", "bb", "und"]
+    assert scores[2] == 0.5 and scores[3] == scores[5] == 0 and scores[1] == pytest.approx(1 / (1 + np.exp(-12)))
+
+
+def test_words_are_runs_of_letters_in_composed_form():
+    texts = pa.array(["Über u\u0308ber, x²y", None, "", " 12 ", "a", "Ab-ab\nAB"])
+    words, at, counts = languages.words_of(texts)
+    assert counts.tolist() == [4, 0, 0, 0, 1, 3]
+    assert [words[i] for i in at] == ["über", "über", "x", "y", "a", "ab", "ab", "ab"]
 
 
 def test_odd_texts(spark, rows):
