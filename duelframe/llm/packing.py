@@ -18,30 +18,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import small_batches, tidied
-from duelframe.llm.tokens import cut_points, default_path, encoder
+from duelframe.llm.tokens import GENERATION, cut_points, default_path, encoder
 from duelframe.storage import materialise
 
 LENGTH = 1024
 #: Tokens dealt to one group, on average. A group is packed in one task.
 GROUP_TOKENS = 8 << 20
+#: Pieces dealt to one group, on average, however short they are.
+GROUP_ROWS = 500_000
 ROUNDS = 4
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False, key: str = "doc_id", text: str = "text", generation: int = GENERATION
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents.
 
     A document is the ids of its whole text and ``end_id``; NULL and empty texts are just ``end_id``. Only a document
     longer than ``length`` is cut, into full pieces; its first piece takes the remainder. ``ids`` are packed
-    little-endian, as wide as the vocabulary needs.
+    little-endian, as wide as the vocabulary needs. ``generation`` is how many encoded pieces of text a task remembers.
     """
     schema = _PIECE.append(pa.field("ids", pa.binary())) if with_ids else _PIECE
 
     @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, generation)
         for batch in batches:
             rows = []
             for k, found in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1)), strict=True):
@@ -128,32 +132,36 @@ def _packed(dealt: DataFrame, salt: int, groups: int, length: int) -> DataFrame:
     return dealt.withColumn("_group", deal).groupBy("_group").applyInPandas(pack, _PACKED)
 
 
-def pack(items: DataFrame, length: int = LENGTH, group_tokens: int = GROUP_TOKENS, rounds: int = ROUNDS) -> DataFrame:
-    """``items`` of ``pieces`` with ``sequence_id`` and ``offset``; every piece is placed once, sequences have no gaps.
+def pack(items: DataFrame, length: int = LENGTH, group_tokens: int = GROUP_TOKENS, rounds: int = ROUNDS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``items`` of ``pieces`` with ``sequence_id``, ``offset`` and ``gap``; every piece is placed once, sequences have no gaps.
 
-    Groups hold ``group_tokens`` tokens on average, so their number grows with the data and no task with it: pieces
+    ``gap`` is the certificate: 0 if the piece's group has as many sequences as its lower bound, or if its sequence is full; else how many
+    sequences of the group are above the bound, which no packing may be able to save.
+    Groups hold ``group_tokens`` tokens and ``group_rows`` pieces on average, so their number grows with the data and no task with it: pieces
     of a hot document are dealt one by one. Repeated rows are pieces of their own. In each round only the sequences that are not full
     in groups with a gap are packed again; the round counts if it needs fewer sequences for them, else packing ends
     with what there is. An empty table gives an empty table.
     """
     stored = materialise(items.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    total = stored.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    number = lambda tokens, rows: max(1, -(-(tokens or 0) // group_tokens), -(-rows // group_rows))
+    groups = number(*stored.agg(F.sum("length"), F.count("*")).first())
     done = []
     packed = materialise(_packed(stored, 0, groups, length), "packed")
     for salt in range(1, rounds + 1):
-        given = packed.where("open").agg(F.sum("length").alias("tokens"), F.count_if(F.col("offset") == 0).alias("sequences")).first()
+        given = packed.where("open").agg(F.sum("length").alias("tokens"), F.count_if(F.col("offset") == 0).alias("sequences"), F.count("*").alias("rows")).first()
         if not given["sequences"] or groups == 1:
             break
-        groups = max(1, -(-given["tokens"] // group_tokens))
+        groups = number(given["tokens"], given["rows"])
         again = materialise(_packed(packed.where("open").drop("sequence_id", "offset", "open", "spare"), salt, groups, length), "repacked")
         if again.where("offset = 0").count() >= given["sequences"]:
             break
-        done.append(packed.where("NOT open"))
+        # what stays is certified or full
+        done.append(packed.where("NOT open").withColumn("spare", F.lit(0).cast("long")))
         packed = again
+    packed = packed.withColumn("spare", F.when(F.col("open"), F.col("spare")).otherwise(0))
     for part in done:
         packed = packed.unionByName(part)
-    return packed.drop("open", "spare")
+    return packed.drop("open").withColumnRenamed("spare", "gap")
 
 
 def digest(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
@@ -161,5 +169,5 @@ def digest(spark: SparkSession, folder: str, tokenizer: str | None = None) -> Da
     return pack_documents(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return pack(pieces(docs, tokenizer or default_path("byte_bpe_50k.json"), end_id=2))
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, generation: int = GENERATION) -> DataFrame:
+    return pack(pieces(docs, tokenizer or default_path("byte_bpe_50k.json"), end_id=2, generation=generation))

@@ -193,9 +193,9 @@ class TextEncoder:
 
 
 @cache
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, generation: int = GENERATION) -> TextEncoder:
     """One encoder per file and worker process; its cache serves all tasks of the worker."""
-    return TextEncoder(path)
+    return TextEncoder(path, generation)
 
 
 def default_path(name: str) -> str:
