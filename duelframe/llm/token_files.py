@@ -12,7 +12,8 @@ place of every 256th unary mark.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -175,17 +176,52 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """(key, place of the first id in the whole array, ids) of each document of a block."""
-    ends = EliasFano.from_bytes(row["ends"]).all()
-    known = EliasFano.from_bytes(row["keys"]).all() + np.int64(row["first_key"])
-    keys = [None] * row["null_keys"] + known.tolist()
+    """(key, place of the first id in the whole array, ids) of each document of a block, by select over the ends."""
+    ends, known = EliasFano.from_bytes(row["ends"]), EliasFano.from_bytes(row["keys"])
     ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
     begin = 0
-    for k, end in zip(keys, ends.tolist(), strict=True):
-        yield k, row["first_id"] + begin, ids[begin:end]
+    for i in range(ends.n):
+        end = ends.select(i)
+        key = None if i < row["null_keys"] else known.select(i - row["null_keys"]) + row["first_key"]
+        yield key, row["first_id"] + begin, ids[begin:end]
         begin = end
 
 
+def _found(row: dict, key: int) -> Iterator[tuple[int, int, int]]:
+    """(key, start, n_tokens) of the documents of a block with a key: a binary search by select over the keys, then two selects over the ends."""
+    known, ends = EliasFano.from_bytes(row["keys"]), EliasFano.from_bytes(row["ends"])
+    i = bisect_left(range(known.n), key - row["first_key"], key=known.select)
+    while i < known.n and known.select(i) == key - row["first_key"]:
+        at = row["null_keys"] + i
+        begin = ends.select(at - 1) if at else 0
+        yield key, row["first_id"] + begin, ends.select(at) - begin
+        i += 1
+
+
+def find(spark: SparkSession, path: str, keys: Sequence[int]) -> DataFrame:
+    """(doc_id, start, n_tokens) of the documents with the given keys, one row per document; keys without one are left out.
+
+    Only the two sequences of a block are read and of them only what select touches; the ids and the other documents are not.
+    """
+    wanted = sorted(set(keys))
+
+    @tidied
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["n_docs"] > row["null_keys"]:
+                    last = EliasFano.from_bytes(row["keys"])
+                    last = last.select(last.n - 1) + row["first_key"]
+                    inside = wanted[bisect_left(wanted, row["first_key"]) : bisect_right(wanted, last)]
+                    out += [found for key in inside for found in _found(row, key)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens"])
+
+    needed = blocks(spark, path).select("first_id", "n_docs", "null_keys", "first_key", "keys", "ends")
+    return needed.mapInArrow(look, "doc_id long, start long, n_tokens long")
+
+
 _DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 

@@ -89,6 +89,12 @@ def test_token_files_round_trip(spark, tmp_path, odd_documents):
     keys = [r["doc_id"] for r in got]
     assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
     assert token_files.blocks(spark, path).count() > 3
+    # single documents by select, also under a key that occurs twice
+    for keys in ([200], [306, 5, 999_999, -3], [r["doc_id"] for r in got if r["doc_id"] is not None]):
+        found = sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in token_files.find(spark, path, keys).collect())
+        assert found == sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in got if r["doc_id"] in keys)
+    plan = token_files.find(spark, path, [1])._jdf.queryExecution().executedPlan().toString()
+    assert "ends:binary" in plan and "<ids:binary" not in plan and ",ids:binary" not in plan
 
 
 def test_token_files_of_nothing(spark, tmp_path, no_documents):
