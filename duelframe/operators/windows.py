@@ -303,26 +303,31 @@ def open_and_latest(df: DataFrame, keys: Sequence[str], quote: str, time: str, r
     )
 
 
+#: Days of a range by which rates and dates meet.
+STANDING_DAYS = 32
+
+
 def standings_as_of(df: DataFrame, entity: str, groups: Sequence[str], date: str, order: Sequence[str], rate: str, seats: Sequence[int] = (6, 10), within: int = 2, min_entities: int = 6) -> DataFrame:
     """Rank of each entity in its group on every date it plays, from the latest rates.
 
     A rate holds from its date until the entity's next date; only the dates in
     between on which the group plays matter. The grid therefore has one row per
-    (entity, date of the group), independent of the number of log rows.
+    (entity, date of the group), independent of the number of log rows. A NULL in ``groups`` is a group of its own.
     """
     keys = [*groups, entity]
     daily = df.groupBy(*keys, date).agg(F.max_by(rate, F.struct(*order)).alias("rate"))
-    dates = daily.groupBy(*groups).agg(F.array_sort(F.collect_set(date)).alias("dates"))
     until = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
-    held = daily.withColumn("until", until).join(dates, list(groups))
-    grid = held.select(
-        *keys,
-        "rate",
-        F.col(date).alias("from_date"),
-        F.explode(
-            F.filter("dates", lambda d: (d >= F.col(date)) & (F.col("until").isNull() | (d < F.col("until"))))
-        ).alias(date),
-    )
+    bucket = lambda c: F.floor(_day_number(c) / STANDING_DAYS)
+    last = df.groupBy(*groups).agg(F.max(date).alias("__last"))
+    held = daily.withColumn("until", until).alias("h")
+    held = held.join(last.alias("l"), [F.col(f"h.{c}").eqNullSafe(F.col(f"l.{c}")) for c in groups]).select("h.*", "__last")
+    # a rate meets the dates of its group by ranges of days, so that each row sees the dates it holds on and few others
+    held = held.withColumn("__through", F.coalesce(F.date_sub("until", 1), F.col("__last")))
+    held = held.withColumn("__bucket", F.explode(F.sequence(bucket(date), bucket("__through"))))
+    dates = daily.select(*groups, F.col(date).alias("__on")).distinct().withColumn("__bucket", bucket("__on"))
+    match = [F.col(f"h.{c}").eqNullSafe(F.col(f"d.{c}")) for c in groups] + [F.col("h.__bucket") == F.col("d.__bucket")]
+    met = held.alias("h").join(dates.alias("d"), match).where(F.col("__on").between(F.col(f"h.{date}"), F.col("h.__through")))
+    grid = met.select(*[F.col(f"h.{c}").alias(c) for c in keys], F.col("h.rate").alias("rate"), F.col(f"h.{date}").alias("from_date"), F.col("__on").alias(date))
     standing = Window.partitionBy(*groups, date)
     ranked = grid.withColumns({
         "position": F.row_number().over(standing.orderBy(F.col("rate").desc(), F.col(entity))),

@@ -290,7 +290,7 @@ def rp_team_dimensions(s: Shapes) -> DataFrame:
     return ft.with_dimensions(team_features(s), [availability_dimension(s), crew_dimension(s)])
 
 
-_SIDE_DIMENSIONS = ft.NOBODY_ABSENT | ft.NO_LINEUPS | ft.NO_EFFORT
+SIDE_DIMENSIONS = ft.NOBODY_ABSENT | ft.NO_LINEUPS | ft.NO_EFFORT
 
 
 def full_contests(s: Shapes) -> DataFrame:
@@ -300,10 +300,10 @@ def full_contests(s: Shapes) -> DataFrame:
 
 
 def _sided(side: str, letter: str) -> str:
-    return ", ".join(f"coalesce({letter}.{c}, {v}) AS {side}_{c}" for c, v in _SIDE_DIMENSIONS.items())
+    return ", ".join(f"coalesce({letter}.{c}, {v}) AS {side}_{c}" for c, v in SIDE_DIMENSIONS.items())
 
 
-_DIMENSION_OUT = " ".join(f"{side}_{c}:f6" for side in ("home", "away", "diff") for c in _SIDE_DIMENSIONS)
+_DIMENSION_OUT = " ".join(f"{side}_{c}:f6" for side in ("home", "away", "diff") for c in SIDE_DIMENSIONS)
 _SIDES_SQL = """SELECT f.game, f.team, a.* EXCLUDE (team, game_date), l.* EXCLUDE (team, season), e.* EXCLUDE (team, season) FROM contest_log f
   LEFT JOIN absent_sides a ON a.team = f.team AND a.game_date = f.game_date LEFT JOIN lineup_sides l ON l.team = f.team AND l.season = f.season
   LEFT JOIN effort_sides e ON e.team = f.team AND e.season = f.season"""
@@ -314,7 +314,7 @@ _SIDES_SQL = """SELECT f.game, f.team, a.* EXCLUDE (team, game_date), l.* EXCLUD
     f"game:l game_date:d season:i home_team:i away_team:i home_win:i matchup_edge:f6 diff_pts_roll10:f6 {_DIMENSION_OUT} crew_fta10:f6 crew_fta20:f6 pace_impact:f6 "
     "home_elo:f6 away_elo:f6 diff_elo:f6 home_expected:f6 elo_x_days_rest:f6",
     f"""WITH sides AS ({_SIDES_SQL})
-    SELECT *, {", ".join(f"home_{c} - away_{c} AS diff_{c}" for c in _SIDE_DIMENSIONS)}, coalesce(diff, 0) AS diff_elo, coalesce(diff, 0) * diff_days_rest AS elo_x_days_rest FROM
+    SELECT *, {", ".join(f"home_{c} - away_{c} AS diff_{c}" for c in SIDE_DIMENSIONS)}, coalesce(diff, 0) AS diff_elo, coalesce(diff, 0) * diff_days_rest AS elo_x_days_rest FROM
     (SELECT t.game, t.game_date, t.season, t.home_team, t.away_team, t.home_win, t.matchup_edge, t.diff_pts_roll10, t.diff_days_rest, crew_fta10, crew_fta20, pace_impact,
       {_sided("home", "h")}, {_sided("away", "w")}, coalesce(home_elo, 1500) AS home_elo, coalesce(away_elo, 1500) AS away_elo, diff_elo AS diff, home_expected
      FROM contest_features t JOIN sides h ON h.game = t.game AND h.team = t.home_team JOIN sides w ON w.game = t.game AND w.team = t.away_team

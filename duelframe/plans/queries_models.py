@@ -7,36 +7,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelframe.functions.market import no_vig
-from duelframe.operators import attribution as at, joins, models as ml, quality, windows as wn
-from duelframe.operators.ordered import entity_log
+from duelframe.operators import attribution as at, models as ml, quality
 from duelframe.operators.sets import union_by_name
-from duelframe.plans import features as ft
+from duelframe.plans import features as ft, queries_features as qf
 from duelframe.plans.registry import query
 from duelframe.plans.shapes import Shapes
 from duelframe.storage import materialise
 
-SIDE = ["pts_roll10", "plus_minus_roll10", "win_roll10", "days_rest"]
-FEATURES = [f"{p}_{c}" for c in SIDE for p in ("home", "away", "diff")]
+# Differences of everything known of both sides, and what belongs to the game.
+FEATURES = [
+    *[f"diff_{c}" for c in (*ft.TEAM_FEATURES, *qf.SIDE_DIMENSIONS)], "matchup_edge", "diff_fatigue", "diff_factors_composite", *ft.NO_CREW,
+    "diff_elo", "home_expected", "elo_x_days_rest", "elo_x_is_back_to_back", "elo_x_streak",
+]
 PLAYER = ["pts_ewma", "minutes_ewma", "usage_rate_ewma", "reb_ewma", "ast_ewma", "fg3m_ewma", "is_b2b", "season_game_num"]
 PLAYER_STATS = ["pts", "reb", "ast"]
 PROP_STATS = [*PLAYER_STATS, "fg3m"]
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def contest_table(s: Shapes) -> DataFrame:
-    """Features before each game and its outcome, written once for the fits that follow."""
-    from duelframe.functions.measures import difference_block
-
-    log = entity_log(s.contest_log(), ["team"], ["game_date", "game"])
-    rolled = wn.days_since(wn.lag_mean(log, ["pts", "plus_minus", "win"], [10]), "game_date").result
-    sides = joins.two_sided(rolled, ["game", "game_date", "season"], "is_home", ["team", "win", "plus_minus", *SIDE])
-    odds = s.odds().withColumnsRenamed({"home": "home_team", "away": "away_team"})
-    wide = difference_block(sides, SIDE).join(odds, ["game_date", "home_team", "away_team"])
-    market, _ = no_vig(F.col("home_ml"), F.col("away_ml"))
-    margin = F.col("home_plus_minus")
-    return materialise(wide.select(
-        "game", "season", *FEATURES, F.col("home_win").cast("double").alias("label"), margin.cast("double").alias("margin"),
-        F.when(margin != F.col("spread"), (margin > F.col("spread")).cast("double")).alias("covers"), market.alias("market_home"),
-    ), "contests")
+    """Contests with every feature known before the game and their outcome, stored once per session and folder: several models train on it."""
+    key = (s.spark.sparkContext.applicationId, s.folder)
+    if key not in _STORED:
+        games = s.contest().select("game", (F.col("home_pts") - F.col("away_pts")).cast("double").alias("margin"))
+        odds = s.odds().withColumnsRenamed({"home": "home_team", "away": "away_team"})
+        wide = qf.full_contests(s).join(games, "game").join(odds, ["game_date", "home_team", "away_team"])
+        market, _ = no_vig(F.col("home_ml"), F.col("away_ml"))
+        covers = F.when(F.col("margin") != F.col("spread"), (F.col("margin") > F.col("spread")).cast("double"))
+        _STORED[key] = materialise(wide.select(
+            "game", "season", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.col("home_win").cast("double").alias("label"), "margin",
+            covers.alias("covers"), market.alias("market_home"),
+        ), "contests")
+    return _STORED[key]
 
 
 def player_table(s: Shapes) -> DataFrame:
@@ -121,7 +125,7 @@ def prune_refit(s: Shapes) -> DataFrame:
 @query("ml_player_regressors", "stat:s model:s n:l mae:f6 rmse:f6 baseline_mae:f6")
 def player_regressors(s: Shapes) -> DataFrame:
     df = player_table(s)
-    trained = ml.train_players(df, PLAYER, PLAYER_STATS, "season", min_rows=8)
+    trained = ml.train_players(df, PLAYER, PLAYER_STATS, "season")
     parts = []
     for stat, t in trained.items():
         test = t.model.transform(df.filter(F.col("season") == t.test_season))
@@ -206,7 +210,7 @@ def tree_attributions(s: Shapes) -> DataFrame:
     for name, estimator in ml.classifiers("label", trees=8).items():
         model = ml.fit(df.filter(F.col("season") < last), FEATURES, estimator)
         rows = at.attributed(model, at.scored_margin(model, df.filter(F.col("season") == last)), FEATURES)
-        rows = materialise(rows.withColumn("off", (F.abs(F.col("margin") - F.col("scored")) > 1e-9).cast("int")), "attributed")
+        rows = materialise(rows.withColumn("off", (F.abs(F.col("explained") - F.col("scored")) > 1e-9).cast("int")), "attributed")
         exact = 1 - rows.agg(F.max("off")).first()[0]
         parts.append(at.importance(rows, FEATURES).withColumns({
             "model": F.lit(name), "rank": F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(F.desc("mean_abs"), "feature")), "exact": F.lit(exact)}))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelframe.sources import nested
+from duelframe.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -132,13 +133,15 @@ def quotes(matchups: DataFrame, markets: DataFrame, payload: str = "payload") ->
 
     A wrong field costs that field alone: a moneyline without a price still gives the contest's other columns.
     """
-    games, lines = read_with_items(matchups, payload, MATCHUP), read_with_items(markets, payload, MARKET)
+    # read once and stored: both answers come from it
+    games = materialise(read_with_items(matchups, payload, MATCHUP), "matchups")
+    lines = materialise(read_with_items(markets, payload, MARKET), "markets")
     return nested.quotes(games, lines), unread([("matchups", games), ("markets", lines)], payload)
 
 
 def props(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """``nested.props`` of a table of payloads, and every payload that was not read in full."""
-    read_in = read_with_items(payloads, payload, PROP)
+    read_in = materialise(read_with_items(payloads, payload, PROP), "props")
     return nested.props(read_in), unread([("props", read_in)], payload)
 
 
