@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duelframe.llm.common import numbered
 from duelframe.llm.vectors import in_runs, matrix, numbers, product, runs, usable
 from duelframe.storage import materialise
 
@@ -33,6 +34,8 @@ ROW_BLOCK = 4096
 QUERY_BLOCK = 1024
 #: Results that a task gathers before it brings them down to the best of each query.
 HELD_ROWS = 400_000
+#: Pairs whose products are summed component by component at once.
+EXACT_PAIRS = 1 << 15
 
 
 class Forest:
@@ -87,13 +90,14 @@ class Forest:
 
 
 def classes(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
-    """(rid, vec) of each different usable vector of the most common dimension, and that dimension."""
+    """(rid, vec) of each different usable vector of the most common dimension, numbered by its smallest id, and that dimension."""
     vec = F.col(vector).cast("array<double>")
-    good = rows.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(vec.alias("vec"))
+    good = rows.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(vec.alias("vec"), F.col(key).cast("long").alias("id"))
     most = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     size = most["d"] if most else 0
-    each = good.where(F.size("vec") == size).groupBy("vec").agg(F.count("*").alias("copies"))
-    return materialise(each.select(F.monotonically_increasing_id().alias("rid"), "vec"), "forest-vectors"), size
+    each = good.where(F.size("vec") == size).groupBy("vec").agg(F.min("id").alias("first"))
+    each = numbered(each, [F.col("first"), F.xxhash64("vec")], "forest-numbered", "rid")
+    return materialise(each.select("rid", "vec"), "forest-vectors"), size
 
 
 def _blocks(df: DataFrame, limit: int, name: str) -> DataFrame:
@@ -178,10 +182,8 @@ def nearest(
         for batch in batches:
             for q_ids, q, ids, x in zip(*(batch.column(c) for c in ("q_ids", "q", "ids", "x")), strict=True):
                 a, b = (np.frombuffer(i.as_buffer(), np.int64) for i in (q_ids, ids))
-                score = np.frombuffer(q.as_buffer()).reshape(len(a), size) @ np.frombuffer(x.as_buffer()).reshape(len(b), size).T
-                take = min(k + 1, len(b))
-                top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                held.append((np.repeat(a, take), b[top.ravel()], np.take_along_axis(score, top, 1).ravel()))
+                at, of, exact = _top(np.frombuffer(q.as_buffer()).reshape(len(a), size), np.frombuffer(x.as_buffer()).reshape(len(b), size), k + 1)
+                held.append(_nearest(a[at], b[of], exact, k + 1))
                 rows += len(held[-1][0])
                 if rows > most:
                     held = [_nearest(*map(np.concatenate, zip(*held, strict=True)), k + 1)]
@@ -205,6 +207,24 @@ def nearest(
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _top(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and rows, and products, of all pairs that may be among the ``k`` nearest of a query.
+
+    A matrix product differs from ``product`` in the last bits; what is within that of the k-th is kept, and computed as ``product`` does, from the
+    first component on. So equal products stay equal, and ties are for the order of rows to decide.
+    """
+    score = queries @ rows.T
+    take = min(k, len(rows))
+    cut = -np.partition(-score, take - 1, axis=1)[:, take - 1]
+    slack = 8 * rows.shape[1] * np.finfo(float).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
+    at, of = np.nonzero(score >= (cut - slack)[:, None])
+    exact = np.empty(len(at))
+    for i in range(0, len(at), EXACT_PAIRS):
+        some = slice(i, i + EXACT_PAIRS)
+        exact[some] = np.cumsum(queries[at[some]] * rows[of[some]], axis=1)[:, -1]
+    return at, of, exact
+
+
 def _nearest(q: np.ndarray, rid: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """The ``k`` nearest of each query, each row once."""
     order = np.lexsort((-near, rid, q))

@@ -216,6 +216,18 @@ def test_forest_recall_and_order(spark):
     assert forest.recall(table.where("vec_id < 10000").dropDuplicates(["vec_id"]), found, [0, 40, 800]) >= 0.8
 
 
+def test_forest_ties_of_different_vectors_go_to_the_smaller_ids(spark):
+    rng = random.Random(12)
+    ids = list(range(1, 400))
+    rng.shuffle(ids)
+    # sums of thirds and sevenths, whose last bits depend on how they are added
+    rows = [(0, [1 / 3, 1 / 7, 1 / 3, 0.0])] + [(i, [0.3, 0.7, 0.1, rng.uniform(-5, 5)]) for i in ids if i % 20]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = forest.nearest(table, table["vec_id"] % 20 == 0).orderBy("rank").collect()
+    score = 0.0 + (1 / 3) * 0.3 + (1 / 7) * 0.7 + (1 / 3) * 0.1 + 0.0
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(n, i, score) for n, i in enumerate([*range(1, 20), 21], 1)]
+
+
 def test_forest_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0, "x"), (1, [1.0, 1.0], 0, "x"), (20, [-1.0, 0.0], 0, "x")], VECTOR)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in forest.nearest(few, few["vec_id"] % 20 == 0).collect()]
