@@ -44,3 +44,16 @@ def test_rows_of_window_aggregates_and_state_gone(spark, tmp_path):
         state = spark.read.format("statestore").option("stateVarName", "quotes").load(checkpoint)
         assert [str(r["key"]["day"]) for r in state.select("key").collect()] == ["2024-03-12"]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+def test_state_rows_follow_days_and_not_keys(spark, tmp_path):
+    start = datetime(2024, 3, 1)
+    data = [(i, "x", start + timedelta(seconds=i), float(i)) for i in range(3000)]
+    rows = spark.createDataFrame(data, "who long, kind string, ts timestamp, quote double")
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows.write.parquet(f"{source}/0")
+    run(spark, source, rows, table, checkpoint)
+    with stateful.keyed_state(spark):
+        state = spark.read.format("statestore").option("stateVarName", "quotes").load(checkpoint)
+        assert state.count() <= stateful.BUCKETS
+        assert state.selectExpr("sum(size(value.key))").first()[0] == 3000
