@@ -76,3 +76,14 @@ def test_calibration_says_which(spark):
     rows = answers(spark, "ml_calibrate")
     assert sorted(r["method"] for r in rows) == ["isotonic", "platt", "raw", "temperature"]
     assert sum(r["chosen"] for r in rows) == 1
+
+
+def test_importance_scores_all_features_at_once(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id AS game", "CAST(id % 17 AS DOUBLE) AS a", "CAST(id * 7 % 23 AS DOUBLE) AS b", "CAST(id * 5 % 11 AS DOUBLE) AS c")
+    df = rows.withColumn("label", (F.col("a") + F.pmod(F.xxhash64("game"), F.lit(9)) > 12).cast("double"))
+    model = ml.fit(df, ["a", "b", "c"], qm.quick())
+    base = ml.auc(model.transform(df), "label")
+    want = {f: base - ml.auc(model.transform(ml.shuffled(df, "game", f)), "label") for f in ("a", "b", "c")}
+    monkeypatch.setattr(ml, "auc", lambda *_: pytest.fail("a pass per feature"))
+    got = {r["feature"]: r["drop"] for r in ml.permutation_importance(model, df, ["a", "b", "c"], "label", "game").collect()}
+    assert got == pytest.approx(want, abs=1e-4) and got["a"] > 0.1
