@@ -9,11 +9,15 @@
 3. In each posting list every member is compared with one leader, the member whose codes agree best with the majority of the list: the text that
    the others are copies of, if there is one. A list of any length costs one comparison a member. Confirmed links are contracted to components,
    and lists with several components get another leader from outside the largest.
-4. Lists whose members still lie in several components are merged in full, but for pairs within one component, which need no link
+4. A class is grouped with the others around its pivot, the class that most others were compared with. A member is the pivot plus and minus a few shingles, its
+   delta. Members whose deltas are short enough to be similar whatever they hold are linked to the shortest. Any other link needs deltas that share so many shingles
+   that two of them meet under one of their rarest: these are posted, pairs that cannot share enough are dropped by places and bitmaps, and the rest is
+   settled by the deltas. A crowd around one text that no member is close enough to is neither compared pair by pair nor are its sets sent anywhere.
+5. Pairs of different groups in lists whose members still lie in several components are merged in full, but for pairs within one component, which need no link
    any more: members outside the list's largest component meet all others. Lists for which that would be long (a frequent
    shingle) are skipped here and merged on pairs of coordinates: classes with ``MATCHES`` agreements meet in two of the first ``POSTED - MATCHES + 2``.
 
-No pair between different classes of a list goes unexamined, none within a component is, and no list is collected anywhere.
+No pair between different classes of a list is left open, none within a component is examined, and no list is collected anywhere.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import small, small_batches, tidied
@@ -169,23 +173,30 @@ def _pairs(joined: DataFrame, left: str, right: str) -> DataFrame:
     return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough.
+def confirmed(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, label: str, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes whose full sets are similar enough, and the sets (rid, set) known by then.
 
-    Only the texts of classes in a pair are read again, one per class; their sets are stored once and joined to the pairs.
+    Only the texts of classes in a pair whose sets are not ``known`` are read again, one per class; their sets are stored once and joined to the pairs.
     """
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    needed = materialise(classes.join(ids, "rid").select("rid", "k1", "k2", "first_id"), f"{label}-classes")
+    ids = materialise(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), f"{label}-ids")
+    new = ids if known is None else ids.join(known.select("rid"), "rid", "left_anti")
+    needed = materialise(classes.join(new, "rid").select("rid", "k1", "k2", "first_id"), f"{label}-classes")
     wanted = small(needed.select(F.col("first_id").alias("_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = _sets(texts, words).join(needed.select("rid", "k1", "k2"), ["k1", "k2"])
     sets = materialise(found.groupBy("rid").agg(F.first("set").alias("set")), f"{label}-sets")
-    left = sets.select(F.col("rid").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("rid").alias("b"), F.col("set").alias("set_b"))
+    used = sets
+    if known is not None:
+        sets = known.union(sets)
+        used = sets.join(small(ids), "rid", "left_semi")
+    left = used.select(F.col("rid").alias("a"), F.col("set").alias("set_a"))
+    right = used.select(F.col("rid").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return materialise(both.where(shared * 100 >= union * percent).select("a", "b"), f"{label}-links")
+    return materialise(both.where(shared * 100 >= union * percent).select("a", "b"), f"{label}-links"), sets
 
 
 def _led(rows: DataFrame, percent: int) -> DataFrame:
@@ -223,10 +234,77 @@ def _unresolved(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(found.withColumn("long", F.col("u") * F.col("all") > LONG_LIST).drop("main", "all"), "near-rest")
 
 
+def _pivots(pairs: DataFrame) -> DataFrame:
+    """(rid, pivot) of every class in ``pairs``: of itself and those it was compared with, the one that was compared with most."""
+    ends = pairs.select(F.col("a").alias("rid"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    degrees = ends.groupBy(F.col("rid").alias("other")).agg(F.count("*").alias("degree"))
+    near = ends.union(degrees.select("other", "other")).join(degrees, "other")
+    return near.groupBy("rid").agg(F.max(F.struct("degree", "other")).alias("top")).select("rid", F.col("top.other").alias("pivot"))
+
+
+def _deltas(pivots: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of pivots with several components: their shingles that the pivot lacks and the pivot's that they lack, and a ``weight``.
+
+    Two members of a pivot are linked if their weights add up to no more than ``_unit`` times the size of what their deltas share.
+    """
+    named = pivots.join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")
+    named = named.withColumn("comp", F.coalesce("component", "rid")).drop("component")
+    several = named.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("pivot")
+    members = materialise(named.join(several, "pivot", "left_semi").join(classes.select("rid", "n", *CODES), "rid"), "near-members")
+    wanted = small(members.select("rid").union(members.select("pivot")).distinct())
+    used = sets.join(wanted, "rid", "left_semi")
+    both = members.join(used, "rid").join(used.select(F.col("rid").alias("pivot"), F.col("set").alias("base")), "pivot")
+    both = both.withColumn("delta", F.concat(F.array_except("set", "base"), F.array_except("base", "set"))).drop("set", "base")
+    weight = (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("n")
+    return materialise(both.withColumns({"d": F.size("delta").cast("long"), "weight": weight}), "near-deltas")
+
+
+def _unit(percent: int) -> int:
+    return 2 * (100 + percent)
+
+
+def _within(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the members of each pivot as all links between them would; from the rows of ``_deltas``.
+
+    A member is ``far`` if it is not linked to the one of the smallest weight by the weights alone. The others are one component, so a pair needs a far member, whose deltas
+    then share at least ``least`` shingles: the smallest number for any partner. With rare shingles first, such a pair meets before the last ``least - 1`` of either.
+    """
+    unit = _unit(percent)
+    first = rows.groupBy("pivot").agg(F.min(F.struct("weight", "rid", "comp")).alias("first"))
+    rows = rows.join(first, "pivot").withColumn("far", F.col("weight") + F.col("first.weight") > 0)
+    stars = rows.where(~F.col("far") & (F.col("comp") != F.col("first.comp"))).select(F.least("rid", "first.rid").alias("a"), F.greatest("rid", "first.rid").alias("b"))
+    nearest = rows.where("far").groupBy("pivot").agg(F.min("weight").alias("far_weight"))
+    partner = F.when(F.col("far"), F.col("first.weight")).otherwise(F.col("far_weight"))
+    rows = rows.join(nearest, "pivot").withColumn("least", F.greatest(F.lit(1), F.ceil((F.col("weight") + partner) / unit)))
+    bits = {f"b{k}": F.expr(f"aggregate(delta, 0L, (s, v) -> s | IF((shiftright(v, 6) & 3) = {k}, shiftleft(1L, CAST(v & 63 AS INT)), 0L))") for k in range(4)}
+    rows = materialise(rows.withColumns(bits).drop("first", "far_weight"), "near-weighed")
+
+    elements = rows.select("pivot", "rid", "d", "least", F.explode("delta").alias("element"))
+    often = elements.groupBy("pivot", "element").agg(F.count("*").alias("often")).where("often > 1")
+    # shingles that no other member has come first, and meet nobody
+    own = Window.partitionBy("rid")
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "element")) - 1
+    posted = elements.join(often, ["pivot", "element"]).withColumn("place", place).where(F.col("place") <= F.col("d") - F.col("least"))
+    posted = posted.select("rid", "element", "place").join(rows.drop("delta", "least"), "rid")
+    x, y = posted.where("far").alias("x"), posted.alias("y")
+    once = ~F.col("y.far") | (F.col("x.rid") < F.col("y.rid"))
+    alone = lambda s, t: sum((F.bit_count(F.col(f"{s}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{t}.b{k}")))) for k in range(4)), F.lit(0))
+    most = F.least(*[F.col(f"{s}.d") - other for s, t in (("x", "y"), ("y", "x")) for other in (F.col(f"{s}.place"), alone(s, t))])
+    match = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.element") == F.col("y.element")) & (F.col("x.comp") != F.col("y.comp")) & once
+    match = match & (F.col("x.weight") + F.col("y.weight") <= unit * most) & _alike(percent, "x", "y")
+    pairs = materialise(_pairs(x.join(y, match), "x", "y"), "near-within")
+    side = lambda end: rows.select(F.col("rid").alias(end), F.col("weight").alias(f"weight_{end}"), F.col("delta").alias(f"delta_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("delta_a", "delta_b"))
+    found = both.where(F.col("weight_a") + F.col("weight_b") <= unit * shared).select("a", "b")
+    return materialise(found.union(stars), "near-within-links")
+
+
 def _merged(rows: DataFrame, percent: int, where: Column | None = None) -> DataFrame:
-    """Pairs (a, b) from different components that meet under the same ``post``, one of them outside the largest component."""
+    """Pairs (a, b) from different components and of different pivots that meet under the same ``post``, one of them outside the largest component."""
     x, y = rows.where("outside").alias("x"), rows.alias("y")
     once = ~F.col("y.outside") | (F.col("x.rid") < F.col("y.rid"))
+    once = once & F.coalesce(F.col("x.pivot") != F.col("y.pivot"), F.lit(True))
     match = (F.col("x.post") == F.col("y.post")) & (F.col("x.comp") != F.col("y.comp")) & once & _alike(percent, "x", "y")
     return _pairs(x.join(y, match if where is None else match & where), "x", "y")
 
@@ -258,26 +336,33 @@ def _named(docs: DataFrame, words: int, percent: int) -> DataFrame:
     lists = posted.groupBy("post").agg(F.count("*").alias("u")).where("u > 1")
     shared = materialise(posted.join(lists, "post"), "near-postings")
 
-    links = pairs_done = labels = None
+    links = pairs_done = labels = sets = None
     rest = shared.withColumn("comp", F.col("rid")).withColumn("outside", F.lit(True))
     for _ in range(TURNS):
         pairs = _led(rest, percent)
         if pairs_done is not None:
             pairs = pairs.join(pairs_done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "near-led")
-        found = confirmed(pairs, classes, docs, words, percent, "near-led")
+        found, sets = confirmed(pairs, classes, docs, words, percent, "near-led", sets)
         links = found if links is None else links.union(found)
         pairs_done = pairs if pairs_done is None else pairs_done.union(pairs)
         labels = components(links, "near-components")
         rest = _unresolved(shared.drop("u"), labels)
 
+    pivots = materialise(_pivots(pairs_done), "near-pivots")
+    new = _within(_deltas(pivots, labels, classes, sets, percent), percent)
+    if not new.isEmpty():
+        links = links.union(new)
+        labels = components(links, "near-components")
+        rest = _unresolved(shared.drop("u"), labels)
+    rest = rest.join(pivots, "rid", "left")
     pairs = _merged(rest.where("NOT long"), percent)
     skipped = rest.where("long")
     if not skipped.isEmpty():
         pairs = pairs.union(_merged(_on_two(skipped, classes, prefix + 1), percent, _first_two(prefix + 1))).distinct()
     new = materialise(pairs.join(pairs_done, ["a", "b"], "left_anti"), "near-merged")
     if not new.isEmpty():
-        links = links.union(confirmed(new, classes, docs, words, percent, "near-merged"))
+        links = links.union(confirmed(new, classes, docs, words, percent, "near-merged", sets)[0])
         labels = components(links, "near-components")
 
     named = classes.select("rid", "k1", "k2", "first_id").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")

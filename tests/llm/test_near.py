@@ -83,6 +83,32 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, long_list):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute(rows, 2)
 
 
+@pytest.mark.parametrize("members", [120, 240])
+def test_a_crowd_around_a_text_that_is_not_there_is_not_compared_in_pairs(spark, monkeypatch, members):
+    """Copies of one text with some words changed: most pairs are a little less similar than required."""
+    rng = random.Random(9)
+    base = sentence(rng, 150).split(" ")
+    rows = []
+    for i in range(members):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randint(3, 9)):
+            words[at] = sentence(rng, 1)
+        rows.append((i, " ".join(words)))
+    examined = Counter()
+    stored = near_copies.materialise
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label in ("near-led", "near-within", "near-merged"):
+            examined[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    got = near_copies.linked(spark.createDataFrame([document(*r) for r in rows], COLUMNS), words=2).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == brute(rows, 2)
+    assert sum(examined.values()) <= 12 * members
+
+
 def test_odd_rows_and_one_of_each_group(spark, odd_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
     got = near_copies.linked(odd_documents).collect()
