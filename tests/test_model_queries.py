@@ -87,3 +87,25 @@ def test_importance_scores_all_features_at_once(spark, monkeypatch):
     monkeypatch.setattr(ml, "auc", lambda *_: pytest.fail("a pass per feature"))
     got = {r["feature"]: r["drop"] for r in ml.permutation_importance(model, df, ["a", "b", "c"], "label", "game").collect()}
     assert got == pytest.approx(want, abs=1e-4) and got["a"] > 0.1
+
+
+def test_player_regressors_where_no_player_has_enough_rows(spark):
+    rows = answers(spark, "ml_player_regressors")
+    assert sorted(r["stat"] for r in rows) == ["ast", "pts", "reb"]
+    assert all(r["model"] is None and r["n"] == 0 for r in rows)
+
+
+def test_rows_of_players_are_joined_once_for_all_fits(spark, monkeypatch):
+    """What the fits read is a stored table, however large the table of players is."""
+    rows = [(p, 100 * p + g, 2000 + g // 8, float(g), float((p * g) % 7)) for p in range(6) for g in range(24)]
+    df = spark.createDataFrame(rows, "player long, game long, season int, x double, y double")
+    plans = []
+    fitted = ml.fit
+
+    def fit(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return fitted(df, *rest)
+
+    monkeypatch.setattr(ml, "fit", fit)
+    assert set(ml.train_players(df, ["x"], ["y"], "season")) == {"y"}
+    assert plans and not any("Join" in p or "Exchange" in p for p in plans)
