@@ -7,7 +7,7 @@ holds is bounded by the number of features, squared, times the number of seasons
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -264,17 +264,42 @@ def pinball_sums(x: np.ndarray, y: np.ndarray, planes: np.ndarray, levels: Seque
 
 def descend(sums: Callable[[np.ndarray, float], np.ndarray], planes: np.ndarray, widths: Sequence[float], steps: int = 15) -> np.ndarray:
     """Damped Newton steps at each of the shrinking widths. ``sums`` gives the vector of ``pinball_sums`` over all rows."""
+    return descend_all(lambda asked: {k: sums(*a) for k, a in asked.items()}, {0: planes}, widths, steps)[0]
+
+
+Asked = tuple[np.ndarray, float]
+
+
+def descend_all(
+    sums: Callable[[dict[int, Asked]], dict[int, np.ndarray]], planes: dict[int, np.ndarray], widths: Sequence[float], steps: int = 15
+) -> dict[int, np.ndarray]:
+    """``descend`` for several problems side by side: ``sums`` gives what all that still go on ask for, at once."""
+    runs = {k: _descent(p, widths, steps) for k, p in planes.items()}
+    asked = {k: next(run) for k, run in runs.items()}
+    done: dict[int, np.ndarray] = {}
+    while asked:
+        got, following = sums(asked), {}
+        for k in asked:
+            try:
+                following[k] = runs[k].send(got[k])
+            except StopIteration as end:
+                done[k] = end.value
+        asked = following
+    return done
+
+
+def _descent(planes: np.ndarray, widths: Sequence[float], steps: int) -> Generator[Asked, np.ndarray, np.ndarray]:
     m = planes.size
     upper = np.triu_indices(m)
     for width in widths:
-        now, damping = sums(planes, width), 1e-3
+        now, damping = (yield planes, width), 1e-3
         for _ in range(steps):
             curve = np.zeros((m, m))
             curve[upper] = now[1 + m :]
             curve += np.triu(curve, 1).T
             heavy = curve + np.diag(damping * np.diag(curve) + 1e-9 * max(now[0], 1.0))
             tried = planes - np.linalg.solve(heavy, now[1 : 1 + m]).reshape(planes.shape)
-            then = sums(tried, width)
+            then = yield tried, width
             gain = now[0] - then[0]
             if gain > 0:
                 planes, now, damping = tried, then, damping / 10
@@ -293,7 +318,51 @@ def fit_quantiles(
     Each step is one job that sums a vector of a size fixed by the features and levels. Missing features count as their mean; rows without a label do not count.
     ``df`` should be stored: it is read once per step.
     """
-    levels, p = tuple(sorted(levels)), len(features)
+    return fit_quantiles_all(df, features, [label], levels, widths)[label]
+
+
+def fit_quantiles_all(
+    df: DataFrame, features: Sequence[str], labels: Sequence[str], levels: Sequence[float] = (0.25, 0.5, 0.75), widths: Sequence[float] = (0.5, 0.2, 0.1, 0.05)
+) -> dict[str, QuantilePlanes]:
+    """``fit_quantiles`` for several labels: a step of all of them is one job, and reads ``df`` once."""
+    levels = tuple(sorted(levels))
+    starts = {k: _start(df, features, label, levels) for k, label in enumerate(labels)}
+    p = len(features)
+    columns = [*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(labels)]]
+    slim = df.select(*columns)
+
+    def sums(asked: dict[int, Asked]) -> dict[int, np.ndarray]:
+        def add(batch: pa.RecordBatch, vectors: dict[int, np.ndarray]) -> None:
+            x = _numbers(batch, [f"x{i}" for i in range(p)])
+            for k, (at, width) in asked.items():
+                y, start = batch[f"y{k}"].to_numpy(zero_copy_only=False), starts[k]
+                has = ~np.isnan(y)
+                if not has.any():
+                    continue
+                own = (x if has.all() else x[has]) - start.means
+                own = np.where(np.isnan(own), 0.0, own / start.scale)
+                z = (y[has] - start.label_mean) / start.spread
+                vectors[k] = vectors.get(k, 0.0) + pinball_sums(np.column_stack([own, np.ones(len(z))]), z, at, levels, width)
+
+        return summed(slim, add)
+
+    found = descend_all(sums, {k: s.planes for k, s in starts.items()}, widths)
+    return {label: _unscaled(starts[k], found[k], features, levels) for k, label in enumerate(labels)}
+
+
+@dataclass(frozen=True)
+class _Start:
+    """The planes that a fit of one label begins with, and how its features and label are scaled."""
+
+    planes: np.ndarray
+    means: np.ndarray
+    scale: np.ndarray
+    label_mean: float
+    spread: float
+
+
+def _start(df: DataFrame, features: Sequence[str], label: str, levels: tuple[float, ...]) -> _Start:
+    p = len(features)
     gram = moments(df, features, label, F.lit(0)).get(0)
     if gram is None:
         raise ValueError("no row has a label")
@@ -307,22 +376,14 @@ def fit_quantiles(
     middle = _middle(levels)
     planes = np.zeros((len(levels), p + 1))
     planes[middle, :p] = np.array(line.coefficients) * np.where(np.isinf(scale), 0.0, scale) / spread
+    return _Start(planes, means, scale, line.label_mean, spread)
 
-    slim = df.select(*_design(features, label)).where(F.col("y").isNotNull() & ~F.isnan("y"))
-
-    def sums(at: np.ndarray, width: float) -> np.ndarray:
-        def add(batch: pa.RecordBatch, vectors: dict[int, np.ndarray]) -> None:
-            x = _numbers(batch, [f"x{i}" for i in range(p)])
-            x = np.where(np.isnan(x), 0.0, (x - means) / scale)
-            y = (batch["y"].to_numpy() - line.label_mean) / spread
-            vectors[0] = vectors.get(0, 0.0) + pinball_sums(np.column_stack([x, np.ones(len(y))]), y, at, levels, width)
-
-        return summed(slim, add)[0]
 
-    planes = descend(sums, planes, widths)
-    slopes = planes[:, :p] / scale
-    base = planes[:, p] - slopes @ means
-    slopes[middle] = planes[middle, :p] / scale * spread
-    base[middle] = planes[middle, p] * spread + line.label_mean - slopes[middle] @ means
+def _unscaled(start: _Start, planes: np.ndarray, features: Sequence[str], levels: tuple[float, ...]) -> QuantilePlanes:
+    p, middle = len(features), _middle(levels)
+    slopes = planes[:, :p] / start.scale
+    base = planes[:, p] - slopes @ start.means
+    slopes[middle] = planes[middle, :p] / start.scale * start.spread
+    base[middle] = planes[middle, p] * start.spread + start.label_mean - slopes[middle] @ start.means
     raw = tuple((*map(float, s), float(b)) for s, b in zip(slopes, base, strict=True))
-    return QuantilePlanes(tuple(features), levels, tuple(map(float, means)), raw, spread)
+    return QuantilePlanes(tuple(features), levels, tuple(map(float, start.means)), raw, start.spread)

@@ -128,8 +128,9 @@ def quantile_band(s: Shapes) -> DataFrame:
     minutes = linear.ridge(linear.moments(played, PLAYER, "minutes", F.lit(0))[0], PLAYER, PENALTY)
     expected = F.greatest(F.lit(0.0), F.least(F.lit(48.0), minutes.column()))
     parts = []
+    fitted = linear.fit_quantiles_all(played, PLAYER, [f"{stat}_per36" for stat in PROP_STATS])
     for stat in PROP_STATS:
-        planes = linear.fit_quantiles(played, PLAYER, f"{stat}_per36")
+        planes = fitted[f"{stat}_per36"]
         scaled = {n: F.greatest(c, F.lit(0.0)) * F.col("pred_minutes") / 36 for n, c in planes.columns(["p25", "p50", "p75"]).items()}
         parts.append(held.withColumn("pred_minutes", expected).withColumns(scaled).select("player", "game", F.lit(stat).alias("stat"), "pred_minutes", *scaled))
     return union_by_name(parts)

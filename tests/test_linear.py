@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from duelframe.operators import linear
 
@@ -129,3 +130,22 @@ def test_gradient_and_curvature_of_the_smoothed_loss():
 def test_one_value_has_no_planes_to_fit(spark):
     with pytest.raises(ValueError, match="no row has a label"):
         linear.fit_quantiles(as_table(spark, frame(20)).limit(0), FEATURES, "y")
+
+
+def test_quantiles_of_several_labels_step_together(spark, monkeypatch):
+    rows = as_table(spark, frame(2000, 5)).withColumn("z", F.when(F.col("y") > 0, F.col("y") * 3 + 1)).cache()
+    alone = {label: linear.fit_quantiles(rows, FEATURES, label) for label in ("y", "z")}
+    jobs = []
+    summed = linear.summed
+
+    def counted(df, add):
+        jobs.append(1)
+        return summed(df, add)
+
+    monkeypatch.setattr(linear, "summed", counted)
+    linear.fit_quantiles(rows, FEATURES, "y"), linear.fit_quantiles(rows, FEATURES, "z")
+    apart, jobs[:] = len(jobs), []
+    together = linear.fit_quantiles_all(rows, FEATURES, ["y", "z"])
+    assert len(jobs) < 0.75 * apart
+    for label, planes in together.items():
+        assert np.allclose(planes.planes, alone[label].planes) and np.allclose(planes.means, alone[label].means)
