@@ -350,11 +350,7 @@ def _named(docs: DataFrame, words: int, percent: int) -> DataFrame:
         rest = _unresolved(shared.drop("u"), labels)
 
     pivots = materialise(_pivots(pairs_done), "near-pivots")
-    new = _within(_deltas(pivots, labels, classes, sets, percent), percent)
-    if not new.isEmpty():
-        links = links.union(new)
-        labels = components(links, "near-components")
-        rest = _unresolved(shared.drop("u"), labels)
+    links = links.union(_within(_deltas(pivots, labels, classes, sets, percent), percent))
     rest = rest.join(pivots, "rid", "left")
     pairs = _merged(rest.where("NOT long"), percent)
     skipped = rest.where("long")
@@ -363,7 +359,7 @@ def _named(docs: DataFrame, words: int, percent: int) -> DataFrame:
     new = materialise(pairs.join(pairs_done, ["a", "b"], "left_anti"), "near-merged")
     if not new.isEmpty():
         links = links.union(confirmed(new, classes, docs, words, percent, "near-merged", sets)[0])
-        labels = components(links, "near-components")
+    labels = components(links, "near-components")
 
     named = classes.select("rid", "k1", "k2", "first_id").join(labels.select(F.col("node").alias("rid"), "component"), "rid", "left")
     named = named.withColumn("comp", F.coalesce("component", "rid"))
