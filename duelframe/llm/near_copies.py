@@ -147,17 +147,22 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return slim.mapInArrow(sign, "doc_id long, text_hash long, n long, k1 long, k2 long, at array<long>, " + ", ".join(f"{c} long" for c in CODES))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(rid, set) of the ``texts`` (text, rid, k1, k2) whose set is that of the class."""
+
     @tidied
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:
-            found = [shingles(text.as_py(), words, seen) for text in batch.column(0)]
-            keys = [_class_key(hashes) for hashes in found]
-            k1, k2 = (pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([k1, k2, pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["k1", "k2", "set"])
+            rids, sets = [], []
+            for text, rid, *key in zip(*batch.columns, strict=True):
+                hashes = shingles(text.as_py(), words, seen)
+                if _class_key(hashes) == tuple(k.as_py() for k in key):
+                    rids.append(rid.as_py())
+                    sets.append(hashes.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rid", "set"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(collect, "k1 long, k2 long, set array<long>")
+    return texts.select(F.col("text").cast("string"), "rid", "k1", "k2").mapInArrow(collect, "rid long, set array<long>")
 
 
 def _alike(percent: int, left: str, right: str) -> Column:
@@ -182,11 +187,11 @@ def confirmed(
     """
     ids = materialise(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), f"{label}-ids")
     new = ids if known is None else ids.join(known.select("rid"), "rid", "left_anti")
-    needed = materialise(classes.join(new, "rid").select("rid", "k1", "k2", "first_id"), f"{label}-classes")
-    wanted = small(needed.select(F.col("first_id").alias("_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = _sets(texts, words).join(needed.select("rid", "k1", "k2"), ["k1", "k2"])
-    sets = materialise(found.groupBy("rid").agg(F.first("set").alias("set")), f"{label}-sets")
+    needed = materialise(classes.join(new, "rid").select("rid", "k1", "k2", "first_id", "first_text"), f"{label}-classes")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_text"))
+    sets = materialise(_sets(docs.join(small(needed), own), words), f"{label}-sets")
+    if sets.count() > needed.count():  # repeated rows
+        sets = materialise(sets.dropDuplicates(["rid"]), f"{label}-sets")
     used = sets
     if known is not None:
         sets = known.union(sets)
@@ -326,9 +331,11 @@ def _named(docs: DataFrame, words: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = materialise(signatures(docs, words), "near-signatures")
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("at").alias("at"), *[F.first(c).alias(c) for c in CODES]
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("one"),
+        F.first("n").alias("n"), F.first("at").alias("at"), *[F.first(c).alias(c) for c in CODES]
     )
-    classes = materialise(classes.withColumn("rid", F.monotonically_increasing_id()), "near-classes")
+    classes = classes.withColumns({"first_id": F.col("one.doc_id"), "first_text": F.col("one.text_hash"), "rid": F.monotonically_increasing_id()})
+    classes = materialise(classes.drop("one"), "near-classes")
     least = thresholds(percent)[0]
     prefix = POSTED - least + 1
     posted = classes.select("rid", "n", *CODES, F.posexplode(F.slice("at", 1, prefix)).alias("i", "value"))
@@ -372,13 +379,20 @@ def _named(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _on_two(skipped: DataFrame, classes: DataFrame, upto: int) -> DataFrame:
-    """Postings of long lists, posted again under their coordinate together with each later one of the first ``upto``."""
+    """Postings of long lists, posted again under their coordinate together with each later one of the first ``upto``, where several components meet.
+
+    Most new lists have one member or one component, which shows without sizes, codes and coordinates: these go along with the others only. ``post`` is a
+    hash of both coordinates; a pair that meets by its chance alone is confirmed like any other.
+    """
     # 32 bits of each coordinate, as signed numbers
     values = F.transform(F.slice("at", 1, upto), lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int"))
-    rows = skipped.join(classes.select("rid", values.alias("at")), "rid")
-    first = F.shiftright("post", 32)
-    rows = rows.select("*", F.posexplode("at").alias("j", "other")).where(F.col("j") > first)
-    return rows.withColumn("post", F.struct("post", "j", "other")).drop("other")
+    rows = skipped.select("post", "rid", "comp", "outside").join(classes.select("rid", values.alias("at")), "rid")
+    rows = rows.select("*", F.posexplode("at").alias("j", "other")).where(F.col("j") > F.shiftright("post", 32))
+    rows = materialise(rows.select(F.xxhash64("post", "j", "other").alias("post"), "j", "rid", "comp", "outside"), "near-on-two")
+    lists = rows.groupBy("post").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("outside").alias("any")).where("any AND low < high")
+    open_ones = rows.join(lists.select("post"), "post", "left_semi")
+    wide = skipped.select("rid", "n", *CODES, "pivot").dropDuplicates(["rid"]).join(classes.select("rid", values.alias("at")), "rid")
+    return materialise(open_ones.join(wide, "rid"), "near-on-two")
 
 
 def _first_two(upto: int) -> Column:

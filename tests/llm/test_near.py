@@ -260,3 +260,23 @@ def test_forest_of_few_and_none(spark):
     assert sorted(got) == [(0, 1, 1, 1.0), (0, 2, 20, -1.0), (20, 1, 0, -1.0), (20, 2, 1, -1.0)]
     none = few.limit(0)
     assert forest.nearest(none, none["vec_id"] % 20 == 0).count() == 0
+
+
+def test_long_lists_are_posted_again_only_where_components_meet(spark):
+    """1 and 2 share two coordinates and differ in component; 3 shares both with its own component only, 4 shares one."""
+    codes = ", ".join(f"0L AS {c}" for c in near_copies.CODES)
+    skipped = spark.sql(f"""SELECT 7L AS post, rid, 5L AS n, {codes}, comp, 1L AS u, outside, true AS long, CAST(NULL AS LONG) AS pivot
+        FROM VALUES (1L, 1L, true), (2L, 2L, false), (3L, 3L, true), (4L, 3L, true), (5L, 5L, true) AS t(rid, comp, outside)""")
+    classes = spark.sql("""SELECT * FROM VALUES (1L, array(7L, 8L, 11L)), (2L, array(7L, 8L, 12L)), (3L, array(7L, 9L, 13L)), (4L, array(7L, 9L, 14L)), (5L, array(7L, 10L, 15L)) AS t(rid, at)""")
+    rows = near_copies._on_two(skipped, classes, 3).collect()
+    assert sorted((r["rid"], r["j"]) for r in rows) == [(1, 1), (2, 1)]
+    assert len({r["post"] for r in rows}) == 1 and {r["rid"]: r["outside"] for r in rows} == {1: True, 2: False}
+
+
+def test_sets_are_read_once_for_repeated_ids(spark):
+    """Repeated rows, ids that several texts share, and NULL ids: every class in a pair gets its own set, once."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join([*base[:-1], "y"])]
+    docs = [(None, t) for t in texts] * 2 + [(1, t) for t in texts[:2]] * 2
+    found = near_copies.linked(spark.createDataFrame(docs, "doc_id long, text string"), words=2).collect()
+    assert len(found) == len(docs) and {r["component_id"] for r in found} == {1}
