@@ -30,13 +30,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(mixing.mix(docs)).select(*docs.columns)
 
 
-#: Pieces of text that a packing task remembers. The executors still hold what the earlier stages took, so fewer than where packing runs alone.
+#: Pieces of text that a packing task remembers, and bytes of text that it encodes at a time. The executors still hold what the earlier stages took, so less
+#: than where packing runs alone.
 REMEMBERED = 60_000
+SLICE_BYTES = 2 << 20
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All pieces of the documents with their sequence and offset."""
-    return packing.pack_documents(docs, generation=REMEMBERED)
+    return packing.pack_documents(docs, generation=REMEMBERED, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duelframe.llm.common import small_batches, tidied
-from duelframe.llm.tokens import GENERATION, cut_points, default_path, encoder
+from duelframe.llm.tokens import GENERATION, SLICE_BYTES, cut_points, default_path, encoder
 from duelframe.storage import materialise
 
 LENGTH = 1024
@@ -33,19 +33,21 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False, key: str = "doc_id", text: str = "text", generation: int = GENERATION
+    docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False, key: str = "doc_id", text: str = "text", generation: int = GENERATION,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents.
 
     A document is the ids of its whole text and ``end_id``; NULL and empty texts are just ``end_id``. Only a document
     longer than ``length`` is cut, into full pieces; its first piece takes the remainder. ``ids`` are packed
-    little-endian, as wide as the vocabulary needs. ``generation`` is how many encoded pieces of text a task remembers.
+    little-endian, as wide as the vocabulary needs. ``generation`` is how many encoded pieces of text a task remembers,
+    ``slice_bytes`` how much text it holds and encodes at a time.
     """
     schema = _PIECE.append(pa.field("ids", pa.binary())) if with_ids else _PIECE
 
     @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, generation)
+        encode = encoder(tokenizer, generation, slice_bytes)
         for batch in batches:
             rows = []
             for k, found in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1)), strict=True):
@@ -57,7 +59,7 @@ def pieces(
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, slice_bytes)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return slim.mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
 
@@ -169,5 +171,5 @@ def digest(spark: SparkSession, folder: str, tokenizer: str | None = None) -> Da
     return pack_documents(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, generation: int = GENERATION) -> DataFrame:
-    return pack(pieces(docs, tokenizer or default_path("byte_bpe_50k.json"), end_id=2, generation=generation))
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, generation: int = GENERATION, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    return pack(pieces(docs, tokenizer or default_path("byte_bpe_50k.json"), end_id=2, generation=generation, slice_bytes=slice_bytes))

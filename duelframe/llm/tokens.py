@@ -64,7 +64,7 @@ class _Pieces(dict):
 class TextEncoder:
     """Whole texts to little-endian ids, of 2 bytes if the vocabulary allows, else 4."""
 
-    def __init__(self, path: str, generation: int = GENERATION):
+    def __init__(self, path: str, generation: int = GENERATION, slice_bytes: int = SLICE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,6 +78,7 @@ class TextEncoder:
         self.mode = "kept" if byte_level else "dropped" if drops_space else "whole"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.slice_bytes = slice_bytes
         self.letters = _byte_letters()
         self.space = self.letters[32]
         self.newline = self._whole("\n")
@@ -152,7 +153,7 @@ class TextEncoder:
         begin = 0
         while begin < len(texts):
             done = upto[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(upto, done + SLICE_BYTES, "right")))
+            end = max(begin + 1, int(np.searchsorted(upto, done + self.slice_bytes, "right")))
             yield from self._slice(texts.slice(begin, end - begin))
             begin = end
 
@@ -193,9 +194,9 @@ class TextEncoder:
 
 
 @cache
-def encoder(path: str, generation: int = GENERATION) -> TextEncoder:
+def encoder(path: str, generation: int = GENERATION, slice_bytes: int = SLICE_BYTES) -> TextEncoder:
     """One encoder per file and worker process; its cache serves all tasks of the worker."""
-    return TextEncoder(path, generation)
+    return TextEncoder(path, generation, slice_bytes)
 
 
 def default_path(name: str) -> str:
