@@ -387,7 +387,8 @@ def _on_two(skipped: DataFrame, classes: DataFrame, upto: int) -> DataFrame:
     # 32 bits of each coordinate, as signed numbers
     values = F.transform(F.slice("at", 1, upto), lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v).cast("int"))
     rows = skipped.select("post", "rid", "comp", "outside").join(classes.select("rid", values.alias("at")), "rid")
-    rows = rows.select("*", F.posexplode("at").alias("j", "other")).where(F.col("j") > F.shiftright("post", 32))
+    nth = (F.shiftright("post", 32) + 1).cast("int")
+    rows = rows.select("*", nth.alias("from"), F.posexplode(F.slice("at", nth + 1, F.lit(upto))).alias("j", "other")).withColumn("j", F.col("j") + F.col("from"))
     rows = materialise(rows.select(F.xxhash64("post", "j", "other").alias("post"), "j", "rid", "comp", "outside"), "near-on-two")
     lists = rows.groupBy("post").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.bool_or("outside").alias("any")).where("any AND low < high")
     open_ones = rows.join(lists.select("post"), "post", "left_semi")
