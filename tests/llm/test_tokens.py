@@ -179,3 +179,15 @@ def test_packing_of_nothing(no_documents):
 def test_only_the_first_piece_is_short():
     assert tokens.cut_points(2500, 1024) == [(0, 452), (452, 1476), (1476, 2500)]
     assert tokens.cut_points(1024, 1024) == [(0, 1024)] and tokens.cut_points(3, 1024) == [(0, 3)]
+
+
+def test_smaller_slices_hold_less_text_and_give_the_same_ids(monkeypatch):
+    path = tokens.default_path("byte_bpe_50k.json")
+    texts = pa.array([f"some words and {i} more\nof them" for i in range(50)] + [None, ""], pa.string())
+    sizes = []
+    inner = tokens.TextEncoder._slice
+    monkeypatch.setattr(tokens.TextEncoder, "_slice", lambda self, part: sizes.append(len(part)) or inner(self, part))
+    whole = [ids.tolist() for ids in tokens.TextEncoder(path).encode_all(texts)]
+    assert sizes == [52]
+    assert [ids.tolist() for ids in tokens.TextEncoder(path, slice_bytes=100).encode_all(texts)] == whole
+    assert max(sizes[1:]) < 10
