@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from duelframe.operators import days
+from duelframe.operators import days, windows as wn
+from duelframe.operators.ordered import EntityLog
 from duelframe.plans import features as ft, queries_features as qf
 from duelframe.plans.queries_windows import places
 from duelframe.plans.shapes import Shapes
@@ -56,3 +57,17 @@ def test_logs_that_blocks_do_not_suit_are_taken_by_team(spark):
     assert found(log, block_rows=30) is None and found(log, look_back=2) is None
     assert found(log.withColumn("win", F.when(F.col("game") != 7, F.col("win")))) is None
     assert found(log.withColumn("game_date", F.lit("2024-01-01").cast("date")), block_rows=5) is None
+
+
+def test_means_of_doubled_windows_are_those_of_plain_ones(spark):
+    rows = spark.range(400).selectExpr(
+        "CAST(id % 3 AS INT) AS team", "id AS game", "CAST(id * 37 % 101 AS INT) AS a", "CASE WHEN id % 5 < 2 THEN NULL ELSE id * 13 % 29 / 7D END AS b",
+        "CASE WHEN id = 200 THEN double('NaN') WHEN id = 300 THEN double('Infinity') ELSE id / 3D END AS c", "CAST(NULL AS DOUBLE) AS d")
+    names = ["a", "b", "c", "d"]
+    log = EntityLog(rows, ("team",), ("game",))
+    plain = wn.lag_mean(log, names, [5, 10, 20]).result
+    stacked = wn.stacked_means(log.lagged_log(5, lambda w: wn.stack_parts(w, names, 5)), names, 5, 2).result
+    assert sorted(plain.columns) == sorted(stacked.columns)
+    columns = sorted(plain.columns)
+    rounded = lambda df: [[str(round(v, 9)) if isinstance(v, float) else v for v in r] for r in df.select(columns).orderBy("game").collect()]
+    assert rounded(plain) == rounded(stacked)
